@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,12 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 def with_derived(df: DataFrame, cfg: AnalysisConfig,
                  is_resolved: StatusTest | None = None,
-                 hours_digits: int | None = 2) -> DataFrame:
-    """Add every derived column whose inputs the frame has.
+                 hours_digits: int | None = 2,
+                 only: Collection[str] | None = None) -> DataFrame:
+    """Add every derived column whose inputs the frame has, or just ``only``.
 
-    Everything is a lazy projection in one step, so columns a query does not
-    use are pruned together with the joins and scans behind them.
+    It is one lazy projection, so columns a query does not use are pruned
+    together with the scans behind them.
     """
     is_resolved = is_resolved or finished(cfg.resolved_statuses)
     have = set(df.columns)
@@ -68,9 +71,11 @@ def with_derived(df: DataFrame, cfg: AnalysisConfig,
         ("has_components", {"components"}, lambda: F.size("components") > 0),
         ("has_labels", {"labels"}, lambda: F.size("labels") > 0),
     ] + [(f"{c}_str", {c}, lambda c=c: joined(F.col(c))) for c in ARRAY_FIELDS]
-    return df.withColumns({
-        name: make() for name, needs, make in rules if needs <= have and name not in have
-    })
+    added = {
+        name: make() for name, needs, make in rules
+        if needs <= have and name not in have and (only is None or name in only)
+    }
+    return df.withColumns(added) if added else df
 
 
 def _hours(digits: int | None):

@@ -260,14 +260,19 @@ def predict(df: DataFrame, models: RiskModels) -> DataFrame:
 
 def prepare(df: DataFrame, cfg: AnalysisConfig, labels: DataFrame | None = None,
             enrichment: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Feature frame, written once to the checkpoint folder, and its label table."""
+    """Feature frame and its label table.
+
+    The features are spread evenly by key and checkpointed, since training
+    passes over them many times.
+    """
     checkpoint_root(df.sparkSession)
     rows = with_features(df, cfg)
     if enrichment is not None:
         rows = with_enrichment(rows, enrichment)
     if labels is None:
         labels = fit_labels(df, [c for c in ENCODED if c in df.columns])
-    return encode(rows, labels).checkpoint(), labels
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return encode(rows, labels).repartition(parts, "key").checkpoint(), labels
 
 
 def score_risks(df: DataFrame, cfg: AnalysisConfig, enrichment: DataFrame | None = None,

@@ -28,7 +28,7 @@ from issuelens.operators import (
 )
 from issuelens.operators.derive import with_defaults, with_derived
 from issuelens.plans import analysis
-from issuelens.session import scratch_path
+from issuelens.session import scratch_path, staged
 from issuelens.sources import issue_json, pages, star
 from issuelens.sources.star import CONFIG, defects, table
 from issuelens.sources.store import DefectStore
@@ -314,9 +314,7 @@ def release_sequence(spark, sf_dir):
 @query
 def release_comparison(spark, sf_dir):
     rows = defects(spark, sf_dir, ["release_name", "project", "age_days", "is_resolved",
-                                   "is_critical", "priority", "status", "issue_type",
-                                   "severity", "key", "created", "assignee"])
-    rows = rows.withColumn("summary", F.lit(""))
+                                   "is_critical", "priority"])
     return analysis.release_comparison(rows)
 
 
@@ -671,14 +669,18 @@ def recommendations_quick(spark, sf_dir):
         "project", "severity", "is_critical", "is_resolved", "age_days"])).drop("position")
 
 
+REPORT_INPUT = [*dict.fromkeys([*NARROW_RISKS, *SUMMARY_INPUT, *HEALTH_INPUT])]
+
+
 @query
 def report_long(spark, sf_dir):
-    risks = _top_risks(spark, sf_dir)
+    base = staged(defects(spark, sf_dir, REPORT_INPUT), "report")
+    top = risk.top_risks(risk.with_risk(base))
     return report.report_long(
-        summary.comprehensive_summary(defects(spark, sf_dir, SUMMARY_INPUT)),
-        _health(spark, sf_dir),
-        recommend.comprehensive_recommendations(defects(spark, sf_dir, RECOMMEND_INPUT)),
-        risks,
+        summary.comprehensive_summary(base),
+        health.project_health(base),
+        recommend.comprehensive_recommendations(base),
+        with_defaults(star.attach_text(spark, sf_dir, top)),
     ).drop("section_no", "metric_no")
 
 
@@ -692,16 +694,15 @@ def preview_100(spark, sf_dir):
 
 @query
 def invariants(spark, sf_dir):
-    rows = defects(spark, sf_dir, HEALTH_INPUT)
-    fixed = rows.where("is_resolved").withColumn("project", F.lit("ALL FIXED"))
-    wide = defects(spark, sf_dir, SUMMARY_INPUT)
+    base = staged(defects(spark, sf_dir, [*dict.fromkeys([*HEALTH_INPUT, *SUMMARY_INPUT])]), "checks")
+    fixed = base.where("is_resolved").withColumn("project", F.lit("ALL FIXED"))
     return quality.invariants(
-        summary.comprehensive_summary(wide),
-        health.project_health(rows),
+        summary.comprehensive_summary(base),
+        health.project_health(base),
         health.project_health(fixed),
         reopens.reopen_summary(_reopens(spark, sf_dir)),
         quality.poor_rate(_scores(spark, sf_dir)),
-        summary.comprehensive_summary(wide.where(F.col("project") == "NO SUCH PROJECT")),
+        summary.comprehensive_summary(base.where(F.col("project") == "NO SUCH PROJECT")),
     )
 
 

@@ -9,7 +9,7 @@ adaptive execution splits skewed join partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +61,29 @@ DERIVED_INPUTS = {
 }
 
 
+# Schemas are stated, so opening a table lists files but reads no footers.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def defects(spark: SparkSession, sf_dir: str, columns: Iterable[str],
@@ -85,12 +106,12 @@ def defects(spark: SparkSession, sf_dir: str, columns: Iterable[str],
     if base & LINE_COLUMNS:
         df = _join_lines(spark, sf_dir, df, base)
     out = df.select(
-        *[rule.alias(name) for name, rule in _rules().items() if name in base],
+        *[rule().alias(name) for name, rule in RULES.items() if name in base],
         F.col("o_orderkey").alias("text_slot"),
     )
     if base & TEXT_COLUMNS:
         out = attach_text(spark, sf_dir, out, base & TEXT_COLUMNS)
-    return (out if raw else with_derived(with_defaults(out), cfg)).select(columns)
+    return (out if raw else with_derived(with_defaults(out), cfg, only=wanted)).select(columns)
 
 
 def _age() -> Column:
@@ -99,40 +120,52 @@ def _age() -> Column:
     return raw % (F.lit(8) * (F.lit(1) + F.col("c_nationkey") % 16))
 
 
-def _rules() -> dict[str, Column]:
-    created_day = F.date_sub(F.lit(AS_OF.date()), _age())
-    spent = F.abs(F.datediff(F.col("last_ship").cast("date"), F.col("o_orderdate").cast("date"))) % 15
-    resolved_day = F.when((F.col("o_orderstatus") == "F") & (spent <= _age()),
-                          F.date_add(created_day, spent))
-    status = (
-        F.when(F.col("o_orderstatus") == "O", "Open")
-        .when(F.col("o_orderstatus") == "P", "In Progress")
-        .otherwise(F.element_at(F.array(*map(F.lit, FINISHED_STATUSES)),
-                                (F.col("o_orderkey") % 3 + 1).cast("int")))
-    )
-    release = F.concat(F.lit("REL-"), F.date_format("o_orderdate", "yy"))
-    release_list = F.array(release)
-    return {
-        "key": F.concat(F.lit("ORD-"), F.col("o_orderkey")),
-        "project": F.col("n_name"),
-        "project_name": F.col("r_name"),
-        "issue_type": F.col("p_type"),
-        "status": status,
-        "priority": _lookup(F.col("o_orderpriority"), PRIORITIES),
-        "resolution": F.when(F.col("o_orderstatus") == "F", "Fixed"),
-        "reporter": F.col("c_name"),
-        "assignee": F.when(F.col("o_orderkey") % 9 != 0, F.col("s_name")),
-        "severity": _lookup(F.col("first_flag"), SEVERITIES),
-        "created": created_day.cast("timestamp_ntz"),
-        "updated": F.coalesce(resolved_day, F.lit(AS_OF.date())).cast("timestamp_ntz"),
-        "resolved": resolved_day.cast("timestamp_ntz"),
-        "components": F.col("brands"),
-        "labels": F.col("flags"),
-        "affected_versions": release_list,
-        "fix_versions": F.when(F.col("o_orderstatus") == "F", release_list),
-        "market": F.col("c_mktsegment"),
-        "release_name": release,
-    }
+def _spent() -> Column:
+    """Days from creation to resolution."""
+    return F.abs(F.datediff(F.col("last_ship").cast("date"), F.col("o_orderdate").cast("date"))) % 15
+
+
+def _created_day() -> Column:
+    return F.date_sub(F.lit(AS_OF.date()), _age())
+
+
+def _resolved_day() -> Column:
+    return F.when((F.col("o_orderstatus") == "F") & (_spent() <= _age()),
+                  F.date_add(_created_day(), _spent()))
+
+
+def _status() -> Column:
+    finished = F.element_at(F.array(*map(F.lit, FINISHED_STATUSES)),
+                            (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return (F.when(F.col("o_orderstatus") == "O", "Open")
+            .when(F.col("o_orderstatus") == "P", "In Progress").otherwise(finished))
+
+
+def _release() -> Column:
+    return F.concat(F.lit("REL-"), F.date_format("o_orderdate", "yy"))
+
+
+RULES: dict[str, Callable[[], Column]] = {
+    "key": lambda: F.concat(F.lit("ORD-"), F.col("o_orderkey")),
+    "project": lambda: F.col("n_name"),
+    "project_name": lambda: F.col("r_name"),
+    "issue_type": lambda: F.col("p_type"),
+    "status": _status,
+    "priority": lambda: _lookup(F.col("o_orderpriority"), PRIORITIES),
+    "resolution": lambda: F.when(F.col("o_orderstatus") == "F", "Fixed"),
+    "reporter": lambda: F.col("c_name"),
+    "assignee": lambda: F.when(F.col("o_orderkey") % 9 != 0, F.col("s_name")),
+    "severity": lambda: _lookup(F.col("first_flag"), SEVERITIES),
+    "created": lambda: _created_day().cast("timestamp_ntz"),
+    "updated": lambda: F.coalesce(_resolved_day(), F.lit(AS_OF.date())).cast("timestamp_ntz"),
+    "resolved": lambda: _resolved_day().cast("timestamp_ntz"),
+    "components": lambda: F.col("brands"),
+    "labels": lambda: F.col("flags"),
+    "affected_versions": lambda: F.array(_release()),
+    "fix_versions": lambda: F.when(F.col("o_orderstatus") == "F", F.array(_release())),
+    "market": lambda: F.col("c_mktsegment"),
+    "release_name": _release,
+}
 
 
 def _lookup(value: Column, names: dict[str, str]) -> Column:
@@ -157,13 +190,18 @@ def _join_lines(spark: SparkSession, sf_dir: str, df: DataFrame, base: set[str])
     """Attach the first line's attributes and the per-order line aggregates.
 
     The first line is a ``min`` over a struct, so each map task keeps one row
-    per order before the shuffle, however many lines an order has.
+    per order before the shuffle, however many lines an order has. The struct
+    ends with the last field wanted, as later ones cannot change that field.
     """
     lines = table(spark, sf_dir, "lineitem")
     first_wanted = base & {"issue_type", "assignee", "severity"}
     with_brand = "components" in base
     part = table(spark, sf_dir, "part")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    order = ["l_linenumber", "l_partkey"]
+    if first_wanted - {"issue_type"}:
+        order.append("l_suppkey")
+    if "severity" in first_wanted:
+        order.append("l_returnflag")
     if with_brand:
         lines = lines.join(part.select("p_partkey", "p_brand", "p_type"),
                            F.col("l_partkey") == F.col("p_partkey"), "left")
@@ -182,7 +220,8 @@ def _join_lines(spark: SparkSession, sf_dir: str, df: DataFrame, base: set[str])
     df = df.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     if not first_wanted:
         return df
-    df = df.withColumn("first_flag", F.col("first.l_returnflag"))
+    if "severity" in base:
+        df = df.withColumn("first_flag", F.col("first.l_returnflag"))
     if "issue_type" in base:
         if with_brand:
             df = df.withColumn("p_type", F.col("first.p_type"))
@@ -195,15 +234,17 @@ def _join_lines(spark: SparkSession, sf_dir: str, df: DataFrame, base: set[str])
     return df
 
 
-def documents_text() -> dict[str, Column]:
-    first_line = F.substring_index("text", "\n", 1)
-    return {
-        "summary": first_line,
-        "description": F.col("text"),
-        "summary_length": F.length(first_line).cast("bigint"),
-        "description_length": F.length("text").cast("bigint"),
-        "has_description": F.col("text") != "",
-    }
+def _first_line() -> Column:
+    return F.substring_index("text", "\n", 1)
+
+
+TEXT_RULES: dict[str, Callable[[], Column]] = {
+    "summary": _first_line,
+    "description": lambda: F.col("text"),
+    "summary_length": lambda: F.length(_first_line()).cast("bigint"),
+    "description_length": lambda: F.length("text").cast("bigint"),
+    "has_description": lambda: F.col("text") != "",
+}
 
 
 def attach_text(spark: SparkSession, sf_dir: str, df: DataFrame,
@@ -215,8 +256,8 @@ def attach_text(spark: SparkSession, sf_dir: str, df: DataFrame,
     """
     documents = table(spark, sf_dir, "documents")
     total = documents.agg(F.count(F.lit(1))).scalar()
-    rules = documents_text()
-    texts = documents.select("doc_id", *[rules[c].alias(c) for c in rules if c in set(columns)])
+    texts = documents.select(
+        "doc_id", *[rule().alias(c) for c, rule in TEXT_RULES.items() if c in set(columns)])
     slotted = df.withColumn("doc_slot", F.col("text_slot") % total)
     return slotted.join(texts, F.col("doc_slot") == F.col("doc_id"), "left").drop(
         "doc_slot", "doc_id")
@@ -248,7 +289,7 @@ def writeups(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("label_doc"), "quality", "toxic")
-    first_line = F.substring_index("text", "\n", 1)
+    first_line = _first_line()
     return documents.join(labels, F.col("doc_id") == F.col("label_doc"), "left").select(
         F.concat(F.lit("DOC-"), F.col("doc_id")).alias("key"),
         F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("description"),
