@@ -190,7 +190,8 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: dict[str, float
     for p in probabilities.values():
         for edge in (F.floor(position(p)), F.ceil(position(p))):
             wanted = wanted | holds(edge, F.col("before"), F.col("cell_n"))
-    fine = counts.join(placed.where(wanted), F.floor("v") == F.col("cell"))
+    # At most two cells per percentile, so this side is safe to broadcast.
+    fine = counts.join(F.broadcast(placed.where(wanted)), F.floor("v") == F.col("cell"))
     inside = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = fine.withColumn(
         "start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))

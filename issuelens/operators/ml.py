@@ -88,7 +88,8 @@ def fit_labels(df: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
     Ranking is distributed: distinct values are range-partitioned and sorted,
     ranked inside their partition, and shifted by the number of values in the
     partitions before it. The partitioning is checkpointed first, so a lost
-    executor cannot re-cut the ranges between counting and ranking.
+    executor cannot re-cut the ranges between counting and ranking; the table
+    is checkpointed because every encoded column reads it.
     """
     spark = df.sparkSession
     checkpoint_root(spark)
@@ -108,7 +109,8 @@ def fit_labels(df: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
     within = Window.partitionBy("field", "part").orderBy("value")
     return (placed.withColumn("rank", F.row_number().over(within))
             .join(shifts, ["field", "part"])
-            .select("field", "value", (F.col("shift") + F.col("rank") - 1).alias("code")))
+            .select("field", "value", (F.col("shift") + F.col("rank") - 1).alias("code"))
+            .checkpoint())
 
 
 def encode(df: DataFrame, labels: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
@@ -139,26 +141,27 @@ def impact_score(text: Column) -> Column:
             .when(lowered.contains("moderate"), 0.5).otherwise(0.25))
 
 
-def _median(scores: DataFrame, name: str) -> Column:
-    """Scalar median from counts per score; there are only a handful of scores."""
-    counts = scores.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.percentile(name, F.lit(0.5), F.col("n"))).scalar()
-
-
 def with_enrichment(df: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Join per-key assessments (``key, level, user_impact``) as scores; rows
-    without one take the median of those that have."""
+    without one take the median of those that have.
+
+    Medians come from counts per pair of scores, of which there are a handful.
+    """
+    names = ("ai_severity_score", "ai_user_impact")
     scored = enrichment.select(
         "key",
-        level_score(F.col("level")).alias("ai_severity_score"),
-        impact_score(F.col("user_impact")).alias("ai_user_impact"),
+        level_score(F.col("level")).alias(names[0]),
+        impact_score(F.col("user_impact")).alias(names[1]),
     )
-    matched = scored.join(df.select("key"), "key", "left_semi")
-    joined = df.join(scored, "key", "left")
+    counts = (scored.join(df.select("key"), "key", "left_semi").groupBy(*names)
+              .agg(F.count(F.lit(1)).alias("n")))
+    medians = counts.agg(F.struct(*[
+        F.percentile(name, F.lit(0.5), F.col("n")).alias(name) for name in names
+    ])).scalar()
+    joined = df.join(scored, "key", "left").withColumn("_medians", medians)
     return joined.withColumns({
-        name: F.coalesce(F.col(name), _median(matched, name))
-        for name in ("ai_severity_score", "ai_user_impact")
-    })
+        name: F.coalesce(F.col(name), F.col(f"_medians.{name}")) for name in names
+    }).drop("_medians")
 
 
 def blend(df: DataFrame, name: str = "overall_risk_score", enriched: bool | None = None) -> DataFrame:

@@ -30,9 +30,12 @@ def _text(template: str, *values: str | Column) -> Column:
     return F.format_string(template, *values)
 
 
-def _worst(flag: str) -> Column:
-    """Project with the largest count, the smallest name among equals."""
-    return F.min(F.when(F.col(flag) > 0, F.struct((-F.col(flag)).alias("n"), "project")))
+def _largest(count: str, name: str, among: Column | None = None) -> Column:
+    """Name with the largest positive count, the smallest name among equals."""
+    candidate = F.col(count) > 0
+    if among is not None:
+        candidate = among & candidate
+    return F.min(F.when(candidate, F.struct((-F.col(count)).alias("n"), F.col(name).alias("name"))))
 
 
 def comprehensive_recommendations(df: DataFrame) -> DataFrame:
@@ -47,8 +50,8 @@ def comprehensive_recommendations(df: DataFrame) -> DataFrame:
     )
     facts = per_project.agg(
         *[F.sum(c).alias(c) for c in ("critical_open", "very_old", "unassigned", "high_open")],
-        _worst("open_n").alias("worst"),
-    ).withColumns({"project": F.col("worst.project"), "project_open": -F.col("worst.n")})
+        _largest("open_n", "project").alias("worst"),
+    ).withColumns({"project": F.col("worst.name"), "project_open": -F.col("worst.n")})
     return _fired(facts, [
         _rule("critical_open", _text("%d critical bugs are still open", "critical_open"),
               "Immediately assign and prioritize critical bugs", F.col("critical_open"), 0, 1,
@@ -70,24 +73,27 @@ def comprehensive_recommendations(df: DataFrame) -> DataFrame:
 
 
 def quick_recommendations(df: DataFrame) -> DataFrame:
-    """Up to three rules, from one aggregate over (project, severity)."""
+    """Up to three rules, from one pass: counts per (project, severity) are
+    rolled up to projects and to severities together."""
     is_open = ~F.col("is_resolved")
+    sums = ("n", "critical_n", "old_open")
     joint = df.groupBy("project", "severity").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("is_critical").alias("critical_n"),
         F.count_if((F.col("age_days") > 14) & is_open).alias("old_open"),
     )
-    worst = joint.groupBy("project").agg(F.sum("critical_n").alias("critical_n")).agg(
-        _worst("critical_n")).scalar()
-    common = (joint.where(F.col("severity") != "Unknown").groupBy("severity")
-              .agg(F.sum("n").alias("n"))
-              .agg(F.min(F.struct((-F.col("n")).alias("n"), "severity"))).scalar())
-    facts = joint.agg(F.sum("old_open").alias("old_open")).select(
-        "old_open", worst.alias("worst"), common.alias("common"),
+    rolled = joint.groupingSets([["project"], ["severity"]], "project", "severity").agg(
+        *[F.sum(c).alias(c) for c in sums], F.grouping("severity").alias("of_project"))
+    of_project = F.col("of_project") == 1
+    known = ~of_project & (F.col("severity") != "Unknown")
+    facts = rolled.agg(
+        F.sum(F.when(of_project, F.col("old_open"))).alias("old_open"),
+        _largest("critical_n", "project", of_project).alias("worst"),
+        _largest("n", "severity", known).alias("common"),
     ).select(
         "old_open",
-        F.col("worst.project").alias("project"), (-F.col("worst.n")).alias("critical_n"),
-        F.col("common.severity").alias("severity"), (-F.col("common.n")).alias("severity_n"),
+        F.col("worst.name").alias("project"), (-F.col("worst.n")).alias("critical_n"),
+        F.col("common.name").alias("severity"), (-F.col("common.n")).alias("severity_n"),
     )
     return _fired(facts, [
         _rule("cross_project_critical",

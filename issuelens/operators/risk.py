@@ -31,9 +31,14 @@ def _ranking(score: str):
     return [F.col(score).desc_nulls_last(), F.col("created").desc_nulls_last(), F.col("key")]
 
 
+def ranked(scored: DataFrame, score: str = "risk_score") -> DataFrame:
+    """Highest scores first, newest first among equals."""
+    return scored.orderBy(*_ranking(score))
+
+
 def top_risks(scored: DataFrame, limit: int = 25, score: str = "risk_score") -> DataFrame:
-    """Highest scores first, newest first among equals; a per-task top-k."""
-    return scored.orderBy(*_ranking(score)).limit(limit)
+    """The first rows of the ranking, by a per-task top-k."""
+    return ranked(scored, score).limit(limit)
 
 
 def top_risks_by(scored: DataFrame, by: Sequence[str], limit: int = 25,

@@ -52,8 +52,13 @@ def newest_value(df: DataFrame, column: str) -> Column:
             .select(column).scalar())
 
 
-def quick_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Eight metrics; the current release is that of the newest row."""
+def quick_summary(df: DataFrame, by: Sequence[str] = (),
+                  newest: DataFrame | None = None) -> DataFrame:
+    """Eight metrics; the current release is that of the newest row.
+
+    ``newest`` may give the same rows through a narrower plan, holding just
+    ``key, created, release_name``, for that lookup.
+    """
     resolved = F.col("is_resolved")
     out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_defects"),
@@ -66,8 +71,8 @@ def quick_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     if "release_name" in by:
         return out.withColumn("current_release", F.col("release_name"))
-    newest = newest_value(df, "release_name")
-    return out.withColumn("current_release", F.coalesce(newest, F.lit("Unknown")))
+    current = newest_value(newest if newest is not None else df, "release_name")
+    return out.withColumn("current_release", F.coalesce(current, F.lit("Unknown")))
 
 
 def web_summary(df: DataFrame, releases: Sequence[str],
@@ -206,34 +211,82 @@ def top_components(df: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _listing(counts: DataFrame, name: str) -> Column:
-    """Scalar: 'a: 3, b: 2' over a short aggregated frame, largest first."""
-    entry = F.struct((-F.col("n")).alias("rank"), F.col(name).alias("name"))
+def _listing(name: str, n: str) -> Column:
+    """Aggregate: 'a: 3, b: 2' over a short aggregated frame, largest first."""
+    entry = F.when(F.col(name).isNotNull(),
+                   F.struct((-F.col(n)).alias("rank"), F.col(name).alias("name")))
     ordered = F.array_sort(F.collect_list(entry))
-    texts = F.transform(ordered, lambda e: F.concat_ws(": ", e["name"], -e["rank"]))
-    return counts.agg(F.array_join(texts, ", ")).scalar()
+    return F.array_join(
+        F.transform(ordered, lambda e: F.concat_ws(": ", e["name"], -e["rank"])), ", ")
+
 
+def pattern_summary(df: DataFrame, limit: int = 5,
+                    components: DataFrame | None = None) -> DataFrame:
+    """One row of the facts a pattern review starts from.
 
-def pattern_summary(df: DataFrame, limit: int = 5) -> DataFrame:
-    """One row of the facts a pattern review starts from."""
+    Everything but the components is summed per issue type first, so one pass
+    gives both the totals and the type listing. ``components`` may give the
+    component lists of the same rows through a narrower plan.
+    """
     unresolved = F.coalesce(~literal_in(LITERAL_RESOLVED)(F.col("status")), F.lit(True))
     high = F.coalesce(F.col("priority").isin(list(PATTERN_HIGH)), F.lit(False))
-    types = (df.where(F.col("issue_type").isNotNull()).groupBy("issue_type")
-             .agg(F.count(F.lit(1)).alias("n")))
-    components = top_components(df, limit)
-    everything = F.count(F.lit(1))
-    return df.agg(
-        everything.alias("total_defects"),
-        F.count_if(unresolved).alias("open_defects"),
-        half_even(ratio(F.count_if(unresolved), everything) * 100, 1).alias("open_percent"),
-        F.count_if(high).alias("high_priority_defects"),
-        half_even(ratio(F.count_if(high), everything) * 100, 1).alias("high_priority_percent"),
-        half_even(F.avg(F.when(unresolved, F.col("age_days"))), 1).alias("avg_age_open"),
-    ).select(
-        "*",
-        _listing(types, "issue_type").alias("issue_types"),
-        _listing(components, "component").alias("top_components"),
+    per_type = df.groupBy("issue_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(unresolved).alias("open_n"),
+        F.count_if(high).alias("high_n"),
+        F.sum(F.when(unresolved, F.col("age_days"))).alias("age_sum"),
+        F.count(F.when(unresolved, F.col("age_days"))).alias("age_n"),
     )
+    lists = components if components is not None else df
+    common = top_components(lists, limit).agg(_listing("component", "n")).scalar()
+    total, zero = F.sum("n"), F.lit(0).cast("bigint")
+    return per_type.agg(
+        F.coalesce(total, zero).alias("total_defects"),
+        F.coalesce(F.sum("open_n"), zero).alias("open_defects"),
+        half_even(ratio(F.sum("open_n"), total) * 100, 1).alias("open_percent"),
+        F.coalesce(F.sum("high_n"), zero).alias("high_priority_defects"),
+        half_even(ratio(F.sum("high_n"), total) * 100, 1).alias("high_priority_percent"),
+        half_even(ratio(F.sum("age_sum"), F.sum("age_n")), 1).alias("avg_age_open"),
+        _listing("issue_type", "n").alias("issue_types"),
+    ).withColumn("top_components", common)
+
+
+def group_comparison(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One wide row per group: summary, spread over projects, open ages.
+
+    Sums per (group, project) come first; every metric of the group follows
+    from them, so the rows are read and shuffled once.
+    """
+    is_open = ~F.col("is_resolved")
+    open_age = F.when(is_open, F.col("age_days"))
+    thresholds = (30, 14, 7)
+    per_project = df.groupBy(*by, "project").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(is_open).alias("open_n"),
+        F.count_if("is_critical").alias("critical_n"),
+        F.count_if(F.col("priority") == "High").alias("high_n"),
+        F.sum("age_days").alias("age_sum"), F.count("age_days").alias("age_n"),
+        F.sum(open_age).alias("open_age_sum"), F.count(open_age).alias("open_age_n"),
+        *[F.count_if(open_age > d).alias(f"over_{d}") for d in thresholds],
+    )
+    total = F.sum("n")
+    named = F.when(F.col("project").isNotNull(), F.struct((-F.col("n")).alias("n"), "project"))
+    return per_project.groupBy(*by).agg(
+        total.alias("total_defects"),
+        F.count("project").alias("projects_affected"),
+        F.sum("open_n").alias("open_defects"),
+        half_even(ratio(F.sum("age_sum"), F.sum("age_n")), 1).alias("avg_age_days"),
+        half_even(ratio(total - F.sum("open_n"), total) * 100, 1).alias("resolution_rate"),
+        F.sum("critical_n").alias("critical_count"),
+        F.sum("high_n").alias("high_priority_count"),
+        F.min(named)["project"].alias("most_affected_project"),
+        F.count_if(F.col("project").isNotNull() & (F.col("critical_n") > 0)).alias(
+            "projects_with_critical_bugs"),
+        F.count_if(F.col("project").isNotNull() & (F.col(f"over_{OLD_DAYS}") > 0)).alias(
+            "projects_with_old_bugs"),
+        *[F.sum(f"over_{d}").alias(f"defects_over_{d}_days") for d in thresholds],
+        half_even(ratio(F.sum("open_age_sum"), F.sum("open_age_n")), 1).alias("avg_age_open"),
+    ).orderBy(*by)
 
 
 def sample_rows(df: DataFrame, limit: int = 5, seed: int = 42) -> DataFrame:

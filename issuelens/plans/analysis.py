@@ -113,16 +113,8 @@ def compare_releases(base: DataFrame, cfg: AnalysisConfig, current: str | None =
 
 
 def release_comparison(base: DataFrame) -> DataFrame:
-    """One wide row per release: summary, spread over projects, open ages."""
-    by = ["release_name"]
-    spread = summary.cross_project_insights(base, by).select(
-        "release_name", "most_affected_project", "projects_with_critical_bugs",
-        "projects_with_old_bugs")
-    ages = health.aging_thresholds(base, by).select(
-        "release_name", "defects_over_30_days", "defects_over_14_days", "defects_over_7_days",
-        "avg_age_open")
-    return (summary.quick_summary(base, by).drop("current_release").join(spread, "release_name", "left")
-            .join(ages, "release_name", "left").orderBy("release_name"))
+    """One wide row per release."""
+    return summary.group_comparison(base, ["release_name"])
 
 
 def store_analysis(base: DataFrame, store: DefectStore, at: datetime | None = None) -> None:

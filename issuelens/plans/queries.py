@@ -154,8 +154,7 @@ def page_scan(spark, sf_dir):
 
 @query
 def page_audit(spark, sf_dir):
-    landed = pages.read_pages(spark, _landed_pages(spark, sf_dir), CONFIG)
-    return quality.page_audit(landed, pages.explode_issues(landed))
+    return quality.page_audit(pages.read_pages(spark, _landed_pages(spark, sf_dir), CONFIG))
 
 
 # Scans, store and releases
@@ -371,9 +370,9 @@ def summary_empty(spark, sf_dir):
 
 @query
 def summary_quick(spark, sf_dir):
-    return summary.quick_summary(defects(spark, sf_dir, [
-        "key", "project", "is_resolved", "is_critical", "age_days", "priority", "release_name",
-        "created"]))
+    rows = defects(spark, sf_dir, ["project", "is_resolved", "is_critical", "age_days", "priority"])
+    return summary.quick_summary(
+        rows, newest=defects(spark, sf_dir, ["key", "created", "release_name"]))
 
 
 @query
@@ -425,15 +424,15 @@ def critical_components(spark, sf_dir):
 
 @query
 def pattern_summary(spark, sf_dir):
-    return summary.pattern_summary(
-        defects(spark, sf_dir, ["status", "priority", "issue_type", "components", "age_days"]))
+    rows = defects(spark, sf_dir, ["status", "priority", "issue_type", "age_days"])
+    return summary.pattern_summary(rows, components=defects(spark, sf_dir, ["components"]))
 
 
 @query
 def pattern_sample(spark, sf_dir):
     """Five hash-picked issues with shortened summaries."""
     picked = summary.sample_rows(defects(spark, sf_dir, ["key", "text_slot"]))
-    rows = star.attach_text(spark, sf_dir, picked)
+    rows = star.attach_text_to_few(spark, sf_dir, picked, 5)
     return rows.select("key", F.substring("summary", 1, 100).alias("summary"))
 
 
@@ -643,7 +642,7 @@ def risk_band(spark, sf_dir):
 def _top_risks(spark, sf_dir):
     """Ranks narrow rows; only the winners get their text."""
     top = risk.top_risks(risk.with_risk(defects(spark, sf_dir, NARROW_RISKS)))
-    return with_defaults(star.attach_text(spark, sf_dir, top))
+    return risk.ranked(with_defaults(star.attach_text_to_few(spark, sf_dir, top, 25)))
 
 
 @query
@@ -680,7 +679,7 @@ def report_long(spark, sf_dir):
         summary.comprehensive_summary(base),
         health.project_health(base),
         recommend.comprehensive_recommendations(base),
-        with_defaults(star.attach_text(spark, sf_dir, top)),
+        with_defaults(star.attach_text_to_few(spark, sf_dir, top, 25)),
     ).drop("section_no", "metric_no")
 
 
@@ -689,7 +688,8 @@ def preview_100(spark, sf_dir):
     rows = report.preview(defects(spark, sf_dir, [
         "key", "project", "status", "priority", "release_name", "created", "created_day",
         "age_days", "text_slot"]))
-    return star.attach_text(spark, sf_dir, rows).drop("created", "text_slot")
+    rows = star.attach_text_to_few(spark, sf_dir, rows, 100)
+    return rows.orderBy(F.col("created").desc(), "key").drop("created", "text_slot")
 
 
 @query
@@ -783,8 +783,9 @@ def risk_ml(spark, sf_dir):
 @query
 def top_risks_ml(spark, sf_dir):
     top = risk.top_risks(_learned(spark, sf_dir), score="overall_risk_score")
-    rows = with_defaults(star.attach_text(spark, sf_dir, top))
-    return rows.withColumnRenamed("overall_risk_score", "risk_score").select(*risk.RISK_COLUMNS)
+    rows = with_defaults(star.attach_text_to_few(spark, sf_dir, top, 25)).withColumnRenamed(
+        "overall_risk_score", "risk_score")
+    return risk.ranked(rows).select(*risk.RISK_COLUMNS)
 
 
 # Streams

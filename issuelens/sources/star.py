@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from issuelens.config import AnalysisConfig
 from issuelens.operators.derive import with_defaults, with_derived
+from issuelens.session import checkpoint_root
 
 # Fixed values of the mapping.
 AS_OF = datetime(2001, 8, 2)
@@ -247,20 +248,47 @@ TEXT_RULES: dict[str, Callable[[], Column]] = {
 }
 
 
+def _slotted(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+    return df.withColumn("doc_slot", F.col("text_slot") % total)
+
+
+def _texts(spark: SparkSession, sf_dir: str, columns: Iterable[str]) -> DataFrame:
+    wanted = set(columns)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", *[rule().alias(c) for c, rule in TEXT_RULES.items() if c in wanted])
+
+
 def attach_text(spark: SparkSession, sf_dir: str, df: DataFrame,
                 columns: Iterable[str] = ("summary",)) -> DataFrame:
     """Join text columns to rows carrying ``text_slot`` (an order number).
 
     Lengths are taken on the document side, so whole texts are shuffled only
-    when a caller wants the texts. Row-limited callers attach text last.
+    when a caller wants the texts.
     """
-    documents = table(spark, sf_dir, "documents")
-    total = documents.agg(F.count(F.lit(1))).scalar()
-    texts = documents.select(
-        "doc_id", *[rule().alias(c) for c, rule in TEXT_RULES.items() if c in set(columns)])
-    slotted = df.withColumn("doc_slot", F.col("text_slot") % total)
-    return slotted.join(texts, F.col("doc_slot") == F.col("doc_id"), "left").drop(
-        "doc_slot", "doc_id")
+    slotted = _slotted(spark, sf_dir, df)
+    return slotted.join(_texts(spark, sf_dir, columns),
+                        F.col("doc_slot") == F.col("doc_id"), "left").drop("doc_slot", "doc_id")
+
+
+FEW_ROWS = 1000
+
+
+def attach_text_to_few(spark: SparkSession, sf_dir: str, df: DataFrame, limit: int,
+                       columns: Iterable[str] = ("summary",)) -> DataFrame:
+    """The same for the first ``limit`` rows of a ranking.
+
+    The rows are ranked once and checkpointed. Their slots, at most ``limit``,
+    are broadcast to the document scan, so only the matching documents are
+    shuffled, whatever the size of the table.
+    """
+    if limit > FEW_ROWS:
+        return attach_text(spark, sf_dir, df.limit(limit), columns)
+    checkpoint_root(spark)
+    few = _slotted(spark, sf_dir, df.limit(limit)).checkpoint()
+    slots = few.select(F.col("doc_slot").alias("doc_id")).distinct()
+    texts = _texts(spark, sf_dir, columns).join(F.broadcast(slots), "doc_id", "left_semi")
+    return few.join(texts, F.col("doc_slot") == F.col("doc_id"), "left").drop("doc_slot", "doc_id")
 
 
 def state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
