@@ -59,10 +59,10 @@ def trendline(df: DataFrame, releases: Sequence[str] | None = None) -> DataFrame
     Releases come in the order asked for, days ascending.
     """
     rows = df.where(F.col("created").isNotNull())
-    position = F.lit(0)
+    order = ["release_name", "day"]
     if releases:
         rows = rows.where(F.col("release_name").isin(list(releases)))
-        position = F.array_position(F.array(*map(F.lit, releases)), F.col("release_name"))
+        order.insert(0, F.array_position(F.array(*map(F.lit, releases)), F.col("release_name")))
     daily = rows.groupBy("release_name", F.col("created").cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("daily_count"))
-    return running_total(daily).orderBy(position, "release_name", "day")
+    return running_total(daily).orderBy(*order)
