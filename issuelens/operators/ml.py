@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from issuelens.config import AnalysisConfig
 from issuelens.functions.risk import HIGH_OR_HIGHEST
 from issuelens.operators.risk import with_fallback_risk
-from issuelens.session import checkpoint_root
+from issuelens.session import checkpoint_root, read_or_empty, scratch_path
 
 # Encodings, feature lists, blend weights.
 ATTENTION_DAYS = 7
@@ -82,14 +82,36 @@ def with_features(df: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     })
 
 
-def fit_labels(df: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
-    """Label table (field, value, code): codes rank the sorted distinct values.
+@dataclass(frozen=True)
+class Labels:
+    """A written label table (``field, value, code``), one folder per field.
+
+    Reading one field's folder lets the optimizer see that field's true size,
+    so short tables are broadcast and long ones shuffled.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema("value string, code bigint, field string").parquet(self.path)
+
+    def codes(self, name: str) -> DataFrame:
+        columns = "value string, code bigint"
+        return read_or_empty(self.spark, f"{self.path}/field={name}", columns)
+
+    def save(self, path: str) -> Labels:
+        self.table().write.mode("overwrite").partitionBy("field").parquet(path)
+        return Labels(self.spark, path)
+
+
+def fit_labels(df: DataFrame, columns: Sequence[str] = ENCODED) -> Labels:
+    """Label table in which codes rank the sorted distinct values of a column.
 
     Ranking is distributed: distinct values are range-partitioned and sorted,
     ranked inside their partition, and shifted by the number of values in the
     partitions before it. The partitioning is checkpointed first, so a lost
-    executor cannot re-cut the ranges between counting and ranking; the table
-    is checkpointed because every encoded column reads it.
+    executor cannot re-cut the ranges between counting and ranking.
     """
     spark = df.sparkSession
     checkpoint_root(spark)
@@ -99,21 +121,22 @@ def fit_labels(df: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
         for c in columns
     ])
     distinct = df.select(F.inline(pairs)).distinct()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (distinct.repartitionByRange(parts, "field", "value")
+    placed = (distinct.repartitionByRange("field", "value")
               .withColumn("part", F.spark_partition_id()).checkpoint())
     before = Window.partitionBy("field").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1)
     shifts = placed.groupBy("field", "part").agg(F.count(F.lit(1)).alias("n")).select(
         "field", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("field", "part").orderBy("value")
-    return (placed.withColumn("rank", F.row_number().over(within))
-            .join(shifts, ["field", "part"])
-            .select("field", "value", (F.col("shift") + F.col("rank") - 1).alias("code"))
-            .checkpoint())
+    ranked = (placed.withColumn("rank", F.row_number().over(within))
+              .join(shifts, ["field", "part"])
+              .select("value", (F.col("shift") + F.col("rank") - 1).alias("code"), "field"))
+    path = scratch_path(spark, "labels")
+    ranked.write.partitionBy("field").parquet(path)
+    return Labels(spark, path)
 
 
-def encode(df: DataFrame, labels: DataFrame, columns: Sequence[str] = ENCODED) -> DataFrame:
+def encode(df: DataFrame, labels: Labels, columns: Sequence[str] = ENCODED) -> DataFrame:
     """Add ``<column>_encoded``. A value the table has not seen gets the next
     free code, so a trained model's inputs are never re-coded."""
     out = df
@@ -122,7 +145,7 @@ def encode(df: DataFrame, labels: DataFrame, columns: Sequence[str] = ENCODED) -
         if name not in df.columns:
             out = out.withColumn(target, F.lit(0).cast("bigint"))
             continue
-        codes = labels.where(F.col("field") == name).select(
+        codes = labels.codes(name).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
         unseen = codes.agg(F.count(F.lit(1))).scalar()
         value = F.coalesce(F.col(name).cast("string"), F.lit(MISSING_LABEL))
@@ -183,7 +206,7 @@ def blend(df: DataFrame, name: str = "overall_risk_score", enriched: bool | None
 class RiskModels:
     """Fitted forests, or a constant score where the target had one class only."""
 
-    labels: DataFrame | None
+    labels: Labels | None
     features: tuple[str, ...] = ()
     forests: dict[str, RandomForestClassificationModel] = field(default_factory=dict)
     constants: dict[str, float] = field(default_factory=dict)
@@ -206,7 +229,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return vectors.transform(numbers).drop(*[f"_f_{c}" for c in features])
 
 
-def train(df: DataFrame, labels: DataFrame | None = None, trees: int = 100, max_depth: int = 5,
+def train(df: DataFrame, labels: Labels | None = None, trees: int = 100, max_depth: int = 5,
           seed: int = 42, evaluate: bool = False) -> RiskModels:
     """Fit the three forests on four fifths of the rows.
 
@@ -261,21 +284,26 @@ def predict(df: DataFrame, models: RiskModels) -> DataFrame:
     return blend(out.drop("features"))
 
 
-def prepare(df: DataFrame, cfg: AnalysisConfig, labels: DataFrame | None = None,
-            enrichment: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def prepare(df: DataFrame, cfg: AnalysisConfig, labels: Labels | None = None,
+            enrichment: DataFrame | None = None) -> tuple[DataFrame, Labels]:
     """Feature frame and its label table.
 
-    The features are spread evenly by key and checkpointed, since training
-    passes over them many times.
+    The features are cut into even partitions by key and checkpointed, since
+    training passes over them many times. Data too small to fill the cores is
+    spread over them.
     """
-    checkpoint_root(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_root(spark)
     rows = with_features(df, cfg)
     if enrichment is not None:
         rows = with_enrichment(rows, enrichment)
     if labels is None:
         labels = fit_labels(df, [c for c in ENCODED if c in df.columns])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return encode(rows, labels).repartition(parts, "key").checkpoint(), labels
+    even = encode(rows, labels).hint("rebalance", "key").checkpoint()
+    cores = spark.sparkContext.defaultParallelism
+    if even.rdd.getNumPartitions() < cores:
+        even = even.repartition(cores, "key")
+    return even, labels
 
 
 def score_risks(df: DataFrame, cfg: AnalysisConfig, enrichment: DataFrame | None = None,
@@ -291,7 +319,7 @@ def save_models(models: RiskModels, path: str) -> None:
     for name, model in models.forests.items():
         model.write().overwrite().save(f"{path}/{name}_model")
     if models.labels is not None:
-        models.labels.write.mode("overwrite").parquet(f"{path}/labels")
+        models.labels.save(f"{path}/labels")
     facts = [("feature", c, float(i)) for i, c in enumerate(models.features)]
     facts += [("constant", n, v) for n, v in models.constants.items()]
     facts += [("forest", n, 1.0) for n in models.forests]
@@ -302,7 +330,7 @@ def save_models(models: RiskModels, path: str) -> None:
 def load_models(spark: SparkSession, path: str) -> RiskModels:
     facts = spark.read.parquet(f"{path}/settings").orderBy("kind", "value").collect()
     return RiskModels(
-        labels=spark.read.parquet(f"{path}/labels"),
+        labels=Labels(spark, f"{path}/labels"),
         features=tuple(r["name"] for r in facts if r["kind"] == "feature"),
         forests={r["name"]: RandomForestClassificationModel.load(f"{path}/{r['name']}_model")
                  for r in facts if r["kind"] == "forest"},

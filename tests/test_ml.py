@@ -60,7 +60,7 @@ def test_status_codes(issues, cfg):
 
 def test_labels_rank_sorted_values(spark, issues):
     labels = ml.fit_labels(issues, ["reporter", "severity"])
-    got = {(r["field"], r["value"]): r["code"] for r in labels.collect()}
+    got = {(r["field"], r["value"]): r["code"] for r in labels.table().collect()}
     expected = {("reporter", v): i for i, v in enumerate(sorted(["ann", "Bob", "zoe", "unknown"]))}
     expected |= {("severity", v): i for i, v in enumerate(["S1", "S2", "unknown"])}
     assert got == expected
@@ -69,7 +69,7 @@ def test_labels_rank_sorted_values(spark, issues):
 def test_labels_over_many_values(spark):
     values = sorted({f"{random.Random(i).random():.9f}" for i in range(3000)})
     df = spark.createDataFrame([(v,) for v in values * 2], "reporter string")
-    got = {r["value"]: r["code"] for r in ml.fit_labels(df, ["reporter"]).collect()}
+    got = {r["value"]: r["code"] for r in ml.fit_labels(df, ["reporter"]).table().collect()}
     assert got == {v: i for i, v in enumerate(values)}
 
 
@@ -82,6 +82,11 @@ def test_unseen_values_do_not_move_known_codes(spark, issues):
     assert ml.encode(new, labels, ["project"]).first()["project_encoded"] == 0
 
 
+def test_a_field_without_labels_encodes_as_unseen(spark, issues):
+    labels = ml.fit_labels(issues.limit(0), ["reporter"])
+    assert ml.encode(issues, labels, ["reporter"]).first()["reporter_encoded"] == 0
+
+
 def test_enrichment_fills_with_the_median(spark):
     keys = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "key string")
     given = spark.createDataFrame(
