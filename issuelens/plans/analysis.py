@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from issuelens.config import AnalysisConfig
 from issuelens.operators import health, ml, recommend, releases, report, risk, summary, trends
 from issuelens.operators.derive import with_defaults, with_derived
 from issuelens.operators.risk import RISK_COLUMNS
+from issuelens.schema import with_missing
 from issuelens.sources.store import DefectStore
 
 VALUE_COLUMNS = ("project", "priority", "issue_type", "severity", "release_name")
@@ -23,10 +23,14 @@ BASE_COLUMNS = ("key", "project", "summary", "issue_type", "priority", "status",
 
 
 def analysis_base(defects: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """The narrow frame all sections share. Persist it when running many of
-    them; descriptions, changelogs and raw JSON are not part of it."""
-    rows = with_derived(with_defaults(defects), cfg)
-    return rows.select([c for c in BASE_COLUMNS if c in rows.columns])
+    """The narrow frame all sections share. Persist or stage it when running
+    many of them; descriptions, changelogs and raw JSON are not part of it.
+
+    A column the source lacks is NULL, so its sections come out empty instead
+    of failing.
+    """
+    rows = with_derived(with_defaults(with_missing(defects)), cfg)
+    return rows.select(*BASE_COLUMNS)
 
 
 def comprehensive_analysis(base: DataFrame, cfg: AnalysisConfig, learned: bool = False,
@@ -130,9 +134,8 @@ def full_report(base: DataFrame, cfg: AnalysisConfig) -> DataFrame:
                               parts["recommendations"], parts["top_risks"])
 
 
-def default_releases(cfg: AnalysisConfig, requested: Sequence[str] | None = None) -> list[str]:
-    return list(requested or cfg.default_releases)
-
-
-def store_trendline(store: DefectStore, wanted: Sequence[str]) -> DataFrame:
-    return trends.trendline(store.get_defects(wanted).where(F.col("created").isNotNull()), wanted)
+def store_trendline(store: DefectStore, cfg: AnalysisConfig,
+                    wanted: Sequence[str] | None = None) -> DataFrame:
+    """Daily discoveries of stored releases, the configured ones by default."""
+    names = list(wanted or cfg.default_releases)
+    return trends.trendline(store.get_defects(names), names)

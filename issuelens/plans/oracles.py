@@ -375,6 +375,9 @@ SELECT name, CASE WHEN is_active THEN description ELSE 'registered again' END AS
     "store_read_open": _store_read("status NOT IN ('Resolved', 'Closed', 'Done')"),
     "store_read_closed": _store_read("status IN ('Resolved', 'Closed', 'Done')"),
     "store_roundtrip": STORED.format(star=STAR, registry=REGISTRY),
+    "csv_roundtrip": f"""{STAR}
+SELECT key, status, age_days, resolution_time_hours, is_resolved,
+  nullif(components_str, '') AS components, nullif(labels_str, '') AS labels FROM issue""",
     "results_roundtrip": f"""{STAR}
 SELECT release_name, 'projects' AS analysis_type, project, count(*) AS total_defects,
   count(*) FILTER (WHERE NOT is_resolved) AS open_defects, max(age_days) AS oldest

@@ -30,6 +30,7 @@ from issuelens.operators.derive import with_defaults, with_derived
 from issuelens.plans import analysis
 from issuelens.session import scratch_path, staged
 from issuelens.sources import issue_json, pages, star
+from issuelens.sources.exports import write_csv
 from issuelens.sources.star import CONFIG, defects, table
 from issuelens.sources.store import DefectStore
 from issuelens.streaming import flows
@@ -253,6 +254,19 @@ def store_roundtrip(spark, sf_dir):
     return store.releases_with_counts().select("name", "total_defects", "open_defects")
 
 
+@query
+def csv_roundtrip(spark, sf_dir):
+    """Issues exported as CSV, lists joined, and read back."""
+    path = scratch_path(spark, "csv")
+    rows = defects(spark, sf_dir, ["key", "status", "age_days", "resolution_time_hours",
+                                   "is_resolved", "components", "labels"])
+    write_csv(rows, path)
+    return (spark.read.option("header", True).option("enforceSchema", False)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .schema("key string, status string, age_days bigint, resolution_time_hours double, "
+                    "is_resolved boolean, components string, labels string").csv(path))
+
+
 @query
 def results_roundtrip(spark, sf_dir):
     """Analysis sections appended to a written store and read back."""

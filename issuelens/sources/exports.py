@@ -19,5 +19,6 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One folder of CSV parts with headers; quotes and line breaks survive."""
-    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """One folder of CSV parts with headers; quotes, blanks and line breaks survive."""
+    (flat(df).write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

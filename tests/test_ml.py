@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from issuelens.operators import ml, risk
 from issuelens.operators.derive import with_derived
+from issuelens.plans import analysis
 from issuelens.sources.store import DefectStore
 
 ROWS = ("key string, project string, issue_type string, priority string, status string, "
@@ -91,7 +92,8 @@ def test_enrichment_fills_with_the_median(spark):
     keys = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "key string")
     given = spark.createDataFrame(
         [("A", "critical", "Severe outage"), ("B", "low", "moderate pain"),
-         ("X", "critical", "critical"), ("C", "odd", None)], "key string, level string, user_impact string")
+         ("X", "critical", "critical"), ("C", "odd", None)],
+        "key string, level string, user_impact string")
     got = {r["key"]: (r["ai_severity_score"], r["ai_user_impact"])
            for r in ml.with_enrichment(keys, given).collect()}
     assert got == {"A": (1.0, 1.0), "B": (0.25, 0.5), "C": (0.5, 0.25), "D": (0.5, 0.5)}
@@ -181,3 +183,10 @@ def test_predictions_are_stored(spark, trained, tmp_path):
                             "forest", "overall_risk_score")
     assert store.predictions().count() == 160
     assert store.predictions().first()["model_type"] == "forest"
+
+
+def test_learned_ranking_in_the_full_analysis(issues, cfg):
+    base = analysis.analysis_base(issues, cfg)
+    parts = analysis.comprehensive_analysis(base, cfg, learned=True, trees=5)
+    got = [r["risk_score"] for r in parts["top_risks"].collect()]
+    assert len(got) == 25 and got == sorted(got, reverse=True)

@@ -322,3 +322,13 @@ def test_compare_releases(spark, cfg):
 def test_preview_is_newest_first(frame):
     got = [r["key"] for r in report.preview(frame(), 2).collect()]
     assert got == ["AAA-2", "BBB-1"]
+
+
+def test_a_frame_with_only_keys_has_empty_sections(spark, cfg):
+    base = analysis.analysis_base(spark.createDataFrame([("A-1",)], "key string"), cfg)
+    parts = analysis.comprehensive_analysis(base, cfg)
+    assert one(parts["summary"])["total_defects"] == 1
+    assert one(parts["undated"]) == {"undated": 1}
+    for name in ("weekly_trend", "component_analysis", "resolution_time_percentiles",
+                 "top_critical_components", "assignee_analysis"):
+        assert parts[name].collect() == [], name
