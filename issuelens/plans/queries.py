@@ -818,7 +818,7 @@ def stream_daily_counts(spark, sf_dir):
                      orders=_stream(spark, sf_dir, "orders"))
     sink = scratch_path(spark, "daily")
     flows.append_updates(flows.daily_counts(issues), sink, f"{sink}-log").awaitTermination()
-    daily = flows.current_rows(spark, sink, "release_name string, day timestamp, daily_count bigint",
+    daily = flows.current_rows(spark, sink, "release_name string, day date, daily_count bigint",
                                ["release_name", "day"])
     return _day_text(flows.streamed_trendline(daily))
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from issuelens.functions.status import finished
@@ -10,7 +11,17 @@ from issuelens.streaming import flows
 from test_reopens import LOG, RESOLVED, brute_force, make_log
 
 
-def test_daily_counts_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_daily_counts_equal_batch(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _check_daily_counts(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def _check_daily_counts(spark, tmp_path):
     start = datetime(2026, 1, 1)
     rows = [(f"R{i % 2}", start + timedelta(hours=5 * i)) for i in range(60)]
     df = spark.createDataFrame(rows, "release_name string, created timestamp_ntz")
@@ -20,7 +31,7 @@ def test_daily_counts_equal_batch(spark, tmp_path):
     sink = str(tmp_path / "sink")
     flows.append_updates(flows.daily_counts(stream, "400 days"), sink,
                          str(tmp_path / "log")).awaitTermination()
-    daily = flows.current_rows(spark, sink, "release_name string, day timestamp, daily_count bigint",
+    daily = flows.current_rows(spark, sink, "release_name string, day date, daily_count bigint",
                                ["release_name", "day"])
     got = {(r["release_name"], r["d"], r["daily_count"], r["cumulative_count"])
            for r in flows.streamed_trendline(daily).withColumn(
