@@ -42,7 +42,11 @@ ORDER_COLUMNS = {"key", "status", "priority", "resolution", "release_name", "aff
                  "fix_versions"}
 CUSTOMER_COLUMNS = {"project", "reporter", "created", "market"}
 NATION_COLUMNS = {"project", "project_name"}
-LINE_COLUMNS = {"issue_type", "assignee", "severity", "labels", "components", "resolved", "updated"}
+LINE_COLUMNS = {"issue_type", "assignee", "severity", "labels", "components", "resolved", "updated",
+                "has_components", "has_labels"}
+# Flags that need no list when the list itself is not asked for.
+LIST_FLAGS = {"has_components": {"components", "components_str"},
+              "has_labels": {"labels", "labels_str"}}
 TEXT_COLUMNS = {"summary", "description", "summary_length", "description_length",
                 "has_description"}
 DERIVED_INPUTS = {
@@ -55,8 +59,6 @@ DERIVED_INPUTS = {
     "created_month": {"created"},
     "created_day": {"created"},
     "has_assignee": {"assignee"},
-    "has_components": {"components"},
-    "has_labels": {"labels"},
     "components_str": {"components"},
     "labels_str": {"labels"},
 }
@@ -98,6 +100,7 @@ def defects(spark: SparkSession, sf_dir: str, columns: Iterable[str],
     columns = list(columns)
     wanted = set(columns)
     base = set().union(*(DERIVED_INPUTS.get(c, {c}) for c in wanted))
+    base -= {flag for flag, lists in LIST_FLAGS.items() if lists & wanted}
     if base & {"resolved", "updated"}:
         base |= {"created", "resolved"}
 
@@ -162,6 +165,8 @@ RULES: dict[str, Callable[[], Column]] = {
     "resolved": lambda: _resolved_day().cast("timestamp_ntz"),
     "components": lambda: F.col("brands"),
     "labels": lambda: F.col("flags"),
+    "has_components": lambda: F.coalesce("any_brand", F.lit(False)),
+    "has_labels": lambda: F.coalesce("any_flag", F.lit(False)),
     "affected_versions": lambda: F.array(_release()),
     "fix_versions": lambda: F.when(F.col("o_orderstatus") == "F", F.array(_release())),
     "market": lambda: F.col("c_mktsegment"),
@@ -196,7 +201,7 @@ def _join_lines(spark: SparkSession, sf_dir: str, df: DataFrame, base: set[str])
     """
     lines = table(spark, sf_dir, "lineitem")
     first_wanted = base & {"issue_type", "assignee", "severity"}
-    with_brand = "components" in base
+    with_brand = bool(base & {"components", "has_components"})
     part = table(spark, sf_dir, "part")
     order = ["l_linenumber", "l_partkey"]
     if first_wanted - {"issue_type"}:
@@ -213,8 +218,12 @@ def _join_lines(spark: SparkSession, sf_dir: str, df: DataFrame, base: set[str])
         aggregates.append(F.min(F.struct(*order)).alias("first"))
     if base & {"resolved", "updated"}:
         aggregates.append(F.max("l_shipdate").alias("last_ship"))
-    if with_brand:
+    if "components" in base:
         aggregates.append(F.array_sort(F.collect_set("p_brand")).alias("brands"))
+    if "has_components" in base:
+        aggregates.append(F.max(F.col("p_brand").isNotNull()).alias("any_brand"))
+    if "has_labels" in base:
+        aggregates.append(F.max(F.col("l_returnflag").isNotNull()).alias("any_flag"))
     if "labels" in base:
         aggregates.append(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
     per_order = lines.groupBy("l_orderkey").agg(*aggregates)
