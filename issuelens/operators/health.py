@@ -101,10 +101,13 @@ def aging_by(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _oldest_first() -> list[Column]:
+    return [F.col("age_days").desc_nulls_last(), F.col("created").desc_nulls_last(), F.col("key")]
+
+
 def oldest_open(df: DataFrame) -> DataFrame:
     """The oldest open issue, newest-first order breaking ties; always one row."""
-    top = df.where(_is_open()).orderBy(
-        F.col("age_days").desc_nulls_last(), F.col("created").desc_nulls_last(), "key").limit(1)
+    top = df.where(_is_open()).orderBy(*_oldest_first()).limit(1)
     return top.agg(
         F.first("key").alias("key"),
         F.coalesce(F.first("age_days"), F.lit(0)).cast("bigint").alias("age"),
@@ -112,6 +115,14 @@ def oldest_open(df: DataFrame) -> DataFrame:
     )
 
 
+def oldest_open_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The oldest open issue of each group that has one."""
+    within = Window.partitionBy(*by).orderBy(*_oldest_first())
+    ranked = df.where(_is_open()).withColumn("_rank", F.row_number().over(within))
+    return ranked.where("_rank = 1").select(
+        *by, "key", F.col("age_days").alias("age"), "project").orderBy(*by)
+
+
 def aging_thresholds(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     def older(days: int) -> Column:
         return F.count_if(_is_open() & (F.col("age_days") > days)).alias(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,10 @@ def _rule(kind: str, message: Column, action: Column | str, count: Column, thres
     return F.struct(*fields, *[F.lit(v).alias(k) for k, v in extra.items()])
 
 
-def _fired(facts: DataFrame, rules: list[Column]) -> DataFrame:
-    return (facts.select(F.inline(F.array(*rules))).where(F.col("count") > F.col("threshold"))
-            .drop("threshold").orderBy("position"))
+def _fired(facts: DataFrame, rules: list[Column], by: Sequence[str] = ()) -> DataFrame:
+    return (facts.select(*by, F.inline(F.array(*rules)))
+            .where(F.col("count") > F.col("threshold"))
+            .drop("threshold").orderBy(*by, "position"))
 
 
 def _text(template: str, *values: str | Column) -> Column:
@@ -72,26 +75,27 @@ def comprehensive_recommendations(df: DataFrame) -> DataFrame:
     ])
 
 
-def quick_recommendations(df: DataFrame) -> DataFrame:
+def quick_recommendations(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Up to three rules, from one pass: counts per (project, severity) are
     rolled up to projects and to severities together."""
     is_open = ~F.col("is_resolved")
     sums = ("n", "critical_n", "old_open")
-    joint = df.groupBy("project", "severity").agg(
+    joint = df.groupBy(*by, "project", "severity").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("is_critical").alias("critical_n"),
         F.count_if((F.col("age_days") > 14) & is_open).alias("old_open"),
     )
-    rolled = joint.groupingSets([["project"], ["severity"]], "project", "severity").agg(
+    rolled = joint.groupingSets(
+        [[*by, "project"], [*by, "severity"]], *by, "project", "severity").agg(
         *[F.sum(c).alias(c) for c in sums], F.grouping("severity").alias("of_project"))
     of_project = F.col("of_project") == 1
     known = ~of_project & (F.col("severity") != "Unknown")
-    facts = rolled.agg(
+    facts = rolled.groupBy(*by).agg(
         F.sum(F.when(of_project, F.col("old_open"))).alias("old_open"),
         _largest("critical_n", "project", of_project).alias("worst"),
         _largest("n", "severity", known).alias("common"),
     ).select(
-        "old_open",
+        *by, "old_open",
         F.col("worst.name").alias("project"), (-F.col("worst.n")).alias("critical_n"),
         F.col("common.name").alias("severity"), (-F.col("common.n")).alias("severity_n"),
     )
@@ -105,4 +109,4 @@ def quick_recommendations(df: DataFrame) -> DataFrame:
         _rule("custom_field_pattern",
               _text("Most common severity value: %s (%d defects)", "severity", "severity_n"),
               _text("Investigate pattern in severity = %s", "severity"), F.col("severity_n"), 0, 3),
-    ])
+    ], by)

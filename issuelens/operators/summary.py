@@ -138,22 +138,24 @@ def value_counts_grouping_sets(df: DataFrame, columns: Sequence[str]) -> DataFra
     )
 
 
-def severity_profile(df: DataFrame, column: str = "severity", unknown: str = "Unknown") -> DataFrame:
+def severity_profile(df: DataFrame, column: str = "severity", unknown: str = "Unknown",
+                     by: Sequence[str] = ()) -> DataFrame:
     """Distribution with the unknown count and the most common known value.
 
     The windows run over one row per severity value.
     """
-    counts = (df.where(F.col(column).isNotNull()).groupBy(column)
+    counts = (df.where(F.col(column).isNotNull()).groupBy(*by, column)
               .agg(F.count(F.lit(1)).alias("n")))
     known = F.col(column) != unknown
-    everything = Window.orderBy(known.desc(), F.col("n").desc(), column).rowsBetween(
+    everything = Window.partitionBy(*by).orderBy(
+        known.desc(), F.col("n").desc(), column).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first(column).over(everything)
     return counts.select(
-        column, "n",
+        *by, column, "n",
         F.sum(F.when(known, 0).otherwise(F.col("n"))).over(everything).alias("unknown_count"),
         F.nullif(first, F.lit(unknown)).alias("most_common"),
-    ).orderBy(F.col("n").desc(), column)
+    ).orderBy(*by, F.col("n").desc(), column)
 
 
 def project_breakdown(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -95,11 +95,14 @@ def sections_by_release(base: DataFrame) -> dict[str, DataFrame]:
         "summary": summary.quick_summary(base, by),
         "project_breakdown": summary.project_breakdown(base, by),
         "distributions": summary.value_counts(base, ["priority", "issue_type", "severity"], by),
+        "custom_field": summary.severity_profile(base, by=by),
         "aging": health.age_histogram(base, by),
         "aging_thresholds": health.aging_thresholds(base, by),
+        "oldest_open_defect": health.oldest_open_by(base, by),
         "cross_project_insights": summary.cross_project_insights(base, by),
         "top_risks": risk.top_risks_by(risk.with_risk(base), by).select(
             "release_name", "position", *RISK_COLUMNS),
+        "recommendations": recommend.quick_recommendations(base, by),
     }
 
 

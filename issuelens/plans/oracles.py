@@ -459,6 +459,38 @@ ranked AS (
       ORDER BY {r("raw_score", 3)} DESC, created DESC, key) AS INTEGER) AS position FROM risk
 )
 SELECT release_name, position, key, project, risk_score FROM ranked WHERE position <= 5""",
+    "release_oldest_open": f"""{STAR}
+SELECT release_name, key, age_days AS age, project FROM issue WHERE NOT is_resolved
+QUALIFY row_number() OVER (PARTITION BY release_name ORDER BY age_days DESC, created DESC, key) = 1""",
+    "release_severities": f"""{STAR},
+counts AS (SELECT release_name, severity, count(*) AS n FROM issue GROUP BY ALL)
+SELECT c.release_name, severity, n,
+  coalesce((SELECT u.n FROM counts u
+    WHERE u.release_name = c.release_name AND u.severity = 'Unknown'), 0) AS unknown_count,
+  (SELECT arg_min(k.severity, (-k.n, k.severity)) FROM counts k
+    WHERE k.release_name = c.release_name AND k.severity <> 'Unknown') AS most_common
+FROM counts c""",
+    "release_recommendations": f"""{STAR},
+worst AS (
+  SELECT release_name, project, count(*) AS n FROM issue WHERE is_critical
+  GROUP BY release_name, project QUALIFY row_number() OVER (PARTITION BY release_name ORDER BY n DESC, project) = 1
+),
+common AS (
+  SELECT release_name, severity, count(*) AS n FROM issue WHERE severity <> 'Unknown'
+  GROUP BY release_name, severity QUALIFY row_number() OVER (PARTITION BY release_name ORDER BY n DESC, severity) = 1
+),
+aged AS (
+  SELECT release_name, count(*) AS n FROM issue WHERE age_days > 14 AND NOT is_resolved GROUP BY 1
+)
+SELECT release_name, 'cross_project_critical' AS type,
+  'Project ''' || project || ''' has ' || n || ' critical bugs' AS message,
+  'Focus QA efforts on ' || project || ' project' AS action, n AS "count" FROM worst
+UNION ALL SELECT release_name, 'aging_defects',
+  n || ' defects across all projects are older than 14 days',
+  'Review and prioritize old defects across all projects', n FROM aged
+UNION ALL SELECT release_name, 'custom_field_pattern',
+  'Most common severity value: ' || severity || ' (' || n || ' defects)',
+  'Investigate pattern in severity = ' || severity, n FROM common""",
     "store_stats": f"""{STAR}, {REGISTRY}
 SELECT (SELECT count(*) FROM registry WHERE is_active) AS active_releases,
   (SELECT count(*) FROM issue) AS total_defects,

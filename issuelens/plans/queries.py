@@ -358,6 +358,26 @@ def release_top_risks(spark, sf_dir):
         "release_name", "position", "key", "project", "risk_score")
 
 
+@query
+def release_oldest_open(spark, sf_dir):
+    rows = defects(spark, sf_dir, ["release_name", "key", "project", "age_days", "created",
+                                   "is_resolved"])
+    return health.oldest_open_by(rows, ["release_name"])
+
+
+@query
+def release_severities(spark, sf_dir):
+    return summary.severity_profile(
+        defects(spark, sf_dir, ["release_name", "severity"]), by=["release_name"])
+
+
+@query
+def release_recommendations(spark, sf_dir):
+    rows = defects(spark, sf_dir, ["release_name", "project", "severity", "is_critical",
+                                   "is_resolved", "age_days"])
+    return recommend.quick_recommendations(rows, ["release_name"]).drop("position")
+
+
 @query
 def store_stats(spark, sf_dir):
     rows = defects(spark, sf_dir, ["release_name", "status"])

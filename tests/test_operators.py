@@ -332,3 +332,23 @@ def test_a_frame_with_only_keys_has_empty_sections(spark, cfg):
     for name in ("weekly_trend", "component_analysis", "resolution_time_percentiles",
                  "top_critical_components", "assignee_analysis"):
         assert parts[name].collect() == [], name
+
+
+def test_sections_per_release_equal_the_sections_of_each_release(spark, cfg):
+    base = analysis.analysis_base(_full(spark, cfg), cfg).cache()
+    parts = analysis.sections_by_release(base)
+    alone = {
+        "project_breakdown": summary.project_breakdown,
+        "custom_field": summary.severity_profile,
+        "aging": health.age_histogram,
+        "aging_thresholds": health.aging_thresholds,
+        "oldest_open_defect": health.oldest_open,
+        "cross_project_insights": summary.cross_project_insights,
+        "recommendations": recommend.quick_recommendations,
+    }
+    for release in ("REL-23", "REL-24", "REL-25"):
+        rows_of = base.where(F.col("release_name") == release)
+        for name, section in alone.items():
+            got = parts[name].where(F.col("release_name") == release).drop("release_name")
+            assert rows(got) == rows(section(rows_of)), (release, name)
+    base.unpersist()
