@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from issuelens.llm.bytetext import slices
+from issuelens.llm.deploy import deployed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The white space of the pre-token pattern (property White_Space).
@@ -39,7 +40,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: one blank before it, or what the pattern takes of a white run.
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Units and pre-tokens remembered by a Python worker before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def ranks(path: str | None = None) -> list[bytes]:
@@ -153,6 +154,7 @@ def _binary(parts: list[bytes]) -> pa.Array:
 
 def _appended(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` without a column that the new one would clash with, and the result's schema."""
+    deployed(df.sparkSession)
     kept = df.drop(*[c for c in df.columns if c.lower() == name.lower()])
     return kept, kept.withColumn(name, F.lit(b"").cast("binary")).schema
 

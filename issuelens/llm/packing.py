@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from issuelens.llm.bpe import byte_characters
 from issuelens.llm.bytetext import slices
+from issuelens.llm.deploy import deployed
 
 VOCABULARY = "word_bpe_49k.json"
 MAX_LENGTH = 2048
 END_ID = 1
 #: Words and pieces of words remembered by a Python worker before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Characters at which the tokenizer's own pattern certainly splits, and drops them.
 WORDS = re.compile(r"[^ \t-\r]+")
 #: Words of ASCII and Latin-1 letters: already in normal form, one lower-case letter each.
@@ -118,6 +119,7 @@ def pack(docs: DataFrame, path: str | None = None, max_length: int = MAX_LENGTH,
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    deployed(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
