@@ -112,7 +112,7 @@ def _extended(slot: int, documents: pa.Table, answers: pa.Table, run: int, bucke
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     starts = np.flatnonzero(new)
-    last = np.append(starts[1:], len(key)) - 1
+    last = starts + slots.sizes_of(starts, len(key)) - 1
     return slots.dealt(slot, key[starts], {
         "key": key[starts], "check": check[starts], "doc": ids[starts], "line": line[starts],
         "last_doc": ids[last], "last_line": line[last]}, buckets)

@@ -132,10 +132,11 @@ def _gathered_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     return data[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
 
 
-def _surrounded(slot: int, documents: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
+def _surrounded(slot: int, documents: pa.Table, answers: pa.Table, length: int, buckets: int,
+                large: int) -> pa.Table:
     """Anchors of small groups with the bytes of all their windows."""
     _, known = slots.gathered(answers, COUNTED)
-    members = slots.Members(known["key"][known["n"] <= LARGE])
+    members = slots.Members(known["key"][known["n"] <= large])
     parts, texts = [], []
     for rows, data, offsets in bytetext.slices(documents.to_batches()):
         anchors = Anchors(data, offsets, length)
@@ -334,10 +335,11 @@ def _checks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return (bytetext.mixed(second) >> np.uint64(32)).astype("<u4")
 
 
-def _single_windows(slot: int, documents: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
+def _single_windows(slot: int, documents: pa.Table, answers: pa.Table, length: int, buckets: int,
+                    large: int) -> pa.Table:
     """Windows of the anchors that occur too often for a group, equal ones merged."""
     _, known = slots.gathered(answers, COUNTED)
-    members = slots.Members(known["key"][known["n"] > LARGE])
+    members = slots.Members(known["key"][known["n"] > large])
     keys, checks = [np.zeros(0, np.uint64)], [np.zeros(0, "<u4")]
     if len(members.known):
         for _, data, offsets in bytetext.slices(documents.to_batches()):
@@ -418,7 +420,8 @@ def _removed(documents: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, large: int = LARGE, id_col: str = "doc_id",
+          text_col: str = "text") -> DataFrame:
     """Per row: bytes, the bytes kept, and the removed runs."""
     slotted = slots.in_slots(docs, id_col, text_col)
     buckets = slots.bucket_count(slotted)
@@ -426,11 +429,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                            lambda slot, d: _anchored(slot, d, length, buckets))
     counted = staged(asked.groupBy("bucket").applyInArrow(_counted, slots.answer_schema(COUNTED)), "anchors")
     groups = slots.with_answers(slotted, counted, slots.entries_schema({**GROUPED, "text": ""}),
-                                lambda slot, d, a: _surrounded(slot, d, a, length, buckets))
+                                lambda slot, d, a: _surrounded(slot, d, a, length, buckets, large))
     ranges = groups.groupBy("bucket").applyInArrow(
         lambda t: _sorted_groups(t, length), slots.answer_schema(ANSWER))
     windows = slots.with_answers(slotted, counted, slots.entries_schema(WINDOW),
-                                 lambda slot, d, a: _single_windows(slot, d, a, length, buckets))
+                                 lambda slot, d, a: _single_windows(slot, d, a, length, buckets, large))
     same = windows.groupBy("bucket").applyInArrow(_same_windows, slots.answer_schema(ANSWER))
     return slots.with_answers(slotted, ranges.union(same), RESULT, lambda slot, d, a: _removed(d, a, length))
 
