@@ -14,32 +14,51 @@ from issuelens.operators.releases import in_releases
 KEYS = ("key", "release_name")
 
 
-def latest(rows: DataFrame, keys: Sequence[str], newest: Sequence[Column | str]) -> DataFrame:
-    """The newest row per key. The rank filter runs in each map task first, so a
-    key with any number of copies sends one row per task."""
+def _row_hash(rows: DataFrame) -> Column:
+    """A hash over all columns that can be hashed (maps and variants cannot)."""
+    plain = [f.name for f in rows.schema.fields
+             if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(*plain)
+
+
+def latest(rows: DataFrame, keys: Sequence[str], newest: Sequence[Column | str],
+           total: bool = False) -> DataFrame:
+    """The newest row per key.
+
+    Rows that are equal in ``newest`` are ordered by a hash of the row, so the
+    result does not depend on partitioning; ``total`` says that ``newest``
+    already tells any two rows of a key apart. The rank filter runs in each map
+    task first, so a key with any number of copies sends one row per task.
+    """
     order = [F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in newest]
+    if not total:
+        order.append(_row_hash(rows).desc())
     ranked = rows.withColumn("_rank", F.row_number().over(
         Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_rank = 1").drop("_rank")
 
 
+def missing_key(keys: Sequence[str] = KEYS) -> Column:
+    """Why a row cannot be stored; NULL when it can."""
+    reason = F.lit(None).cast("string")
+    for column in reversed(keys):
+        reason = F.when(F.col(column).isNull(), f"no {column}").otherwise(reason)
+    return reason
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS,
            newest: Sequence[Column | str] = ("batch_ts",)) -> DataFrame:
     """Old and new rows merged, the newest per (key, release) kept.
 
-    Rows that lack a key cannot be stored and are skipped.
+    Rows that lack a key cannot be stored; count them with ``rejected``.
     """
-    valid = new
-    for column in keys:
-        valid = valid.where(F.col(column).isNotNull())
+    valid = new.where(missing_key(keys).isNull())
     return latest(old.unionByName(valid, allowMissingColumns=True), keys, newest)
 
 
 def rejected(new: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """How many rows an upsert skips, so that a skip is never silent."""
-    complete = F.lit(True)
-    for column in keys:
-        complete = complete & F.col(column).isNotNull()
+    """How many rows an upsert stores and rejects."""
+    complete = missing_key(keys).isNull()
     return new.agg(F.count_if(complete).alias("stored"), F.count_if(~complete).alias("skipped"))
 
 
@@ -82,6 +101,11 @@ def store_stats(registry: DataFrame, defects: DataFrame, results: DataFrame) ->
     )
 
 
+def captured(columns: Sequence[str]) -> Column:
+    """These columns as one JSON text, missing values included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def raw_json(df: DataFrame) -> DataFrame:
     """Each row captured whole as JSON text beside its key."""
-    return df.select("key", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("raw_data"))
+    return df.select("key", captured(df.columns).alias("raw_data"))

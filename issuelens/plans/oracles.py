@@ -247,13 +247,28 @@ SELECT strftime(created, '{period}') AS {columns}
 FROM issue GROUP BY 1 ORDER BY 1 DESC LIMIT {limit}"""
 
 
-PAGE_COLUMNS = """key, project, project_name, issue_type, status, priority, reporter, assignee,
+PAGE_COLUMNS = """key, project, project_name, issue_type, status, priority, resolution, reporter, assignee,
   severity, market, strftime(created, '%Y-%m-%d') AS created_day, age_days,
-  resolution_time_hours, components_str, labels_str, 0::BIGINT AS reopen_count, release_name"""
+  resolution_time_hours, components_str, labels_str, coalesce(reopen_count, 0) AS reopen_count, release_name,
+  summary, description, strftime(CASE WHEN resolution_time_hours IS NULL THEN DATE '2001-08-02'
+    ELSE created + CAST(resolution_time_hours / 24 AS INTEGER) END, '%Y-%m-%d') AS updated_day,
+  CASE WHEN is_resolved THEN release_name ELSE '' END AS fix_versions"""
+
+# Reopens of the user of the same number; states as the landed changelogs name them.
+LANDED_REOPENS = """
+moves AS (
+  SELECT user_id, event_type AS to_state,
+    lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM events
+),
+landed AS (
+  SELECT user_id, count(*) FILTER (WHERE from_state = 'purchase' AND to_state <> 'purchase') AS reopen_count
+  FROM moves GROUP BY user_id
+)"""
 
 STORED = """{star}, {registry},
 stored AS (
-  SELECT release_name, CASE WHEN o_orderkey % 3 = 0 THEN 'Closed' ELSE status END AS status
+  SELECT release_name,
+    CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 30 <> 0 THEN 'Closed' ELSE status END AS status
   FROM issue
 )
 SELECT release_name AS name, count(*) AS total_defects,
@@ -344,9 +359,12 @@ SELECT key, substring(summary, 1, 80) || '...' AS always_80,
 SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0
   THEN value END AS value FROM events""",
     "raw_json": f"""{STAR}
-SELECT key, CAST(to_json(struct_pack(key := key, project := project, status := status,
-  priority := priority, resolution := resolution, release_name := release_name,
-  age_days := age_days, is_resolved := is_resolved)) AS VARCHAR) AS raw_data FROM issue""",
+SELECT key, CAST(to_json(struct_pack(key := key, project := project, project_name := project_name,
+  issue_type := issue_type, status := status, priority := priority, resolution := resolution,
+  reporter := reporter, assignee := assignee, severity := severity, release_name := release_name,
+  created_day := strftime(created, '%Y-%m-%d'), age_days := age_days, is_resolved := is_resolved,
+  is_critical := is_critical, is_open := is_open, components_str := components_str,
+  labels_str := labels_str)) AS VARCHAR) AS raw_data FROM issue""",
     "extraction_audit": f"""
 WITH counted AS (
   SELECT count(*) AS fetched, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS dropped FROM orders
@@ -354,10 +372,12 @@ WITH counted AS (
 SELECT fetched, fetched - dropped AS extracted, dropped,
   {r("(fetched - dropped) / fetched * 100", 1)} AS success_rate FROM counted""",
     # Landed pages
-    "page_scan": f"{STAR} SELECT {PAGE_COLUMNS} FROM issue",
+    "page_scan": f"""{STAR}, {LANDED_REOPENS}
+SELECT {PAGE_COLUMNS} FROM texted LEFT JOIN landed ON user_id = o_orderkey""",
     "page_audit": """SELECT count(*) AS announced, count(DISTINCT o_orderkey) AS obtained,
   count(*) - count(DISTINCT o_orderkey) AS missing,
-  count(*) > count(DISTINCT o_orderkey) AS truncated FROM orders""",
+  count(*) > count(DISTINCT o_orderkey) AS truncated,
+  (SELECT count(*) FROM region) AS corrupt_pages FROM orders""",
     # Scans, store and releases
     "scan_filter": f"""{STAR}
 SELECT key, severity, issue_type, strftime(created, '%Y-%m-%d') AS created_day FROM issue
@@ -375,9 +395,22 @@ SELECT name, CASE WHEN is_active THEN description ELSE 'registered again' END AS
     "store_read_open": _store_read("status NOT IN ('Resolved', 'Closed', 'Done')"),
     "store_read_closed": _store_read("status IN ('Resolved', 'Closed', 'Done')"),
     "store_roundtrip": STORED.format(star=STAR, registry=REGISTRY),
+    "store_rows": f"""{STAR}
+SELECT key, release_name, project, CASE WHEN changed THEN 'Closed' ELSE status END AS status, priority,
+  resolution, severity, assignee, summary, description,
+  strftime(CASE WHEN resolution_time_hours IS NULL THEN DATE '2001-08-02'
+    ELSE created + CAST(resolution_time_hours / 24 AS INTEGER) END, '%Y-%m-%d') AS updated_day,
+  CASE WHEN is_resolved THEN release_name ELSE '' END AS fix_versions,
+  CASE WHEN changed THEN 'Closed' ELSE status END AS raw_status
+FROM (SELECT *, o_orderkey % 3 = 0 AND o_orderkey % 30 <> 0 AS changed FROM texted)""",
+    "store_rejects": """
+SELECT 'no key' AS reason, count(*) AS n FROM orders WHERE o_orderkey % 30 = 0 HAVING count(*) > 0""",
     "csv_roundtrip": f"""{STAR}
-SELECT key, status, age_days, resolution_time_hours, is_resolved,
-  nullif(components_str, '') AS components, nullif(labels_str, '') AS labels FROM issue""",
+SELECT key, project, project_name, issue_type, status, priority, resolution, reporter, assignee, severity,
+  release_name, strftime(created, '%Y-%m-%d') AS created_day, age_days, resolution_time_hours,
+  is_resolved, is_critical, is_open, nullif(components_str, '') AS components,
+  nullif(labels_str, '') AS labels, nullif(summary, '') AS summary, nullif(description, '') AS description
+FROM texted""",
     "results_roundtrip": f"""{STAR}
 SELECT release_name, 'projects' AS analysis_type, project, count(*) AS total_defects,
   count(*) FILTER (WHERE NOT is_resolved) AS open_defects, max(age_days) AS oldest
@@ -743,4 +776,11 @@ SELECT key, {r("p * 0.4 + a * 0.3 + w * 0.3", 6)} AS plain,
 SELECT release_name AS name, count(*) AS total_defects,
   count(*) FILTER (WHERE status NOT IN ('Resolved', 'Closed', 'Done')) AS open_defects
 FROM issue GROUP BY 1""",
+    "stream_rejects": """
+SELECT reason, n FROM (
+  SELECT 'no key' AS reason, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT 'no release_name', count(*) FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT 'unreadable stamp', count(*) FROM orders WHERE o_orderkey % 11 = 0
+  UNION ALL SELECT 'corrupt page', count(*) FROM region)
+WHERE n > 0""",
 }

@@ -28,8 +28,10 @@ from issuelens.operators import (
 )
 from issuelens.operators.derive import with_defaults, with_derived
 from issuelens.plans import analysis
+from issuelens.schema import DEFECTS
 from issuelens.session import scratch_path, staged
-from issuelens.sources import issue_json, pages, star
+from issuelens.plans import issue_json
+from issuelens.sources import pages, star
 from issuelens.sources.exports import write_csv
 from issuelens.sources.star import CONFIG, defects, table
 from issuelens.sources.store import DefectStore
@@ -110,9 +112,13 @@ def nan_clean(spark, sf_dir):
 
 @query
 def raw_json(spark, sf_dir):
-    rows = defects(spark, sf_dir, ["key", "project", "status", "priority", "resolution",
-                                   "release_name", "age_days", "is_resolved"])
-    return upsert.raw_json(rows)
+    """Every column that the SQL twin can write as the same JSON."""
+    return upsert.raw_json(defects(spark, sf_dir, RAW_COLUMNS))
+
+
+RAW_COLUMNS = ["key", "project", "project_name", "issue_type", "status", "priority", "resolution",
+               "reporter", "assignee", "severity", "release_name", "created_day", "age_days",
+               "is_resolved", "is_critical", "is_open", "components_str", "labels_str"]
 
 
 @query
@@ -128,34 +134,75 @@ def extraction_audit(spark, sf_dir):
 
 
 PAGE_COLUMNS = ["key", "project", "project_name", "issue_type", "status", "priority", "created",
-                "resolved", "reporter", "assignee", "components", "labels", "affected_versions",
-                "severity", "market"]
+                "updated", "resolved", "resolution", "reporter", "assignee", "components", "labels",
+                "affected_versions", "fix_versions", "severity", "market", "summary", "description"]
+
+
+def _with_changelog(spark, sf_dir, rows):
+    """Issues with the changelog of the user of the same number, some with an empty history."""
+    pairs = reopens.transition_pairs(star.state_log(spark, sf_dir))
+    named = lambda c: F.when(F.col(c) == "purchase", "Resolved").otherwise(F.col(c))
+    paged = reopens.nested_changelog(pairs.withColumns({
+        "from_state": named("from_state"),
+        "to_state": F.when(F.col("to_state") != "view", named("to_state"))}))
+    whole = paged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("page", "histories"))).alias("pages"))
+    logs = whole.select(
+        F.substring("key", 5, 20).cast("bigint").alias("number"),
+        F.flatten(F.col("pages.histories")).alias("histories"))
+    empty = F.array(F.struct(
+        F.lit("2001-08-01T00:00:00.000+0000").alias("created"),
+        F.lit(None).cast(logs.schema["histories"].dataType.elementType["items"].dataType).alias("items")))
+    joined = rows.join(logs, "number", "left")
+    return joined.withColumn("histories", F.when(
+        F.col("number") % 2 == 0, F.concat(F.coalesce("histories", F.array().cast(logs.schema["histories"].dataType)),
+                                           empty)).otherwise(F.col("histories")))
+
+
+def _issues(spark, sf_dir, columns=PAGE_COLUMNS):
+    rows = defects(spark, sf_dir, [*columns, "text_slot"], raw=True).withColumnRenamed("text_slot", "number")
+    return rows
+
+
+def _land(spark, sf_dir, rows, path):
+    """Append whole issues as search pages."""
+    issues = issue_json.issue_structs(rows, {"customfield_101": "market"}, "customfield_99999")
+    total = table(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
+    issue_json.search_pages(issues, total).write.mode("append").json(path)
+
+
+def _land_broken(spark, sf_dir, path):
+    """One line per region that breaks off in the middle of a page."""
+    table(spark, sf_dir, "region").select(
+        F.format_string('{"startAt": %d, "issues": [{"key": ', "r_regionkey").alias("value")
+    ).write.mode("append").text(path)
 
 
 def _landed_pages(spark, sf_dir) -> str:
-    rows = defects(spark, sf_dir, [*PAGE_COLUMNS, "text_slot"], raw=True).withColumnRenamed(
-        "text_slot", "number")
-    issues = issue_json.issue_structs(rows, {"customfield_101": "market"}, "customfield_99999")
-    total = table(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
     path = scratch_path(spark, "pages")
-    issue_json.search_pages(issues, total).write.json(path)
+    _land(spark, sf_dir, _with_changelog(spark, sf_dir, _issues(spark, sf_dir)), path)
+    _land_broken(spark, sf_dir, path)
     return path
 
 
 @query
 def page_scan(spark, sf_dir):
-    """Issues written as search pages, read back and projected."""
+    """Whole issues written as search pages, read back and projected."""
     issues = pages.read_issues(spark, _landed_pages(spark, sf_dir), CONFIG)
     rows = with_derived(pages.readable(pages.project_issues(issues, CONFIG)), CONFIG)
     return rows.select(
-        "key", "project", "project_name", "issue_type", "status", "priority", "reporter",
+        "key", "project", "project_name", "issue_type", "status", "priority", "resolution", "reporter",
         "assignee", "severity", "market", "created_day", "age_days", "resolution_time_hours",
-        "components_str", "labels_str", "reopen_count", "release_name")
+        "components_str", "labels_str", "reopen_count", "release_name", "summary", "description",
+        F.date_format("updated", "yyyy-MM-dd").alias("updated_day"),
+        text.joined(F.col("fix_versions")).alias("fix_versions"))
 
 
 @query
 def page_audit(spark, sf_dir):
-    return quality.page_audit(pages.read_pages(spark, _landed_pages(spark, sf_dir), CONFIG))
+    path = scratch_path(spark, "pages")
+    _land(spark, sf_dir, _issues(spark, sf_dir, ["key"]), path)
+    _land_broken(spark, sf_dir, path)
+    return quality.page_audit(pages.read_pages(spark, path, CONFIG))
 
 
 # Scans, store and releases
@@ -237,11 +284,16 @@ def store_read_closed(spark, sf_dir):
     return _store_read(spark, sf_dir, "closed")
 
 
+STORED_COLUMNS = [f.name for f in DEFECTS.fields if f.name not in ("custom", "changelog")]
+
+
 def _filled_store(spark, sf_dir) -> DefectStore:
+    """Whole issues, then every third of them changed, a few without a key."""
     store = DefectStore(spark, scratch_path(spark, "store"))
-    rows = defects(spark, sf_dir, ["key", "release_name", "project", "status", "priority",
-                                   "created", "text_slot"])
-    changed = rows.where(F.col("text_slot") % 3 == 0).withColumn("status", F.lit("Closed"))
+    rows = staged(defects(spark, sf_dir, [*STORED_COLUMNS, "text_slot"]), "issues")
+    order = F.col("text_slot")
+    changed = rows.where(order % 3 == 0).withColumns({
+        "status": F.lit("Closed"), "key": F.when(order % 30 != 0, F.col("key"))})
     store.store_defects(rows.drop("text_slot"))
     store.store_defects(changed.drop("text_slot"))
     return store
@@ -254,17 +306,41 @@ def store_roundtrip(spark, sf_dir):
     return store.releases_with_counts().select("name", "total_defects", "open_defects")
 
 
+@query
+def store_rows(spark, sf_dir):
+    """The stored issues, whole, after compaction."""
+    store = _filled_store(spark, sf_dir)
+    store.compact()
+    return store.defects().select(
+        "key", "release_name", "project", "status", "priority", "resolution", "severity", "assignee",
+        "summary", "description", F.date_format("updated", "yyyy-MM-dd").alias("updated_day"),
+        text.joined(F.col("fix_versions")).alias("fix_versions"),
+        F.get_json_object("raw_data", "$.status").alias("raw_status"))
+
+
+@query
+def store_rejects(spark, sf_dir):
+    return _filled_store(spark, sf_dir).rejects().groupBy("reason").agg(F.count("*").alias("n"))
+
+
+CSV_COLUMNS = ["key", "project", "project_name", "issue_type", "status", "priority", "resolution",
+               "reporter", "assignee", "severity", "release_name", "created_day", "age_days",
+               "resolution_time_hours", "is_resolved", "is_critical", "is_open", "components", "labels",
+               "summary", "description"]
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
-    """Issues exported as CSV, lists joined, and read back."""
+    """Whole issues exported as CSV, lists joined, line breaks kept, and read back."""
     path = scratch_path(spark, "csv")
-    rows = defects(spark, sf_dir, ["key", "status", "age_days", "resolution_time_hours",
-                                   "is_resolved", "components", "labels"])
+    rows = defects(spark, sf_dir, CSV_COLUMNS)
     write_csv(rows, path)
-    return (spark.read.option("header", True).option("enforceSchema", False)
+    kinds = {name: kind if not kind.startswith("array") else "string" for name, kind in rows.dtypes}
+    # An empty text and a missing one are written alike; both columns are never missing here.
+    return (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)
+            .option("escape", '"').option("lineSep", "\n")
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .schema("key string, status string, age_days bigint, resolution_time_hours double, "
-                    "is_resolved boolean, components string, labels string").csv(path))
+            .schema(", ".join(f"{name} {kind}" for name, kind in kinds.items())).csv(path))
 
 
 @query
@@ -825,40 +901,72 @@ def top_risks_ml(spark, sf_dir):
 # Streams
 
 
-def _stream(spark, sf_dir, name):
-    source = table(spark, sf_dir, name)
-    return (spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(sf_dir))
+def _streamed(spark, path):
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def _filed(spark, name, landings, keys):
+    """Land frames one after another, file each landing by a stream, and read the newest rows."""
+    landed, filed = scratch_path(spark, name), scratch_path(spark, f"{name}-filed")
+    for rows in landings:
+        rows.write.mode("append").parquet(landed)
+        flows.file_rows(_streamed(spark, landed), filed, f"{filed}-log").awaitTermination()
+    return flows.filed_rows(spark, filed, landings[0].schema, keys)
 
 
 @query
 def stream_daily_counts(spark, sf_dir):
-    """Discoveries per release and day counted on a stream, running totals in batch."""
-    issues = defects(spark, sf_dir, ["release_name", "created"],
-                     orders=_stream(spark, sf_dir, "orders"))
-    sink = scratch_path(spark, "daily")
-    flows.append_updates(flows.daily_counts(issues), sink, f"{sink}-log").awaitTermination()
-    daily = flows.current_rows(spark, sink, "release_name string, day date, daily_count bigint",
-                               ["release_name", "day"])
-    return _day_text(flows.streamed_trendline(daily))
+    """Discoveries per release and day: the newest issues land first, then the
+    older ones with every third of all issues once more."""
+    issues = staged(defects(spark, sf_dir, ["key", "release_name", "created", "age_days", "text_slot"]), "issues")
+    new = F.col("age_days") < 30
+    rows = _filed(spark, "daily", [
+        issues.where(new), issues.where(~new), issues.where("text_slot % 3 = 0")], flows.ISSUE_KEY)
+    return _day_text(flows.daily_counts(rows))
 
 
 @query
 def stream_reopens(spark, sf_dir):
-    """Reopens counted on a stream of transitions."""
-    landed = scratch_path(spark, "transitions")
-    reopens.transition_pairs(star.state_log(spark, sf_dir)).write.parquet(landed)
-    stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
-    sink = scratch_path(spark, "reopens")
-    counted = flows.transition_reopens(stream, _LOG_RESOLVED)
-    flows.append_updates(counted, sink, f"{sink}-log").awaitTermination()
-    return flows.current_rows(spark, sink, "key string, reopen_count bigint", ["key"])
+    """Reopens from a stream of transitions, the later half of each month first,
+    a third of them twice."""
+    pairs = staged(reopens.transition_pairs(star.state_log(spark, sf_dir)), "transitions")
+    late = F.dayofmonth("ts") > 15
+    rows = _filed(spark, "reopens", [
+        pairs.where(late), pairs.where(~late), pairs.where("seq % 3 = 0")], flows.TRANSITION_KEY)
+    return flows.transition_reopens(rows, _LOG_RESOLVED)
+
+
+def _ingested(spark, sf_dir) -> DefectStore:
+    """Two landings of pages: new issues first; then the older ones, a third of
+    all with an outdated status, and what cannot be stored."""
+    root = scratch_path(spark, "ingest")
+    store, landed = DefectStore(spark, root), f"{root}-pages"
+    rows = staged(_issues(spark, sf_dir, [c for c in PAGE_COLUMNS if c not in ("summary", "description")]), "issues")
+    number, new = F.col("number"), F.col("created") >= F.lit("2001-07-01").cast("timestamp_ntz")
+    outdated = rows.where(number % 3 == 0).withColumns({
+        "status": F.lit("Outdated"), "updated": F.lit("1990-01-01").cast("timestamp_ntz")})
+    nothing = F.lit(None)
+    failing = [
+        rows.where(number % 5 == 0).withColumn("key", nothing.cast("string")),
+        rows.where(number % 7 == 0).withColumn("affected_versions", nothing.cast("array<string>")),
+        rows.where(number % 11 == 0).withColumn("created_text", F.lit("not a date")),
+    ]
+    for landing in ([rows.where(new)], [rows.where(~new), outdated, *failing]):
+        for part in landing:
+            _land(spark, sf_dir, part, landed)
+        if len(landing) > 1:
+            _land_broken(spark, sf_dir, landed)
+        flows.ingest_pages(spark, landed, CONFIG, store, f"{root}-log").awaitTermination()
+    return store
 
 
 @query
 def stream_ingest(spark, sf_dir):
     """Landed pages upserted into a store by a stream."""
-    store = DefectStore(spark, scratch_path(spark, "ingest"))
-    flows.ingest_pages(spark, _landed_pages(spark, sf_dir), CONFIG, store,
-                       f"{store.root}-log").awaitTermination()
-    return store.releases_with_counts().select("name", "total_defects", "open_defects")
+    return _ingested(spark, sf_dir).releases_with_counts().select("name", "total_defects", "open_defects")
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    """What the stream could not store, by reason."""
+    return _ingested(spark, sf_dir).rejects().groupBy("reason").agg(F.count("*").alias("n"))

@@ -28,7 +28,7 @@ def _kind(name: str) -> str:
 
 def _cell(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else repr(value)
+        return "NaN" if math.isnan(value) else repr(value)
     return None if value is None else repr(value)
 
 

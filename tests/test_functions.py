@@ -21,15 +21,13 @@ def column(spark, values, kind, rule):
 
 
 @pytest.mark.parametrize("current, count, expected", [
-    ("REL-25", 3, ["REL-25", "REL-24", "REL-23"]),
-    ("2026-02", 3, ["2026-02", "2026-01", "2025-52"]),
-    ("REL-02", 3, ["REL-02", "REL-01", "REL-00"]),
-    ("REL-02", 5, ["REL-02", "REL-01", "REL-00"]),
-    ("2026.1", 2, ["2026.1", "2026.0"]),
-    ("Release42", 2, ["Release42", "Release41"]),
-    ("v9", 2, ["v9", "v8"]),
+    ("TRAIN-41", 3, ["TRAIN-41", "TRAIN-40", "TRAIN-39"]),
+    ("2031-03", 4, ["2031-03", "2031-02", "2031-01", "2030-52"]),
+    ("W-01", 4, ["W-01", "W-00"]),
+    ("7.12", 2, ["7.12", "7.11"]),
+    ("Build300", 2, ["Build300", "Build299"]),
     ("v10", 2, ["v10", "v09"]),
-    ("Autumn Release", 3, ["Autumn Release"]),
+    ("Long Term Support", 3, ["Long Term Support"]),
     ("", 2, [""]),
     (None, 2, [None]),
     ("SPRINT-3-14", 2, ["SPRINT-3-14", "SPRINT-3-13"]),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import QUICK_ROWS
+from conftest import QUICK_ROWS, RESOLVED_ROW
 from issuelens.operators import health, recommend, report, risk, summary, trends
 from issuelens.plans import analysis
 
@@ -20,15 +20,15 @@ def one(df):
     return row.asDict()
 
 
-# The five-row frame
+# The quick rows
 
 
 def test_quick_summary(frame):
     got = one(summary.quick_summary(frame()))
     assert (got["total_defects"], got["projects_affected"], got["open_defects"],
-            got["critical_count"], got["high_priority_count"]) == (5, 2, 3, 2, 2)
-    assert got["resolution_rate"] == 40.0 and got["avg_age_days"] == 39.6
-    assert got["current_release"] == "REL-25"
+            got["critical_count"], got["high_priority_count"]) == (6, 3, 3, 2, 2)
+    assert got["resolution_rate"] == 50.0 and got["avg_age_days"] == 42.0
+    assert got["current_release"] == "REL-31"
 
 
 def test_quick_summary_of_nothing(frame):
@@ -40,8 +40,8 @@ def test_quick_summary_of_nothing(frame):
 def test_value_counts(frame):
     got = {(r["dimension"], r["value"]): r["n"]
            for r in summary.value_counts(frame(), ["priority", "issue_type"]).collect()}
-    assert got == {("priority", "High"): 2, ("priority", "Medium"): 2, ("priority", "Low"): 1,
-                   ("issue_type", "Bug"): 3, ("issue_type", "Critical Bug"): 2}
+    assert got == {("priority", "Highest"): 1, ("priority", "High"): 2, ("priority", "Medium"): 2,
+                   ("priority", "Low"): 1, ("issue_type", "Bug"): 4, ("issue_type", "Critical Bug"): 2}
     sets = summary.value_counts_grouping_sets(frame(), ["priority", "issue_type"])
     assert {(r["dimension"], r["value"]): r["n"] for r in sets.collect()} == got
 
@@ -50,38 +50,38 @@ def test_value_counts_skip_nulls(frame):
     changed = frame().withColumn("priority", F.when(F.col("priority") != "High", F.col("priority")))
     for count in (summary.value_counts, summary.value_counts_grouping_sets):
         got = count(changed, ["priority", "severity"]).where("dimension = 'priority'").collect()
-        assert {r["value"]: r["n"] for r in got} == {"Medium": 2, "Low": 1}
+        assert {r["value"]: r["n"] for r in got} == {"Highest": 1, "Medium": 2, "Low": 1}
 
 
 def test_severity_profile(frame):
     got = {r["severity"]: r for r in summary.severity_profile(frame()).collect()}
-    assert got["S1"]["n"] == 2
-    assert all(r["unknown_count"] == 1 and r["most_common"] == "S1" for r in got.values())
+    assert got["Major"]["n"] == 3
+    assert all(r["unknown_count"] == 1 and r["most_common"] == "Major" for r in got.values())
 
 
 def test_all_unknown_severity_has_no_most_common(frame):
     [row] = summary.severity_profile(frame().withColumn("severity", F.lit("Unknown"))).collect()
-    assert row["unknown_count"] == 5 and row["most_common"] is None
+    assert row["unknown_count"] == 6 and row["most_common"] is None
 
 
 def test_project_breakdown(frame):
     got = {r["project"]: r for r in summary.project_breakdown(frame()).collect()}
-    assert got["AAA"]["total_defects"] == 3 and got["AAA"]["open_defects"] == 2
-    assert got["AAA"]["avg_age"] == 56.0 and got["AAA"]["top_issue_type"] == "Bug"
-    assert got["BBB"]["top_issue_type"] == "Bug"  # a tie goes to the smaller name
+    assert got["MAP"]["total_defects"] == 3 and got["MAP"]["open_defects"] == 1
+    assert got["MAP"]["avg_age"] == 47.0 and got["MAP"]["top_issue_type"] == "Bug"
+    assert got["PAY"]["top_issue_type"] == "Bug"  # a tie goes to the smaller name
 
 
 def test_cross_project(frame):
     got = one(summary.cross_project_insights(frame()))
-    assert got == {"total_projects_affected": 2, "most_affected_project": "AAA",
-                   "projects_with_critical_bugs": 2, "avg_defects_per_project": 2.5,
-                   "projects_with_old_bugs": 1}
+    assert got == {"total_projects_affected": 3, "most_affected_project": "MAP",
+                   "projects_with_critical_bugs": 2, "avg_defects_per_project": 2.0,
+                   "projects_with_old_bugs": 2}
 
 
 def test_age_histogram(frame):
     got = rows(health.age_histogram(frame()).select("bucket", "n"))
     assert got == [("0-7 days", 1), ("8-14 days", 1), ("15-30 days", 1), ("31-60 days", 1),
-                   ("61-90 days", 0), ("90+ days", 1)]
+                   ("61-90 days", 1), ("90+ days", 1)]
 
 
 def test_age_histogram_edges(frame):
@@ -92,14 +92,14 @@ def test_age_histogram_edges(frame):
 
 
 def test_oldest_open(frame):
-    assert one(health.oldest_open(frame())) == {"key": "AAA-3", "age": 120, "project": "AAA"}
-    resolved = frame([QUICK_ROWS[1]])
+    assert one(health.oldest_open(frame())) == {"key": "PAY-9", "age": 77, "project": "PAY"}
+    resolved = frame([RESOLVED_ROW])
     assert one(health.oldest_open(resolved)) == {"key": None, "age": 0, "project": None}
 
 
 def test_top_risks(frame):
     got = risk.top_risks(risk.with_risk(frame())).collect()
-    assert got[0]["key"] == "AAA-3" and got[0]["risk_score"] == 1.0
+    assert got[0]["key"] == "PAY-9" and got[0]["risk_score"] == 1.0
     assert [r["risk_score"] for r in got] == sorted((r["risk_score"] for r in got), reverse=True)
     assert len(risk.top_risks(risk.with_risk(frame()), limit=2).collect()) == 2
     assert risk.top_risks(risk.with_risk(frame([]))).collect() == []
@@ -129,9 +129,9 @@ def test_fallback_counts_highest(frame):
 def test_quick_recommendations(frame):
     got = recommend.quick_recommendations(frame()).collect()
     assert [(r["type"], r["count"]) for r in got] == [
-        ("cross_project_critical", 1), ("aging_defects", 2), ("custom_field_pattern", 2)]
-    assert got[0]["message"] == "Project 'AAA' has 1 critical bugs"
-    assert got[2]["action"] == "Investigate pattern in severity = S1"
+        ("cross_project_critical", 1), ("aging_defects", 2), ("custom_field_pattern", 3)]
+    assert got[0]["message"] == "Project 'API' has 1 critical bugs"  # a tie goes to the smaller name
+    assert got[2]["action"] == "Investigate pattern in severity = Major"
     assert recommend.quick_recommendations(frame([])).collect() == []
 
 
@@ -147,7 +147,7 @@ def test_unassigned_rule_needs_more_than_ten(frame):
 
 def test_nothing_to_recommend(frame):
     assert recommend.comprehensive_recommendations(frame([])).collect() == []
-    assert recommend.comprehensive_recommendations(frame([QUICK_ROWS[1]])).collect() == []
+    assert recommend.comprehensive_recommendations(frame([RESOLVED_ROW])).collect() == []
 
 
 # The comprehensive summary
@@ -230,7 +230,7 @@ def test_workload_leaves_out_unassigned(frame):
     made = frame([*QUICK_ROWS, ("X-1", "X", "s", "Bug", "Low", "Open", "S1", 1, "Unassigned", "R")])
     made = made.withColumn("resolution_time_hours", F.lit(None).cast("double"))
     got = rows(health.assignee_workload(made).select("assignee", "open_count"))
-    assert got == [("alice", 2), ("carol", 1), ("bob", 0)]
+    assert got == [("noor", 2), ("ivo", 0), ("mei", 0)]
 
 
 def test_components_ignore_empty_and_null(spark):
@@ -247,7 +247,7 @@ def test_components_ignore_empty_and_null(spark):
 
 
 def test_undated_rows_take_no_period(frame):
-    made = frame().withColumn("created_week", F.when(F.col("key") == "AAA-1", "Unknown").otherwise(
+    made = frame().withColumn("created_week", F.when(F.col("key") == "PAY-7", "Unknown").otherwise(
         F.col("created_week")))
     got = trends.weekly_trend(made, weeks=2).collect()
     assert len(got) == 2 and all(r["created_week"] != "Unknown" for r in got)
@@ -321,7 +321,7 @@ def test_compare_releases(spark, cfg):
 
 def test_preview_is_newest_first(frame):
     got = [r["key"] for r in report.preview(frame(), 2).collect()]
-    assert got == ["AAA-2", "BBB-1"]
+    assert got == ["PAY-7", "MAP-4"]
 
 
 def test_a_frame_with_only_keys_has_empty_sections(spark, cfg):

@@ -35,15 +35,24 @@ def brute_force(rows):
     return counts, last, pairs
 
 
-@pytest.mark.parametrize("unit", ["hour", "day", "month"])
-def test_log_reopens_against_brute_force(spark, unit):
-    rows = make_log(1500, 20, seed=1)
+@pytest.mark.parametrize("hours", [1, 24, 700])
+def test_log_reopens_against_brute_force(spark, hours):
+    rows = make_log(1500, 20, seed=1, span_hours=hours)
     counts, last, _ = brute_force(rows)
-    got = reopens.log_reopens(spark.createDataFrame(rows, LOG), RESOLVED, unit).collect()
+    got = reopens.log_reopens(spark.createDataFrame(rows, LOG), RESOLVED).collect()
     assert {r["key"]: r["reopen_count"] for r in got} == counts
     assert {r["key"]: r["status"] for r in got} == last
 
 
+def test_one_issue_holding_one_day_is_dealt_over_all_ranges(spark):
+    rows = make_log(6000, 5, seed=6, span_hours=20)
+    dealt = reopens._dealt(spark.createDataFrame(rows, LOG))
+    hot = [r["count"] for r in dealt.where("key = 'HOT'").groupBy("range").count().collect()]
+    assert len(hot) >= 2 and max(hot) <= 6000 / 4 * 1.5
+    plan = reopens.log_reopens(spark.createDataFrame(rows, LOG), RESOLVED)._jdf.queryExecution().toString()
+    assert "date_trunc" not in plan and "trunctimestamp" not in plan.lower()
+
+
 def test_pairs_against_brute_force(spark):
     rows = make_log(800, 10, seed=2)
     _, _, pairs = brute_force(rows)

@@ -11,52 +11,50 @@ from issuelens.streaming import flows
 from test_reopens import LOG, RESOLVED, brute_force, make_log
 
 
+def landed(spark, tmp_path, landings, keys, newest=()):
+    """File landings one by one with a stream, and read what counts."""
+    source, filed = str(tmp_path / "in"), str(tmp_path / "filed")
+    for rows in landings:
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        flows.file_rows(stream, filed, str(tmp_path / "log")).awaitTermination()
+    return flows.filed_rows(spark, filed, landings[0].schema, keys, newest)
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
-def test_daily_counts_equal_batch(spark, tmp_path, zone):
+def test_daily_counts_equal_batch_whatever_lands_late(spark, tmp_path, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        _check_daily_counts(spark, tmp_path)
+        start = datetime(2026, 1, 1)
+        rows = [(f"K{i}", f"R{i % 2}", start + timedelta(hours=5 * i)) for i in range(60)]
+        df = spark.createDataFrame(rows, "key string, release_name string, created timestamp_ntz")
+        late = F.dayofmonth("created") < 8
+        got = flows.daily_counts(landed(spark, tmp_path, [
+            df.where(~late), df.where(late), df.where("key < 'K3'")], flows.ISSUE_KEY))
+        assert got.collect() == trends.trendline(df).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-def _check_daily_counts(spark, tmp_path):
-    start = datetime(2026, 1, 1)
-    rows = [(f"R{i % 2}", start + timedelta(hours=5 * i)) for i in range(60)]
-    df = spark.createDataFrame(rows, "release_name string, created timestamp_ntz")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(
-        str(tmp_path / "in"))
-    sink = str(tmp_path / "sink")
-    flows.append_updates(flows.daily_counts(stream, "400 days"), sink,
-                         str(tmp_path / "log")).awaitTermination()
-    daily = flows.current_rows(spark, sink, "release_name string, day date, daily_count bigint",
-                               ["release_name", "day"])
-    got = {(r["release_name"], r["d"], r["daily_count"], r["cumulative_count"])
-           for r in flows.streamed_trendline(daily).withColumn(
-               "d", F.date_format("day", "yyyy-MM-dd")).collect()}
-    expected = {(r["release_name"], str(r["day"]), r["daily_count"], r["cumulative_count"])
-                for r in trends.trendline(df).collect()}
-    assert got == expected
-
-
-def test_reopens_equal_batch_and_ignore_repeats(spark, tmp_path):
+def test_reopens_equal_batch_with_late_repeated_and_equal_stamps(spark, tmp_path):
     rows = make_log(400, 6, seed=9)
-    pairs = reopens.transition_pairs(spark.createDataFrame(rows, LOG))
-    # Unique stamps, so that a repeat is exactly a second delivery.
-    pairs = pairs.withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, seq / 1000)"))
-    source, sink = str(tmp_path / "in"), str(tmp_path / "sink")
-    pairs.write.parquet(source)
-    pairs.where("seq % 3 = 0").write.mode("append").parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option(
-        "maxFilesPerTrigger", 2).parquet(source)
-    counted = flows.transition_reopens(stream, RESOLVED, watermark="400 days")
-    flows.append_updates(counted, sink, str(tmp_path / "log")).awaitTermination()
-    got = {r["key"]: r["reopen_count"]
-           for r in flows.current_rows(spark, sink, "key string, reopen_count bigint",
-                                       ["key"]).collect()}
-    assert got == brute_force(rows)[0]
+    start = datetime(2026, 1, 1)
+    rows += [("SAME", start, 1000 + i, ["Done", "Open"][i % 2]) for i in range(6)]
+    pairs = reopens.transition_pairs(spark.createDataFrame(rows, LOG)).cache()
+    late = F.dayofmonth("ts") < 5
+    kept = landed(spark, tmp_path, [pairs.where(~late), pairs.where(late), pairs.where("seq % 3 = 0")],
+                  flows.TRANSITION_KEY)
+    got = {r["key"]: r["reopen_count"] for r in flows.transition_reopens(kept, RESOLVED).collect()}
+    assert got == brute_force(rows)[0] and got["SAME"] == 3
+
+
+def test_compacted_rows_are_the_newest(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1), ("B", 1), ("A", 2)], "key string, n int")
+    kept = landed(spark, tmp_path, [df.where("n = 1"), df.where("n = 2")], ["key"])
+    flows.compact_rows(spark, str(tmp_path / "filed"), str(tmp_path / "small"), df.schema, ["key"])
+    again = flows.filed_rows(spark, str(tmp_path / "small"), df.schema, ["key"])
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, again.collect())) == [("A", 2), ("B", 1)]
 
 
 def test_custom_resolved_test(spark):
