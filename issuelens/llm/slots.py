@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from issuelens.llm.bytetext import mixed
 from issuelens.llm.deploy import deployed
 from issuelens.session import scratch_path
 
 SLOT_BYTES = 6 << 20
 #: Bytes of text whose fingerprints share a bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def partitions(spark: SparkSession) -> int:
@@ -97,7 +98,8 @@ def entries_schema(fields: dict[str, str]) -> str:
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    # mixed anew, since selected fingerprints are the least of many and so small
+    return ((mixed(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def dealt_order(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -106,7 +108,7 @@ def dealt_order(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def dealt(slot: int, key: np.ndarray, fields: dict[str, np.ndarray], buckets: int) -> pa.Table:
-    """Entries as one row per bucket; ``key`` (uint64) chooses it, high bits first."""
+    """Entries as one row per bucket, which ``key`` (uint64) chooses."""
     order = dealt_order(key, buckets)
     bucket = bucket_of(key, buckets)[order]
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
