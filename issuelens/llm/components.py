@@ -2,8 +2,8 @@
 
 Each round first hangs every node's larger neighbours on its least one, then
 its smaller ones, so paths halve and end in stars around the least id. Rounds
-are written to the shared folder, which cuts the lineage; nothing but two
-numbers per round reaches the driver. Hubs are pre-aggregated by the grouping
+are written to the shared folder, which cuts the lineage; nothing but whether
+to go on reaches the driver. Hubs are pre-aggregated by the grouping
 and split by the adaptive join.
 """
 
@@ -34,11 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     left, right = F.col("a").cast("long"), F.col("b").cast("long")
     current = staged(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
                      .where("u <> v").distinct(), "edges")
-    state = None
     while True:
-        seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == state or not seen[0]:
+        # done when every id has one lesser neighbour, and that has none itself
+        ends = current.select(F.col("v").alias("u")).distinct().withColumn("end", F.lit(True))
+        lesser = current.groupBy("u").agg(F.count("*").alias("n"))
+        if not lesser.join(ends, "u", "left").where("n > 1 OR end").count():
             break
-        state = seen
         current = staged(_small_star(_large_star(current)), "edges")
     return current.select(F.col("u").alias("id"), F.col("v").alias("component"))

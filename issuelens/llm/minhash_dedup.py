@@ -4,7 +4,7 @@ Every document is a set of word shingles and a signature of minwise tokens. A
 tree deals the documents by the token at one signature position; a node with
 few documents is compared exhaustively, a larger one branches into several
 other positions, picked by the node's own path, and so on down to ``DEPTH``
-tokens. Independent trees are repeated until a pair at the threshold is missed
+tokens, unless most of it agrees already, as copies of one text do. Independent trees are repeated until a pair at the threshold is missed
 by all of them with a chance below ``1 - RECALL``. What meets in a node and
 agrees in enough tokens forms clusters; inside a cluster links are confirmed on
 the full sets, and every pair of documents that is not already connected is
@@ -46,6 +46,8 @@ POSITIONS, BRANCHES, DEPTH = 48, 2, 4
 RECALL = 0.999999
 #: Documents of a node that are compared exhaustively, and of a chunk of a cluster.
 SMALL, CHUNK, LEADERS = 48, 256, 16
+#: Share of a large node that has to agree with its least document for it to be one cluster.
+COHERENT = 0.9
 #: Bytes of shingle sets in a verification task.
 SET_BYTES = 16 << 20
 WORDS_BASE = 0xD6E8FEB86659FD93
@@ -174,6 +176,23 @@ def _compared_nodes(table: pa.Table, enough: int) -> pa.Table:
     return _edges(np.concatenate(a), np.concatenate(b))
 
 
+def _judged(large: DataFrame, enough: int, last: bool) -> DataFrame:
+    """Large nodes with ``whole``: whether all of a node becomes one cluster.
+
+    That holds where most of its documents agree with its least one, as in a
+    group of copies, which no further token would split; and for what is still
+    large at the end of the paths. A cluster may be too large but never too
+    small, since its links are confirmed on the full sets.
+    """
+    if last:
+        return large.withColumn("whole", F.lit(True))
+    least = large.where("doc_id = least").select("path", F.col("tokens").alias("first")).dropDuplicates(["path"])
+    alike = F.size(F.filter(F.zip_with("tokens", "first", lambda a, b: a == b), lambda same: same)) >= enough
+    share = large.join(least, "path").groupBy("path").agg(
+        (F.avg(alike.cast("int")) >= COHERENT).alias("whole"))
+    return staged(large.join(share, "path"), "judged")
+
+
 def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
     """(id, component): candidate clusters, a superset of the groups."""
     count = trees(similarity)
@@ -196,12 +215,11 @@ def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
         enough = agreement(similarity)
         found = small.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).groupBy(
             "bucket").applyInArrow(lambda t: _compared_nodes(t, enough), "a long, b long")
-        large = members.where(F.col("size") > SMALL)
-        if level == DEPTH - 1:
-            # so many tokens in common, and still many: one cluster
-            found = found.union(large.where("doc_id <> least").select("doc_id", "least"))
+        large = _judged(members.where(F.col("size") > SMALL), enough, level == DEPTH - 1)
+        found = found.union(large.where("whole AND doc_id <> least").select("doc_id", "least"))
         found = staged(found.distinct(), "pairs")
         edges = found if edges is None else edges.union(found)
+        large = large.where("NOT whole")
         if level < DEPTH - 1:
             branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
             # neighbouring picks differ, as positions are taken modulo their number
