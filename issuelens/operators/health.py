@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from issuelens.functions.numbers import band, clip01, half_even, ratio, share
 from issuelens.functions.risk import HEALTH_BANDS
 from issuelens.functions.writeup import UNASSIGNED
+from issuelens.operators.ranking import first_rows
 
 # Inclusive age buckets, SLA hours, percentiles.
 AGE_BUCKETS = (
@@ -81,23 +82,23 @@ def age_histogram(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             .orderBy(*by, "position"))
 
 
-def aging_by_project(df: DataFrame) -> DataFrame:
+def aging_by_project(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return (
-        df.where(_is_open()).groupBy("project").agg(
+        df.where(_is_open()).groupBy(*by, "project").agg(
             half_even(F.avg("age_days"), 1).alias("avg_age"),
             F.max("age_days").alias("oldest_defect"),
             F.count("age_days").alias("open_count"),
-        ).orderBy(F.col("avg_age").desc(), "project")
+        ).orderBy(*by, F.col("avg_age").desc(), "project")
     )
 
 
-def aging_by(df: DataFrame, column: str) -> DataFrame:
+def aging_by(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean age and the fraction still open per value of ``column``."""
     return (
-        df.where(F.col(column).isNotNull()).groupBy(column).agg(
+        df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(
             half_even(F.avg("age_days"), 3).alias("avg_age_days"),
             half_even(share(_is_open()), 3).alias("percent_open"),
-        ).orderBy(column)
+        ).orderBy(*by, column)
     )
 
 
@@ -135,58 +136,62 @@ def aging_thresholds(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def assignee_workload(df: DataFrame, limit: int = 20) -> DataFrame:
+def assignee_workload(df: DataFrame, limit: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Busiest people. The 'Unassigned' rows, often the hottest key, leave
     before the shuffle."""
-    return (
-        df.where(F.col("assignee") != UNASSIGNED).groupBy("assignee").agg(
-            F.count("key").alias("total_assigned"),
-            F.count_if(_is_open()).alias("open_count"),
-            F.count_if("is_critical").alias("critical_count"),
-            half_even(F.avg("age_days"), 2).alias("avg_age"),
-            half_even(F.avg("resolution_time_hours"), 2).alias("avg_resolution_hours"),
-        ).orderBy(F.col("open_count").desc(), "assignee").limit(limit)
+    people = df.where(F.col("assignee") != UNASSIGNED).groupBy(*by, "assignee").agg(
+        F.count("key").alias("total_assigned"),
+        F.count_if(_is_open()).alias("open_count"),
+        F.count_if("is_critical").alias("critical_count"),
+        half_even(F.avg("age_days"), 2).alias("avg_age"),
+        half_even(F.avg("resolution_time_hours"), 2).alias("avg_resolution_hours"),
     )
+    return first_rows(people, [F.col("open_count").desc(), F.col("assignee")], limit, by)
 
 
-def component_stats(df: DataFrame, limit: int = 15) -> DataFrame:
-    return (
-        df.select("key", "is_resolved", "is_critical", "age_days",
+def component_stats(df: DataFrame, limit: int = 15, by: Sequence[str] = ()) -> DataFrame:
+    parts = (
+        df.select(*by, "key", "is_resolved", "is_critical", "age_days",
                   F.explode("components").alias("component"))
         .where(F.col("component").isNotNull())
-        .groupBy("component").agg(
+        .groupBy(*by, "component").agg(
             F.count("key").alias("total_defects"),
             F.count_if(_is_open()).alias("open_count"),
             F.count_if("is_critical").alias("critical_count"),
             half_even(F.avg("age_days"), 2).alias("avg_age"),
-        ).orderBy(F.col("open_count").desc(), "component").limit(limit)
+        )
     )
+    return first_rows(parts, [F.col("open_count").desc(), F.col("component")], limit, by)
 
 
 def _timed(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_resolved") & F.col("resolution_time_hours").isNotNull())
 
 
-def resolution_percentiles(df: DataFrame, probabilities: dict[str, float] | None = None) -> DataFrame:
+def resolution_percentiles(df: DataFrame, probabilities: dict[str, float] | None = None,
+                           by: Sequence[str] = ()) -> DataFrame:
     """Interpolated percentiles of the resolution time; no row when none is known."""
-    return exact_percentiles(_timed(df), "resolution_time_hours", probabilities or PERCENTILES, 1)
+    return exact_percentiles(_timed(df), "resolution_time_hours", probabilities or PERCENTILES, 1, by)
 
 
 def exact_percentiles(df: DataFrame, column: str, probabilities: dict[str, float],
-                      digits: int | None = None) -> DataFrame:
-    """Exact percentiles without gathering the values in one task.
+                      digits: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles (of each group) without gathering the values in one task.
 
     Values are counted once, the counts are summed into unit-wide cells, and
-    the running total over cells (one row per whole hour of the span) tells
-    which cells hold the wanted ranks; only those cells are looked into.
+    the running total over cells (one row per whole unit of the span) tells
+    which cells hold the wanted ranks; only those cells are looked into. The
+    running total of a group is one task's work, so this suits values whose
+    span is small in units, such as hours, and not any numbers.
     """
-    counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cells = counts.groupBy(F.floor("v").alias("cell")).agg(F.sum("n").alias("cell_n"))
-    up_to = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy().rowsBetween(
+    counts = df.groupBy(*by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.groupBy(*by, F.floor("v").alias("cell")).agg(F.sum("n").alias("cell_n"))
+    up_to = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*by).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
+    group = {c: f"_of_{c}" for c in by}
     placed = cells.select(
-        "cell", "cell_n",
+        *[F.col(c).alias(group[c]) for c in by], "cell", "cell_n",
         F.coalesce(F.sum("cell_n").over(up_to), F.lit(0)).alias("before"),
         F.sum("cell_n").over(everything).alias("total"),
     )
@@ -201,9 +206,15 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: dict[str, float
     for p in probabilities.values():
         for edge in (F.floor(position(p)), F.ceil(position(p))):
             wanted = wanted | holds(edge, F.col("before"), F.col("cell_n"))
-    # At most two cells per percentile, so this side is safe to broadcast.
-    fine = counts.join(F.broadcast(placed.where(wanted)), F.floor("v") == F.col("cell"))
-    inside = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.where(wanted)
+    if not by:
+        # At most two cells per percentile, so this side is safe to broadcast.
+        held = F.broadcast(held)
+    same = F.floor("v") == F.col("cell")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(group[c]))
+    fine = counts.join(held, same)
+    inside = Window.partitionBy(*by, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = fine.withColumn(
         "start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
 
@@ -215,11 +226,11 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: dict[str, float
         above = F.max(F.when(holds(high, F.col("start"), F.col("n")), F.col("v")))
         value = below + (above - below) * F.max(at - low)
         found.append((value if digits is None else half_even(value, digits)).alias(name))
-    return ranked.agg(*found, F.count(F.lit(1)).alias("rows_seen")).where(
+    return ranked.groupBy(*by).agg(*found, F.count(F.lit(1)).alias("rows_seen")).where(
         "rows_seen > 0").drop("rows_seen")
 
 
-def sla_compliance(df: DataFrame) -> DataFrame:
+def sla_compliance(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Percentage resolved in time, per class; 0 for a class without rows."""
     hours, critical = F.col("resolution_time_hours"), F.col("is_critical")
 
@@ -227,7 +238,7 @@ def sla_compliance(df: DataFrame) -> DataFrame:
         met = F.when(rows, F.when(hours <= limit, 1.0).otherwise(0.0))
         return F.coalesce(half_even(F.avg(met) * 100, 1), F.lit(0.0))
 
-    return _timed(df).agg(
+    return _timed(df).groupBy(*by).agg(
         within(critical, CRITICAL_SLA_HOURS).alias("critical_under_48h"),
         within(~critical, NORMAL_SLA_HOURS).alias("normal_under_168h"),
     )

@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from issuelens.config import AnalysisConfig
 from issuelens.functions.risk import HIGH_OR_HIGHEST
 from issuelens.operators.risk import with_fallback_risk
-from issuelens.session import checkpoint_root, read_or_empty, scratch_path
+from issuelens.operators.upsert import latest
+from issuelens.session import checkpoint_root, read_or_empty, scratch_path, staged
 
 # Encodings, feature lists, blend weights.
 ATTENTION_DAYS = 7
@@ -40,6 +41,8 @@ DEFAULT_SCORE = 0.5
 SEVERITY_LEVELS = {"critical": 1.0, "high": 0.75, "medium": 0.5, "low": 0.25}
 DEFAULT_LEVEL = 0.5
 MIN_ROWS, MIN_FEATURES = 10, 3
+# Rows the forests are fitted on (expected number), and the buckets these are dealt into.
+FIT_ROWS, FIT_BUCKETS = 200_000, 32
 
 
 def _mapped(value: Column, table: dict, default: Column) -> Column:
@@ -164,13 +167,16 @@ def impact_score(text: Column) -> Column:
             .when(lowered.contains("moderate"), 0.5).otherwise(0.25))
 
 
-def with_enrichment(df: DataFrame, enrichment: DataFrame) -> DataFrame:
+def with_enrichment(df: DataFrame, enrichment: DataFrame, newest: Sequence[str] = ("created_at",)) -> DataFrame:
     """Join per-key assessments (``key, level, user_impact``) as scores; rows
     without one take the median of those that have.
 
-    Medians come from counts per pair of scores, of which there are a handful.
+    Of several assessments of a key the newest counts, by those of the
+    ``newest`` columns that there are. Medians come from counts per pair of
+    scores, of which there are a handful.
     """
     names = ("ai_severity_score", "ai_user_impact")
+    enrichment = latest(enrichment, ["key"], [c for c in newest if c in enrichment.columns])
     scored = enrichment.select(
         "key",
         level_score(F.col("level")).alias(names[0]),
@@ -229,9 +235,23 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return vectors.transform(numbers).drop(*[f"_f_{c}" for c in features])
 
 
+def _fitting_rows(rows: DataFrame, fit_rows: int, seed: int) -> DataFrame:
+    """About ``fit_rows`` rows at most, chosen by a hash of the key, in a fixed layout.
+
+    Bagging follows partitions and the order inside them. So rows are dealt
+    into a fixed number of buckets of the key, sorted, and checkpointed in that
+    state: the forests are the same on any cluster.
+    """
+    checkpoint_root(rows.sparkSession)
+    share = min(1.0, fit_rows / max(1, rows.count()))
+    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    order = F.xxhash64(*[c for c in rows.columns if c != "features"])
+    return chosen.repartition(FIT_BUCKETS, "key").sortWithinPartitions("key", order).checkpoint()
+
+
 def train(df: DataFrame, labels: Labels | None = None, trees: int = 100, max_depth: int = 5,
-          seed: int = 42, evaluate: bool = False) -> RiskModels:
-    """Fit the three forests on four fifths of the rows.
+          seed: int = 42, evaluate: bool = False, fit_rows: int = FIT_ROWS) -> RiskModels:
+    """Fit the three forests on four fifths of at most about ``fit_rows`` rows.
 
     The split is by a hash of the key, so it does not move when a partition is
     recomputed. With too few rows or features nothing is trained.
@@ -243,8 +263,9 @@ def train(df: DataFrame, labels: Labels | None = None, trees: int = 100, max_dep
     fold = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(5))
     wanted = [(target, t) for target, t in TARGETS.items() if t in df.columns]
     rows = _assembled(df, features).select(
-        "features", *[F.col(t).cast("double").alias(t) for _, t in wanted],
+        "key", "features", *[F.col(t).cast("double").alias(t) for _, t in wanted],
         (fold != 0).alias("training"))
+    rows = _fitting_rows(rows, fit_rows, seed)
     size = rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("training").alias("n"),
         *[F.sum(F.when(F.col("training"), F.col(t))).alias(t) for _, t in wanted]).first()
@@ -286,24 +307,14 @@ def predict(df: DataFrame, models: RiskModels) -> DataFrame:
 
 def prepare(df: DataFrame, cfg: AnalysisConfig, labels: Labels | None = None,
             enrichment: DataFrame | None = None) -> tuple[DataFrame, Labels]:
-    """Feature frame and its label table.
-
-    The features are cut into even partitions by key and checkpointed, since
-    training passes over them many times. Data too small to fill the cores is
-    spread over them.
-    """
-    spark = df.sparkSession
-    checkpoint_root(spark)
+    """Feature frame and its label table; the input is evaluated once."""
+    df = staged(df, "issues")
     rows = with_features(df, cfg)
     if enrichment is not None:
         rows = with_enrichment(rows, enrichment)
     if labels is None:
         labels = fit_labels(df, [c for c in ENCODED if c in df.columns])
-    even = encode(rows, labels).hint("rebalance", "key").checkpoint()
-    cores = spark.sparkContext.defaultParallelism
-    if even.rdd.getNumPartitions() < cores:
-        even = even.repartition(cores, "key")
-    return even, labels
+    return staged(encode(rows, labels), "features"), labels
 
 
 def score_risks(df: DataFrame, cfg: AnalysisConfig, enrichment: DataFrame | None = None,

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from issuelens.functions.writeup import UNASSIGNED
 
 
+# Message and action texts of the rules, whose wording is part of the result.
+CRITICAL_OPEN = ("%d critical bugs are still open", "Immediately assign and prioritize critical bugs")
+VERY_OLD = ("%d defects are older than 30 days", "Review and close/fix very old defects")
+UNASSIGNED_OPEN = ("%d open defects are unassigned", "Assign ownership to open defects")
+PROJECT_OPEN = ("Project %s has %d open defects", "Focus QA efforts on %s project")
+HIGH_OPEN = ("%d high priority defects are still open", "Review and expedite high priority defects")
+PROJECT_CRITICAL = ("Project '%s' has %d critical bugs", "Focus QA efforts on %s project")
+AGING = ("%d defects across all projects are older than 14 days",
+         "Review and prioritize old defects across all projects")
+COMMON_SEVERITY = ("Most common severity value: %s (%d defects)", "Investigate pattern in severity = %s")
+
+
 def _rule(kind: str, message: Column, action: Column | str, count: Column, threshold: int,
           position: int, **extra: str) -> Column:
     fields = [
@@ -41,38 +53,38 @@ def _largest(count: str, name: str, among: Column | None = None) -> Column:
     return F.min(F.when(candidate, F.struct((-F.col(count)).alias("n"), F.col(name).alias("name"))))
 
 
-def comprehensive_recommendations(df: DataFrame) -> DataFrame:
-    """Up to five rules, in report order."""
+def comprehensive_recommendations(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Up to five rules (per group), in report order."""
     is_open = ~F.col("is_resolved")
-    per_project = df.groupBy("project").agg(
+    per_project = df.groupBy(*by, "project").agg(
         F.count_if(F.col("is_critical") & is_open).alias("critical_open"),
         F.count_if((F.col("age_days") > 30) & is_open).alias("very_old"),
         F.count_if((F.col("assignee") == UNASSIGNED) & is_open).alias("unassigned"),
         F.count_if(is_open).alias("open_n"),
         F.count_if((F.col("priority") == "High") & is_open).alias("high_open"),
     )
-    facts = per_project.agg(
+    facts = per_project.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in ("critical_open", "very_old", "unassigned", "high_open")],
         _largest("open_n", "project").alias("worst"),
     ).withColumns({"project": F.col("worst.name"), "project_open": -F.col("worst.n")})
     return _fired(facts, [
-        _rule("critical_open", _text("%d critical bugs are still open", "critical_open"),
-              "Immediately assign and prioritize critical bugs", F.col("critical_open"), 0, 1,
+        _rule("critical_open", _text(CRITICAL_OPEN[0], "critical_open"),
+              CRITICAL_OPEN[1], F.col("critical_open"), 0, 1,
               priority="Critical", impact="High"),
-        _rule("very_old_defects", _text("%d defects are older than 30 days", "very_old"),
-              "Review and close/fix very old defects", F.col("very_old"), 0, 2,
+        _rule("very_old_defects", _text(VERY_OLD[0], "very_old"),
+              VERY_OLD[1], F.col("very_old"), 0, 2,
               priority="High", impact="Medium"),
-        _rule("unassigned_defects", _text("%d open defects are unassigned", "unassigned"),
-              "Assign ownership to open defects", F.col("unassigned"), 10, 3,
+        _rule("unassigned_defects", _text(UNASSIGNED_OPEN[0], "unassigned"),
+              UNASSIGNED_OPEN[1], F.col("unassigned"), 10, 3,
               priority="Medium", impact="Medium"),
         _rule("project_focus",
-              _text("Project %s has %d open defects", "project", "project_open"),
-              _text("Focus QA efforts on %s project", "project"), F.col("project_open"), 0, 4,
+              _text(PROJECT_OPEN[0], "project", "project_open"),
+              _text(PROJECT_OPEN[1], "project"), F.col("project_open"), 0, 4,
               priority="Medium", impact="Medium"),
-        _rule("high_priority_open", _text("%d high priority defects are still open", "high_open"),
-              "Review and expedite high priority defects", F.col("high_open"), 0, 5,
+        _rule("high_priority_open", _text(HIGH_OPEN[0], "high_open"),
+              HIGH_OPEN[1], F.col("high_open"), 0, 5,
               priority="High", impact="High"),
-    ])
+    ], by)
 
 
 def quick_recommendations(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -101,12 +113,12 @@ def quick_recommendations(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     return _fired(facts, [
         _rule("cross_project_critical",
-              _text("Project '%s' has %d critical bugs", "project", "critical_n"),
-              _text("Focus QA efforts on %s project", "project"), F.col("critical_n"), 0, 1),
+              _text(PROJECT_CRITICAL[0], "project", "critical_n"),
+              _text(PROJECT_CRITICAL[1], "project"), F.col("critical_n"), 0, 1),
         _rule("aging_defects",
-              _text("%d defects across all projects are older than 14 days", "old_open"),
-              "Review and prioritize old defects across all projects", F.col("old_open"), 0, 2),
+              _text(AGING[0], "old_open"),
+              AGING[1], F.col("old_open"), 0, 2),
         _rule("custom_field_pattern",
-              _text("Most common severity value: %s (%d defects)", "severity", "severity_n"),
-              _text("Investigate pattern in severity = %s", "severity"), F.col("severity_n"), 0, 3),
+              _text(COMMON_SEVERITY[0], "severity", "severity_n"),
+              _text(COMMON_SEVERITY[1], "severity"), F.col("severity_n"), 0, 3),
     ], by)

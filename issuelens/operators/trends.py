@@ -10,12 +10,12 @@ from pyspark.sql.window import Window
 
 from issuelens.functions.dates import UNKNOWN_PERIOD
 from issuelens.functions.numbers import half_even, share
+from issuelens.operators.ranking import first_rows
 
 
-def last_periods(grouped: DataFrame, column: str, n: int) -> DataFrame:
-    """The latest ``n`` periods, newest first; rows without a date are no period."""
-    return (grouped.where(F.col(column) != UNKNOWN_PERIOD)
-            .orderBy(F.col(column).desc()).limit(n))
+def last_periods(grouped: DataFrame, column: str, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """The latest ``n`` periods (of each group), newest first; rows without a date are no period."""
+    return first_rows(grouped.where(F.col(column) != UNKNOWN_PERIOD), [F.col(column).desc()], n, by)
 
 
 def undated_count(df: DataFrame) -> DataFrame:
@@ -23,28 +23,28 @@ def undated_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("created_day") == UNKNOWN_PERIOD).alias("undated"))
 
 
-def weekly_trend(df: DataFrame, weeks: int = 12) -> DataFrame:
-    grouped = df.groupBy("created_week").agg(
+def weekly_trend(df: DataFrame, weeks: int = 12, by: Sequence[str] = ()) -> DataFrame:
+    grouped = df.groupBy(*by, "created_week").agg(
         F.count("key").alias("created_count"),
         F.count_if("is_critical").alias("critical_count"),
     )
-    return last_periods(grouped, "created_week", weeks)
+    return last_periods(grouped, "created_week", weeks, by)
 
 
-def monthly_trend(df: DataFrame, months: int = 6) -> DataFrame:
-    grouped = df.groupBy("created_month").agg(
+def monthly_trend(df: DataFrame, months: int = 6, by: Sequence[str] = ()) -> DataFrame:
+    grouped = df.groupBy(*by, "created_month").agg(
         F.count("key").alias("created_count"),
         half_even(share(F.col("is_resolved")), 3).alias("resolution_rate"),
     )
-    return last_periods(grouped, "created_month", months)
+    return last_periods(grouped, "created_month", months, by)
 
 
-def severity_trend(df: DataFrame, months: int = 6) -> DataFrame:
-    grouped = df.groupBy("created_month").agg(
+def severity_trend(df: DataFrame, months: int = 6, by: Sequence[str] = ()) -> DataFrame:
+    grouped = df.groupBy(*by, "created_month").agg(
         half_even(share(F.col("is_critical")), 3).alias("critical_rate"),
         half_even(share(F.col("priority") == "High"), 3).alias("high_priority_rate"),
     )
-    return last_periods(grouped, "created_month", months)
+    return last_periods(grouped, "created_month", months, by)
 
 
 def running_total(daily: DataFrame, by: Sequence[str] = ("release_name",)) -> DataFrame:

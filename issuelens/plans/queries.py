@@ -626,6 +626,73 @@ def sla_compliance(spark, sf_dir):
         defects(spark, sf_dir, ["is_resolved", "is_critical", "resolution_time_hours"]))
 
 
+# The full report per release
+
+
+BY_RELEASE = ["release_name"]
+
+
+@query
+def release_trend_weekly(spark, sf_dir):
+    rows = defects(spark, sf_dir, [*BY_RELEASE, "key", "created_week", "is_critical"])
+    return trends.weekly_trend(rows, 4, BY_RELEASE)
+
+
+@query
+def release_trend_monthly(spark, sf_dir):
+    rows = defects(spark, sf_dir, [*BY_RELEASE, "key", "created_month", "is_resolved"])
+    return trends.monthly_trend(rows, 3, BY_RELEASE)
+
+
+@query
+def release_trend_severity(spark, sf_dir):
+    rows = defects(spark, sf_dir, [*BY_RELEASE, "created_month", "is_critical", "priority"])
+    return trends.severity_trend(rows, 3, BY_RELEASE)
+
+
+@query
+def release_aging_project(spark, sf_dir):
+    return health.aging_by_project(
+        defects(spark, sf_dir, [*BY_RELEASE, "project", "age_days", "is_resolved"]), BY_RELEASE)
+
+
+@query
+def release_aging_priority(spark, sf_dir):
+    return health.aging_by(
+        defects(spark, sf_dir, [*BY_RELEASE, "priority", "age_days", "is_resolved"]), "priority", BY_RELEASE)
+
+
+@query
+def release_workload(spark, sf_dir):
+    return health.assignee_workload(defects(spark, sf_dir, [
+        *BY_RELEASE, "key", "assignee", "is_resolved", "is_critical", "age_days",
+        "resolution_time_hours"]), 5, BY_RELEASE)
+
+
+@query
+def release_components(spark, sf_dir):
+    return health.component_stats(defects(spark, sf_dir, [
+        *BY_RELEASE, "key", "components", "is_resolved", "is_critical", "age_days"]), 5, BY_RELEASE)
+
+
+@query
+def release_percentiles(spark, sf_dir):
+    return health.resolution_percentiles(
+        defects(spark, sf_dir, [*BY_RELEASE, "is_resolved", "resolution_time_hours"]), by=BY_RELEASE)
+
+
+@query
+def release_sla(spark, sf_dir):
+    return health.sla_compliance(defects(spark, sf_dir, [
+        *BY_RELEASE, "is_resolved", "is_critical", "resolution_time_hours"]), BY_RELEASE)
+
+
+@query
+def release_advice(spark, sf_dir):
+    return recommend.comprehensive_recommendations(
+        defects(spark, sf_dir, [*BY_RELEASE, *RECOMMEND_INPUT]), BY_RELEASE).drop("position")
+
+
 # Trends
 
 
@@ -862,6 +929,28 @@ def enrichment_scores(spark, sf_dir):
     return ml.with_enrichment(keys, _enrichment(spark, sf_dir))
 
 
+@query
+def enrichment_newest(spark, sf_dir):
+    """Every second write-up assessed again, later: the later assessment counts."""
+    first = _enrichment(spark, sf_dir).withColumn("created_at", F.lit("2001-01-01").cast("timestamp"))
+    even = F.substring("key", 5, 20).cast("bigint") % 2 == 0
+    again = first.where(even).withColumns({
+        "level": F.lit("low"), "created_at": F.lit("2001-02-01").cast("timestamp")})
+    keys = table(spark, sf_dir, "documents").select(F.concat(F.lit("DOC-"), F.col("doc_id")).alias("key"))
+    return ml.with_enrichment(keys, again.union(first))
+
+
+@query
+def predictions_roundtrip(spark, sf_dir):
+    """An exact score stored as predictions and read back."""
+    store = DefectStore(spark, scratch_path(spark, "predictions"))
+    scored = risk.with_risk(defects(spark, sf_dir, [*RISK_INPUT, "release_name"]))
+    store.store_predictions(scored.select("key", "release_name", "risk_score"), "linear", "risk_score")
+    return store.predictions().select(
+        "key", "release_name", "model_type", "risk_score",
+        F.get_json_object("prediction_data", "$.key").alias("data_key"))
+
+
 @query
 def risk_blend(spark, sf_dir):
     """The blend formula over given scores, with and without assessments."""
@@ -890,6 +979,25 @@ def risk_ml(spark, sf_dir):
     return _learned(spark, sf_dir).select("key", *ml.SCORES.values(), "overall_risk_score")
 
 
+@query
+def risk_ml_checks(spark, sf_dir):
+    """What is exact about the learned scores: every issue has one, all are within
+    bounds, the blend follows from its parts, and the ranking is its top."""
+    scored = staged(_learned(spark, sf_dir), "scored")
+    parts = [F.col(c) for c in (*ml.SCORES.values(), "overall_risk_score")]
+    bounded = F.lit(True)
+    for part in parts:
+        bounded = bounded & part.between(0, 1)
+    again = ml.blend(scored, "again")
+    best = scored.agg(F.max("overall_risk_score")).scalar()
+    top = risk.top_risks(scored, 1, "overall_risk_score").select("overall_risk_score").scalar()
+    return again.agg(
+        F.count("*").alias("scored"), F.count_distinct("key").alias("issues"),
+        F.count_if(bounded).alias("bounded"),
+        F.count_if(F.abs(F.col("again") - F.col("overall_risk_score")) < 1e-12).alias("blended"),
+    ).withColumn("ranked", best == top)
+
+
 @query
 def top_risks_ml(spark, sf_dir):
     top = risk.top_risks(_learned(spark, sf_dir), score="overall_risk_score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 COALESCE = "spark.sql.adaptive.coalescePartitions"
+MOUNTED = "spark.issuelens.checkpointMounted"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,9 +60,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for one written table, under the cluster's shared folder.
 
     The folder is the one named in ``spark.checkpoint.dir``. A local folder is
-    only made up when that is unset and the session runs on one machine.
+    only made up when that is unset and the session runs on one machine; it
+    goes with the process. All folders of an application have one parent,
+    which ``clear_scratch`` removes.
     """
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/issuelens-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove what this application has staged; frames read from it are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -75,13 +91,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def check_shared(root: str, one_machine: bool, mounted: bool = False) -> None:
+    """Refuse a machine's own folder on a cluster, unless it is said to be mounted everywhere."""
+    own = root.startswith("file:") or "://" not in root and root.startswith("/tmp")
+    if own and not one_machine and not mounted:
+        raise RuntimeError(f"{root} is a folder of one machine; set {MOUNTED}=true if all machines mount it")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    one_machine = context.master.startswith("local")
     if root is None:
-        if not context.master.startswith("local"):
+        if not one_machine:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="issuelens-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    check_shared(root, one_machine, spark.conf.get(MOUNTED, "false") == "true")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root.rstrip("/")

@@ -280,19 +280,15 @@ def attach_text(spark: SparkSession, sf_dir: str, df: DataFrame,
                         F.col("doc_slot") == F.col("doc_id"), "left").drop("doc_slot", "doc_id")
 
 
-FEW_ROWS = 1000
-
-
 def attach_text_to_few(spark: SparkSession, sf_dir: str, df: DataFrame, limit: int,
                        columns: Iterable[str] = ("summary",)) -> DataFrame:
-    """The same for the first ``limit`` rows of a ranking.
+    """The same for the first ``limit`` rows of a short ranking.
 
     The rows are ranked once and checkpointed. Their slots, at most ``limit``,
     are broadcast to the document scan, so only the matching documents are
-    shuffled, whatever the size of the table.
+    shuffled, whatever the size of the table. For long listings there is
+    ``attach_text``.
     """
-    if limit > FEW_ROWS:
-        return attach_text(spark, sf_dir, df.limit(limit), columns)
     checkpoint_root(spark)
     few = _slotted(spark, sf_dir, df.limit(limit)).checkpoint()
     slots = few.select(F.col("doc_slot").alias("doc_id")).distinct()

@@ -127,6 +127,35 @@ def test_training_is_repeatable(trained):
     assert first == sorted(map(tuple, ml.predict(rows, again).select(pick).collect()))
 
 
+def test_scores_do_not_follow_the_cluster(spark, issues, cfg):
+    pick = ["key", *ml.SCORES.values()]
+    outcome = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            rows, labels = ml.prepare(issues.repartition(partitions), cfg)
+            scored = ml.predict(rows, ml.train(rows, labels, trees=8))
+            outcome.append(sorted(map(tuple, scored.select(pick).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert outcome[0] == outcome[1]
+
+
+def test_fitting_rows_are_bounded_and_all_rows_scored(trained):
+    rows, models = trained
+    small = ml.train(rows, models.labels, trees=5, fit_rows=60)
+    assert small.trained and ml.predict(rows, small).count() == rows.count()
+
+
+def test_the_newest_assessment_counts_once(spark):
+    keys = spark.createDataFrame([("A",), ("B",)], "key string")
+    given = spark.createDataFrame([("A", "low", None, 1), ("A", "critical", None, 2), ("A", "low", None, 0)],
+                                  "key string, level string, user_impact string, created_at int")
+    got = {r["key"]: r["ai_severity_score"] for r in ml.with_enrichment(keys, given).collect()}
+    assert got == {"A": 1.0, "B": 1.0} and ml.with_enrichment(keys, given).count() == 2
+
+
 def test_save_and_load(spark, trained, tmp_path):
     rows, models = trained
     ml.save_models(models, str(tmp_path / "m"))

@@ -13,8 +13,7 @@ import oracle
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = entry_point.queries()
 ORACLES = entry_point.oracle_sql()
-LEARNED = {"risk_ml", "top_risks_ml"}
-EAGER = LEARNED | {n for n in QUERIES if n.startswith("stream_")}
+LLM = [n for n in QUERIES if n == "pipeline" or n.startswith("op") and n[2].isdigit()]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -32,7 +31,7 @@ def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - set(LLM)))
 def test_matches_oracle(spark, con, name):
     assert oracle.compare(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) == []
 
@@ -62,11 +61,26 @@ def shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+class Plans:
+    """Collects the plan of every execution, the writes inside a query included."""
+
+    def __init__(self, spark):
+        self.store = spark._jsparkSession.sharedState().statusStore()
+        self.before = self.store.executionsCount()
+
+    def texts(self) -> list[str]:
+        rows = self.store.executionsList()
+        return [rows.apply(i).physicalPlanDescription() for i in range(rows.size())][self.before:]
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(LLM)))
 def test_plans_scale(shuffled, name):
-    plan = plan_of(QUERIES[name](shuffled, SF_DIR))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "Python" not in plan
+    """Also of what a query writes and reads again, of model fitting and of streams."""
+    plans = Plans(shuffled)
+    found = QUERIES[name](shuffled, SF_DIR)
+    for plan in [plan_of(found), *plans.texts()]:
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "MapInArrow" not in plan and "BatchEvalPython" not in plan
 
 
 def scanned(plan: str) -> dict[str, set[str]]:
