@@ -62,15 +62,18 @@ def shuffled(spark):
 
 
 class Plans:
-    """Collects the plan of every execution, the writes inside a query included."""
+    """Plans of what runs from now on, the writes inside a query included."""
 
     def __init__(self, spark):
         self.store = spark._jsparkSession.sharedState().statusStore()
-        self.before = self.store.executionsCount()
+        self.last = max((e.executionId() for e in self._executions()), default=-1)
 
-    def texts(self) -> list[str]:
+    def _executions(self):
         rows = self.store.executionsList()
-        return [rows.apply(i).physicalPlanDescription() for i in range(rows.size())][self.before:]
+        return [rows.apply(i) for i in range(rows.size())]
+
+    def texts(self) -> list[str]:
+        return [e.physicalPlanDescription() for e in self._executions() if e.executionId() > self.last]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(LLM)))
