@@ -9,8 +9,8 @@ sum over pairs is half the square of the sum less the sum of squares.
 The machine is fitted on at most about ``FIT_ROWS`` labelled rows, which is its
 only bound; scoring reads every whole text. A null or empty text has no words
 and is scored by its structure. A null number of characters is taken from the
-text. Rows with equal ids are scored each on their own; a labelled id that
-occurs in several rows counts once per row. Without labels every score is 0.5;
+text. Rows with equal ids are scored each on their own, and fitted once, with
+the least label and text. Without labels every score is 0.5;
 an empty table gives an empty result. Other columns are passed on, except
 that one named like an output is replaced.
 """
@@ -181,11 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     """Fit on labelled rows whose id is not held out, at most about ``fit_rows`` of them."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where(
         F.col("__id").isNotNull() & F.col("__label").isNotNull() & ~held_out("__id"))
+    known = known.groupBy("__id").agg(F.min("__label").alias("__label"))
     share = min(1.0, fit_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = F.broadcast(chosen.limit(2 * fit_rows))  # bounded by its parameter
     texts = docs.withColumn("__id", F.col(id_col)).join(chosen, "__id")
-    read = _read(texts, text_col, chars_col).select("__id", "__label", "__text", "__chars")
+    read = _read(texts, text_col, chars_col).groupBy("__id", "__label").agg(
+        F.min(F.struct("__text", "__chars")).alias("x")).select("__id", "__label", "x.__text", "x.__chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, x in blocks(batches):

@@ -88,10 +88,10 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def sample(docs: DataFrame, text_col: str, size: int = TRAINED_ON) -> DataFrame:
-    """About ``size`` texts at most, picked by a hash of the text."""
+    """About ``size`` texts at most, picked by a hash of the text; a repeated text counts once."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     share = min(1.0, size / max(1, docs.count()))
-    return texts.where(F.pmod(F.xxhash64("__text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return texts.where(F.pmod(F.xxhash64("__text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
 
 
 def step_counts(docs: DataFrame, text_col: str = "text", size: int = TRAINED_ON) -> DataFrame:
