@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from issuelens.session import staged
 
+#: Edges that one task handles with ease.
+EDGES = 50_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
@@ -34,11 +37,16 @@ def components(edges: DataFrame) -> DataFrame:
     left, right = F.col("a").cast("long"), F.col("b").cast("long")
     current = staged(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
                      .where("u <> v").distinct(), "edges")
+    tasks = max(1, current.count() // EDGES)
+
+    def sized(df: DataFrame) -> DataFrame:
+        # as many tasks as the edges need; coalescing alone never adds any
+        return df.coalesce(tasks)
     while True:
         # done when every id has one lesser neighbour, and that has none itself
         ends = current.select(F.col("v").alias("u")).distinct().withColumn("end", F.lit(True))
         lesser = current.groupBy("u").agg(F.count("*").alias("n"))
-        if not lesser.join(ends, "u", "left").where("n > 1 OR end").count():
+        if not sized(lesser.join(ends, "u", "left").where("n > 1 OR end")).count():
             break
-        current = staged(_small_star(_large_star(current)), "edges")
+        current = staged(sized(_small_star(sized(_large_star(current)))), "edges")
     return current.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -120,11 +120,13 @@ def _signed(documents: pa.Table, shingle: int) -> pa.Table:
                 signature[some, k] = np.minimum.reduceat((hashes ^ MASKS[k]) * FACTORS[k], at)
             digests[0, some] = np.add.reduceat(bytetext.mixed(hashes), at)
             digests[1, some] = np.add.reduceat(bytetext.mixed(hashes ^ MASKS[0]), at)
-        tokens = pa.FixedSizeListArray.from_arrays(pa.array(bytetext.as_long(signature.ravel())), POSITIONS)
+        # half of a minwise value tells tokens apart well enough, as links are confirmed
+        halves = (signature.ravel() >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        tokens = pa.FixedSizeListArray.from_arrays(pa.array(halves), POSITIONS)
         out.append(pa.table([
             rows.column(0), rows.column(1), rows.column(2), pa.array(n),
             pa.array(bytetext.as_long(digests[0])), pa.array(bytetext.as_long(digests[1])),
-            tokens.cast(pa.list_(pa.int64()))],
+            tokens.cast(pa.list_(pa.int32()))],
             names=["slot", "row", "doc_id", "n", "d1", "d2", "tokens"]))
     return pa.concat_tables(out)
 
@@ -365,13 +367,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     percent = round(100 * similarity)
     slotted = slots.in_slots(docs, id_col, text_col, carry)
     signed = staged(slots.per_slot(
-        slotted, "slot long, row long, doc_id long, n long, d1 long, d2 long, tokens array<long>",
+        slotted, "slot long, row long, doc_id long, n long, d1 long, d2 long, tokens array<int>",
         lambda slot, d: _signed(d, shingle)), "signatures")
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     digest = ["n", "d1", "d2"]
     least = some.groupBy(*digest).agg(F.min(F.struct("doc_id", "row")).alias("at"))
     least = staged(least.select(*digest, F.col("at.doc_id").alias("same"), F.col("at.row").alias("row")), "classes")
-    classes = signed.join(least.select("row"), "row", "left_semi")
+    classes = staged(signed.select("slot", "row", "doc_id", "n", "tokens").join(
+        least.select("row"), "row", "left_semi"), "sets")
     clusters = _clusters(classes.select("row", "doc_id", "tokens"), similarity)
     members = classes.join(clusters, classes["doc_id"] == clusters["id"], "left").select(
         "slot", "row", "doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"))
