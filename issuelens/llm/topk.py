@@ -10,14 +10,17 @@ a better one. Pivots come from a bounded sample; every vector is indexed, and
 the result is exact whatever the sample.
 
 Equal vectors are one entry with its least ids (one more than k, so that a
-query finds k besides itself); equal queries are searched once. Annuli and
-their queries are dealt into tiles of bounded size.
+query finds k besides itself) and how often each occurs; equal queries are
+searched once. Cuts keep rows until k are left without the rows of any one id,
+and of no id more than k, so 2k at most. Annuli and their queries are dealt
+into tiles of bounded size.
 
 Vectors that are null, of another length than most, or that hold null or
 non-finite components take no part, nor do rows with a null id. A row that is
-repeated counts as often as it occurs; rows with a query's own id are not its
-candidates. An empty table gives an empty result. Only the id and vector
-columns are read.
+repeated counts as often as it occurs among the candidates, and asks once; an
+id with several vectors asks with each. Rows with a query's own id are not its
+candidates, and take no candidate's place. An empty table gives an empty
+result. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -107,6 +110,17 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def _enough(vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The best rows in order, until k are left without those of any one id."""
+    order = np.lexsort((vec, -score))
+    by_id = np.argsort(vec[order], kind="stable")
+    ids = vec[order][by_id]
+    number = np.empty(len(order), np.int64)
+    number[by_id] = 1 + np.arange(len(ids)) - np.searchsorted(ids, ids)
+    order, number = order[number <= k], number[number <= k]
+    return order[1 + np.arange(len(order)) - np.maximum.accumulate(number) <= k]
+
+
 def _visited(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
     """Each query's best rows of a tile: (query, vec_id, score)."""
     out = []
@@ -116,22 +130,26 @@ def _visited(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
         flat = ids.values.to_numpy()
         least = flat[ends[:-1]]
         order = np.argsort(least, kind="stable")
+        least = least[order]
         x, q = _vectors(entries.column("vector"))[order], _vectors(queries.column("vector"))
         names = queries.column("entry").to_numpy()
         for at in range(0, len(q), 256):
             block = scores(q[at:at + 256], x)
             for name, row in zip(names[at:at + 256], block):
-                if len(row) > k:
-                    limit = np.partition(row, len(row) - k)[len(row) - k]
+                near, n = np.arange(len(row)), k + 1
+                while len(row) > n:
+                    limit = np.partition(row, len(row) - n)[len(row) - n]
                     near = np.flatnonzero(row >= limit)
-                    near = near[np.argsort(-row[near], kind="stable")][:k]
-                else:
-                    near = np.arange(len(row))
+                    near = near[np.argsort(-row[near], kind="stable")][:n]
+                    most = np.unique(least[near], return_counts=True)[1].max()
+                    if n - most >= k:
+                        break
+                    near, n = np.arange(len(row)), 2 * n
                 own = order[near]
                 sizes = ends[own + 1] - ends[own]
                 vec = np.concatenate([flat[ends[i]:ends[i + 1]] for i in own])
                 score = np.repeat(row[near], sizes)
-                best = np.lexsort((vec, -score))[:k]
+                best = _enough(vec, score, k)
                 out.append((np.full(len(best), name), vec[best], score[best]))
     parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
     return pa.table([pa.array(p) for p in parts], names=["query", "vec_id", "score"])
@@ -155,8 +173,12 @@ def _visit(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    """The best rows per query until ``k`` are left without those of any one id; at the last, ``others`` is k."""
+    alike = Window.partitionBy("query", "vec_id").orderBy(F.desc("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "number")
+    numbered = found.repartition("query").withColumn("number", F.row_number().over(alike)).where(F.col("number") <= k)
+    return numbered.withColumn("others", F.row_number().over(order) - F.max("number").over(
+        order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("others") <= k).drop("number")
 
 
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY,
@@ -169,13 +191,17 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
     rows = source.where(F.col("vec_id").isNotNull() & _finite("v", dimensions)).select(
         "vec_id", whole("v", scale).alias("v"))
     is_query = F.col("vec_id") % every == 0
-    # of equal vectors the k + 1 least ids are enough for any query
+    # of equal vectors the k + 1 least ids are enough for any query, and k occurrences of each
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    least = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(
-        F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    times = F.least(F.count("*"), F.lit(k)).cast("int")
+    least = rows.groupBy("v", "vec_id").agg(times.alias("times")).withColumn("place", place).where(
+        F.col("place") <= k + 1).groupBy("v").agg(F.flatten(F.transform(
+            F.sort_array(F.collect_list(F.struct("vec_id", "times"))),
+            lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"))
     asking = rows.where(is_query).groupBy("v").agg(F.min("vec_id").alias("asker"))
+    # an id can be the least of several vectors, so entries are numbered
     entries = staged(least.join(asking, "v", "left").select(
-        "v", "ids", "asker", F.get("ids", F.lit(0)).alias("entry")), "entries")
+        "v", "ids", "asker", F.monotonically_increasing_id().alias("entry")), "entries")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     facts = entries.agg(F.count("*").alias("n"), F.max(square).alias("norm")).first()
     share = min(1.0, SAMPLE / max(1, facts["n"]))
@@ -197,7 +223,7 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
 
     indexed = staged(entries.select("v", "ids", "asker", "entry").mapInArrow(
         keyed, "ids array<long>, asker long, entry long, vector binary, cell int"), "index")
-    entries = indexed.select("entry", "ids", "vector", "cell")
+    numbered, entries = entries, indexed.select("entry", "ids", "vector", "cell")
     queries = indexed.where("asker IS NOT NULL").select("entry", "vector")
 
     def promising(batches):
@@ -211,8 +237,9 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
 
     schema = "entry long, vector binary, cells array<int>"
     first = staged(queries.mapInArrow(promising, schema), "asked")
-    seen = staged(_best(_visit(first, entries, k + 1), k + 1), "seen")
-    reached = seen.where(F.col("place") == k + 1).select(F.col("query").alias("named"), F.col("score").alias("limit"))
+    seen = staged(_best(_visit(first, entries, k), k), "seen")
+    reached = seen.where(F.col("others") == k).groupBy(F.col("query").alias("named")).agg(
+        F.max("score").alias("limit"))
 
     def remaining(batches):
         """All other cells that can hold as good a score as the worst one kept so far."""
@@ -228,11 +255,11 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
 
     again = first.join(reached, F.col("entry") == F.col("named"), "left").select(
         "entry", "vector", "cells", "limit").mapInArrow(remaining, schema)
-    more = _visit(staged(again, "asked"), entries, k + 1)
-    best = _best(seen.drop("place").union(more), k + 1).drop("place")
+    more = _visit(staged(again, "asked"), entries, k)
+    best = _best(seen.drop("others").union(more), k).drop("others")
     # every query id gets the result of its vector, without itself
     askers = rows.where(is_query).join(
-        least.select("v", F.get("ids", F.lit(0)).alias("query")), "v").select("vec_id", "query").distinct()
+        numbered.select("v", F.col("entry").alias("query")), "v").select("vec_id", "query").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.join(askers.withColumnRenamed("vec_id", "query_id"), "query").where(
         "vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(

@@ -118,6 +118,31 @@ def test_nearest_vectors(spark, monkeypatch):
     assert got == sorted(expected)
 
 
+@pytest.mark.parametrize("tile", [50, 8192])
+def test_rows_under_a_query_id_take_no_place(spark, monkeypatch, tile):
+    monkeypatch.setattr(topk, "PIVOTS", (8, 16))
+    monkeypatch.setattr(topk, "TILE", tile)
+    data = [(i, v) for i, v in enumerate(vectors(6)) if v and len(v) == 16 and None not in v and np.isfinite(v).all()]
+    at = dict(data)
+    more = [(20, at[20])] + [(40, at[40])] * 29
+    # high-ranking other vectors under an asker's id, repeated candidates, and one least id for two vectors
+    more += [(60, [x * (1 + k / 10) for x in at[60]]) for k in range(1, 35)]
+    more += [(81, [3 * x for x in at[80]])] * 25 + [(100, at[100])] * 3 + [(120, at[100])] * 30
+    more += [(0, at[160]), (0, at[180])]
+    rows = data + more
+    whole = [(i, tuple(np.floor(64 * np.array(np.float32(v), float)).astype(int).tolist())) for i, v in rows]
+    expected = []
+    x = np.array([v for _, v in whole])
+    for q in sorted({i for i, _ in whole if i % 20 == 0}):
+        asked = {v for i, v in whole if i == q}
+        ranked = sorted((-int(s), i) for v in asked for (i, _), s in zip(whole, x @ np.array(v)) if i != q)[:20]
+        expected += [(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    got = sorted(tuple(r) for r in topk.top_k(table).collect())
+    assert got == sorted(expected)
+    assert all(sum(g[0] == q for g in got) == 20 for q in (0, 20, 40, 60, 80, 100, 120))
+
+
 def test_empty_and_unusable_vectors(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert embedding_dedup.linked(none).count() == 0
