@@ -11,8 +11,9 @@ candidate is verified exactly, in double precision, and counted in the first
 block that finds it, so no pair is written or counted twice.
 
 Equal vectors are one class; a class's copies count as its links. Full slabs
-are dealt into tiles of bounded size. A tile returns the number of links per
-vector and one edge per vector to its group, never pairs.
+are dealt into tiles of bounded size. A tile verifies and counts its candidates
+in parts of bounded size, and returns the number of links per vector and one
+edge per vector to its group, never pairs.
 
 Vectors that are null, zero, of another length than most, or that hold null or
 non-finite components link with nothing; so do rows with a null id, whose
@@ -23,6 +24,8 @@ are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +41,8 @@ BLOCKS = 8
 #: Rows whose covariance gives the rotation, and rows of a side of a tile.
 SAMPLE, TILE = 4096, 16_384
 STRIP = 512
+#: Cells of a strip looked through at once, and candidates verified at once.
+CELLS, PART = 1 << 20, 16_384
 SLACK = 1e-9
 
 
@@ -74,14 +79,13 @@ class Subspaces:
     def rotated(self, vectors: np.ndarray) -> np.ndarray:
         return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.rotation
 
-    def links(self, x: np.ndarray, y: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Linked (i, j) that ``block`` is the first to find, y[j] not below x[i] on its leading axis;
-        x and y are sorted along it."""
+    def links(self, x: np.ndarray, y: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked (i, j) that ``block`` is the first to find, y[j] not below x[i] on its leading axis, in
+        parts of at most ``PART``; x and y are sorted along it."""
         low, high = self.bounds[block], self.bounds[block + 1]
         radius, budget = self.radii[block], self.budgets[block]
         left, right = x[:, low:high].astype(np.float32), y[:, low:high].astype(np.float32)
         own, other = (left * left).sum(1), (right * right).sum(1)
-        found = []
         for at in range(0, len(x), STRIP):
             end = min(at + STRIP, len(x))
             first = np.searchsorted(y[:, low], x[at, low], side="left")
@@ -92,20 +96,18 @@ class Subspaces:
             near *= -2
             near += own[at:end, None]
             near += other[None, first:last]
-            i, j = np.nonzero(near <= np.float32(budget + 1e-5))
-            if len(i):
-                found.append((i + at, j + first))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = (np.concatenate(part) for part in zip(*found))
-        linked = []
-        for at in range(0, len(i), 65_536):
-            a, b = x[i[at:at + 65_536]], y[j[at:at + 65_536]]
-            apart = np.add.reduceat((a - b) ** 2, self.bounds[:-1], axis=1) <= self.budgets
-            mine = apart[:, block] & ~apart[:, :block].any(1)
-            linked.append(mine & ((a * b).sum(1) >= self.threshold))
-        linked = np.concatenate(linked)
-        return i[linked], j[linked]
+            close = (near <= np.float32(budget + 1e-5)).ravel()
+            for cell in range(0, len(close), CELLS):
+                candidates = np.flatnonzero(close[cell:cell + CELLS]) + cell
+                for part in range(0, len(candidates), PART):
+                    i, j = np.divmod(candidates[part:part + PART], last - first)
+                    i, j = i + at, j + first
+                    a, b = x[i], y[j]
+                    apart = np.add.reduceat((a - b) ** 2, self.bounds[:-1], axis=1) <= self.budgets
+                    mine = apart[:, block] & ~apart[:, :block].any(1)
+                    linked = mine & ((a * b).sum(1) >= self.threshold)
+                    if linked.any():
+                        yield i[linked], j[linked]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -124,21 +126,27 @@ def _tile(table: pa.Table, spaces: Subspaces) -> pa.Table:
     vectors = _matrix(table.column("vector"))
     order = np.lexsort((ids, vectors[:, axis]))
     mine, theirs = order[home[order]], order[~home[order]]
-    i, j = spaces.links(vectors[mine], vectors[theirs], block)
-    a, b = mine[i], theirs[j]
-    # of a pair at one place on the axis the lesser id is home
-    first = (vectors[a, axis] < vectors[b, axis]) | (
-        (vectors[a, axis] == vectors[b, axis]) & (ids[a] < ids[b]))
-    a, b = a[first], b[first]
-    links = np.concatenate([ids[a], ids[b]])
-    weights = np.concatenate([n[b], n[a]])
-    named, place = np.unique(links, return_inverse=True)
-    counts = np.bincount(place, weights=weights, minlength=len(named)).astype(np.int64)
-    groups = Groups(len(named))
-    for p, q in zip(place[:len(a)].tolist(), place[len(a):].tolist()):
-        if groups.up[p] != groups.up[q]:
-            groups.join(p, q)
-    leads = named[groups.labels()] if len(named) else named
+    names, place = np.unique(ids, return_inverse=True)
+    counts = np.zeros(len(names), np.int64)
+    groups, labels, joined = Groups(len(names)), np.arange(len(names)), 0
+    for i, j in spaces.links(vectors[mine], vectors[theirs], block):
+        a, b = mine[i], theirs[j]
+        # of a pair at one place on the axis the lesser id is home
+        first = (vectors[a, axis] < vectors[b, axis]) | (
+            (vectors[a, axis] == vectors[b, axis]) & (ids[a] < ids[b]))
+        a, b = a[first], b[first]
+        np.add.at(counts, place[a], n[b])
+        np.add.at(counts, place[b], n[a])
+        # labels may lag behind the groups, but what they have in common is joined
+        p, q = labels[place[a]], labels[place[b]]
+        pairs = np.unique(p[p != q] * len(names) + q[p != q])
+        for pair in pairs.tolist():
+            groups.join(*divmod(pair, len(names)))
+        joined += len(pairs)
+        if joined >= len(names):
+            labels, joined = groups.labels(), 0
+    linked = np.flatnonzero(counts)
+    named, counts, leads = names[linked], counts[linked], names[groups.labels()[linked]]
     hung = named != leads
     return pa.table([
         pa.array(np.concatenate([named, named[hung]])),

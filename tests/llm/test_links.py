@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, WORD, components, corpus, rows
 
@@ -103,6 +105,31 @@ def test_tiles_do_not_change_links(spark, monkeypatch):
     assert sorted(embedding_dedup.linked(data).collect()) == whole
 
 
+def test_a_tile_of_near_alike_vectors_keeps_no_pairs():
+    draw = np.random.default_rng(3)
+    n = 4000
+    x = 1 + draw.normal(scale=0.05, size=(n, 16))
+    spaces = embedding_dedup.Subspaces(x, 16, 0.9, 8)
+    turned = np.ascontiguousarray(spaces.rotated(x))
+    packed = pa.array([v.tobytes() for v in turned], pa.binary())
+    side = lambda home: pa.table({
+        "block": pa.array([0] * n), "home": pa.array([home] * n), "id": pa.array(range(n)),
+        "n": pa.array([1 + i % 2 for i in range(n)]), "vector": packed})
+    table = pa.concat_tables([side(True), side(False)])
+    tracemalloc.start()
+    got = embedding_dedup._tile(table, spaces)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = ((turned[:, None, :2] - turned[None, :, :2]) ** 2).sum(2) <= spaces.budgets[0]
+    assert near.mean() > 0.9 and (turned @ turned.T).min() > 0.9
+    counts = (near * (1 + np.arange(n) % 2)).sum(1) - 1 - np.arange(n) % 2
+    found = {r["id"]: r["links"] for r in got.to_pylist() if r["edge"] is None}
+    assert found == {i: c for i, c in enumerate(counts.tolist()) if c}
+    assert {r["edge"] for r in got.to_pylist()} == {None, min(found)}
+    # half of the pairs are linked: two identifiers each would be more
+    assert most < 16 * near.sum() / 2
+
+
 def test_nearest_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "PIVOTS", (8, 16))
     monkeypatch.setattr(topk, "TILE", 50)
