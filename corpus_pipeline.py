@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``.
 
-Low-quality documents go, later copies of line runs are cut, one document of
-each near-duplicate group stays, secrets are masked, and the rest is packed.
+Low-quality documents go, later copies of lines are cut, lone ones too (copies
+of one-line documents are left to the next stage), one document of each
+near-duplicate group stays, secrets are masked, and the rest is packed.
 Every stage reads all that the one before has kept, from Parquet. Columns other
 than the text are passed on; ``n_chars`` follows the text.
 """
@@ -33,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return _like(line_dedup.dedup(docs, carry=others), docs)
+    return _like(line_dedup.dedup(docs, run=1, carry=others, copies=False), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

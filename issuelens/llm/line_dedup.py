@@ -8,6 +8,9 @@ again are joined, and matches are extended to both sides, line by line, as far
 as a run reaches; a run of ``run`` lines is deleted wherever its sequence also
 starts earlier: in a document with a smaller id, or further up in the same one.
 Longer repeats are chains of such runs. Runs of blank lines only do not count.
+With the ``run`` of two of the query and its SQL, a repeated line stays where no
+neighbour repeats with it, and so does a text of one line; a run of one, as in
+the corpus pipeline, takes these too.
 
 Null texts stay null and empty ones empty. A row with a null id deletes nothing
 and loses nothing; two rows with equal ids and equal line numbers do not delete
@@ -38,7 +41,7 @@ EXTENDED_ASKED = {**EXTENDED, "last_doc": "<i8", "last_line": "<i4"}
 class Lines:
     """Line bounds, hashes and places of a slice of texts."""
 
-    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, run: int):
+    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, run: int, copies: bool = True):
         self.rows, self.data, self.offsets = rows, data, offsets
         stops = np.flatnonzero(data == 0x0A)
         # a line starts where a text does, and after every line feed
@@ -60,6 +63,9 @@ class Lines:
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()[self.text]
         self.line = np.arange(len(self.starts)) - self.first[self.text]
+        if not copies:
+            # tells a text of one line from the first line of a longer one
+            self.line[(counts == 1)[self.text]] = -1
         whole = bytetext.whole_windows(self.first, run, len(self.starts))
         blanks = np.concatenate([[0], np.cumsum(blank)])
         windows = np.arange(max(0, len(self.starts) - run + 1))
@@ -71,9 +77,9 @@ class Lines:
         self.fingerprint = (len(self.starts) - 1 - mirrored)[::-1]
 
 
-def _lines(documents: pa.Table, run: int):
+def _lines(documents: pa.Table, run: int, copies: bool = True):
     for rows, data, offsets in bytetext.slices(documents.to_batches()):
-        yield Lines(rows, data, offsets, run)
+        yield Lines(rows, data, offsets, run, copies)
 
 
 def _fingerprints(slot: int, documents: pa.Table, run: int, buckets: int) -> pa.Table:
@@ -96,11 +102,11 @@ def _run_keys(hashes: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
             (bytetext.window_hashes(hashes, run, BASES[1]) >> np.uint64(32)).astype("<u4"))
 
 
-def _extended(slot: int, documents: pa.Table, answers: pa.Table, run: int, buckets: int) -> pa.Table:
+def _extended(slot: int, documents: pa.Table, answers: pa.Table, run: int, buckets: int, copies: bool) -> pa.Table:
     """Runs around repeated fingerprints, with the first and last place of each in the slot."""
     known = slots.Members(slots.gathered(answers, ANSWERED)[1]["key"])
     parts = []
-    for own in _lines(documents, run):
+    for own in _lines(documents, run, copies):
         alive = np.zeros(len(own.hashes), bool)
         alive[known.find(own.hashes)[0]] = True
         at = own.windows[alive[own.fingerprint[own.windows]]]
@@ -135,10 +141,11 @@ def _earliest(table: pa.Table) -> pa.Table:
         "key": entry["key"][own], "check": entry["check"][own], "doc": doc[later], "line": line[later]})
 
 
-def _cut(documents: pa.Table, answers: pa.Table, run: int, names: list[str], carried: list[str]) -> pa.Table:
+def _cut(documents: pa.Table, answers: pa.Table, run: int, names: list[str], carried: list[str],
+         copies: bool) -> pa.Table:
     _, known = slots.gathered(answers, EXTENDED)
     out = []
-    for own in _lines(documents, run):
+    for own in _lines(documents, run, copies):
         n = len(own.starts)
         gone = np.zeros(n + 1, np.int32)
         if len(own.windows) and len(known["key"]):
@@ -146,7 +153,8 @@ def _cut(documents: pa.Table, answers: pa.Table, run: int, names: list[str], car
             at, place = slots.lookup(key[own.windows], check[own.windows], known["key"], known["check"])
             at = own.windows[at]
             doc, line = known["doc"][place], known["line"][place]
-            at = at[(own.ids[at] > doc) | ((own.ids[at] == doc) & (own.line[at] > line))]
+            at = at[((own.ids[at] > doc) | ((own.ids[at] == doc) & (own.line[at] > line)))
+                    & ~((own.line[at] < 0) & (line < 0))]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + run, -1)
         covered = np.cumsum(gone[:-1]) > 0
@@ -176,10 +184,12 @@ def _cut(documents: pa.Table, answers: pa.Table, run: int, names: list[str], car
 
 
 def dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text",
-          carry: Sequence[str] = ()) -> DataFrame:
+          carry: Sequence[str] = (), copies: bool = True) -> DataFrame:
     """Per row: id, the text left, its lines, the lines removed, and the columns ``carry``.
 
-    A carried column named n_lines or n_removed takes that count's place.
+    A carried column named n_lines or n_removed takes that count's place. Without
+    ``copies``, a text of one line whose first occurrence is such a text as well
+    is left whole, for a later step that drops copies of documents with their row.
     """
     slotted = slots.in_slots(docs, id_col, text_col, carry)
     buckets = slots.bucket_count(slotted)
@@ -187,7 +197,7 @@ def dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
                            lambda slot, d: _fingerprints(slot, d, run, buckets))
     repeated = asked.groupBy("bucket").applyInArrow(_repeated, slots.answer_schema(ANSWERED))
     extended = slots.with_answers(slotted, repeated, slots.entries_schema(EXTENDED_ASKED),
-                                  lambda slot, d, a: _extended(slot, d, a, run, buckets))
+                                  lambda slot, d, a: _extended(slot, d, a, run, buckets, copies))
     earliest = extended.groupBy("bucket").applyInArrow(_earliest, slots.answer_schema(EXTENDED))
     carried = list(carry)
     types = {"n_lines": T.LongType(), "n_removed": T.LongType(), **{c: docs.schema[c].dataType for c in carried}}
@@ -195,7 +205,7 @@ def dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
                            *[T.StructField(c, kind) for c, kind in types.items()]])
     names = schema.fieldNames()
     return slots.with_answers(slotted, earliest, schema,
-                              lambda slot, d, a: _cut(d, a, run, names, carried))
+                              lambda slot, d, a: _cut(d, a, run, names, carried, copies))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:

@@ -142,6 +142,17 @@ def test_the_registered_run_gives_the_last_stage(spark, stages):
     assert sorted(map(key, run.collect())) == sorted(map(key, stages[-1].collect()))
 
 
+def test_the_pipeline_cuts_lone_lines(spark):
+    texts = ["first\nrepeats alone\nlast", "other\nrepeats alone\nmore", "repeats alone", "a whole text", "a whole text",
+             "before\na whole text", "\n\nx"]
+    docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(3)
+    cut = corpus_pipeline.line_runs(spark, docs, "")
+    assert [r.text for r in cut.orderBy("doc_id").collect()] == [
+        texts[0], "other\nmore", "", "a whole text", "a whole text", "before", "\n\nx"]
+    left = corpus_pipeline.near_duplicates(spark, cut, "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3, 5, 6]
+
+
 def test_the_pipeline_takes_awkward_rows(spark, tmp_path):
     data = rows([None, "", " ", "a", "same words in a row here", "same words in a row here", "x\n" * 5000])
     data += [(None, "no id at all", None, None, None), (4, "same words in a row here", None, None, None)]
