@@ -139,23 +139,23 @@ PAGE_COLUMNS = ["key", "project", "project_name", "issue_type", "status", "prior
 
 
 def _with_changelog(spark, sf_dir, rows):
-    """Issues with the changelog of the user of the same number, some with an empty history."""
+    """Issues with the first page of the changelog of the user of the same number, some with an empty
+    history; and the further pages, a row for each."""
     pairs = reopens.transition_pairs(star.state_log(spark, sf_dir))
     named = lambda c: F.when(F.col(c) == "purchase", "Resolved").otherwise(F.col(c))
     paged = reopens.nested_changelog(pairs.withColumns({
         "from_state": named("from_state"),
         "to_state": F.when(F.col("to_state") != "view", named("to_state"))}))
-    whole = paged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("page", "histories"))).alias("pages"))
-    logs = whole.select(
-        F.substring("key", 5, 20).cast("bigint").alias("number"),
-        F.flatten(F.col("pages.histories")).alias("histories"))
+    logs = staged(paged.select(
+        F.substring("key", 5, 20).cast("bigint").alias("number"), "page", "histories"), "changelogs")
     empty = F.array(F.struct(
         F.lit("2001-08-01T00:00:00.000+0000").alias("created"),
         F.lit(None).cast(logs.schema["histories"].dataType.elementType["items"].dataType).alias("items")))
-    joined = rows.join(logs, "number", "left")
-    return joined.withColumn("histories", F.when(
+    joined = rows.join(logs.where("page = 0").drop("page"), "number", "left")
+    issues = joined.withColumn("histories", F.when(
         F.col("number") % 2 == 0, F.concat(F.coalesce("histories", F.array().cast(logs.schema["histories"].dataType)),
                                            empty)).otherwise(F.col("histories")))
+    return issues, rows.select("key", "number").join(logs.where("page > 0"), "number").drop("number")
 
 
 def _issues(spark, sf_dir, columns=PAGE_COLUMNS):
@@ -177,18 +177,25 @@ def _land_broken(spark, sf_dir, path):
     ).write.mode("append").text(path)
 
 
-def _landed_pages(spark, sf_dir) -> str:
-    path = scratch_path(spark, "pages")
-    _land(spark, sf_dir, _with_changelog(spark, sf_dir, _issues(spark, sf_dir)), path)
+def _landed_pages(spark, sf_dir) -> tuple[str, str]:
+    """Folders of the search pages and of the further changelog pages."""
+    path, logs = scratch_path(spark, "pages"), scratch_path(spark, "changelogs")
+    issues, further = _with_changelog(spark, sf_dir, _issues(spark, sf_dir))
+    _land(spark, sf_dir, issues, path)
     _land_broken(spark, sf_dir, path)
-    return path
+    further.write.json(logs)
+    return path, logs
 
 
 @query
 def page_scan(spark, sf_dir):
-    """Whole issues written as search pages, read back and projected."""
-    issues = pages.read_issues(spark, _landed_pages(spark, sf_dir), CONFIG)
-    rows = with_derived(pages.readable(pages.project_issues(issues, CONFIG)), CONFIG)
+    """Whole issues written as search pages and further changelog pages, read back and projected."""
+    path, logs = _landed_pages(spark, sf_dir)
+    issues = pages.project_issues(pages.read_issues(spark, path, CONFIG), CONFIG)
+    further = reopens.nested_reopens(pages.read_changelogs(spark, logs), finished(CONFIG.resolved_statuses))
+    counted = issues.join(further.withColumnRenamed("reopen_count", "further"), "key", "left").withColumn(
+        "reopen_count", F.col("reopen_count") + F.coalesce("further", F.lit(0)))
+    rows = with_derived(pages.readable(counted), CONFIG)
     return rows.select(
         "key", "project", "project_name", "issue_type", "status", "priority", "resolution", "reporter",
         "assignee", "severity", "market", "created_day", "age_days", "resolution_time_hours",
