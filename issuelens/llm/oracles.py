@@ -104,3 +104,37 @@ least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON d.doc_id = least.a LEFT JOIN sizes s ON d.doc_id = s.doc_id
 """
+
+RANKED_ITEMS = r"""
+WITH doc_terms AS (
+  SELECT d.row, d.doc_id, unnest(regexp_extract_all(
+    translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents) d),
+sizes AS (SELECT row, count(*) AS n FROM doc_terms GROUP BY row),
+totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+item_terms AS (
+  SELECT item, item_id, term, count(*) AS copies FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)) GROUP BY ALL),
+tfs AS (
+  SELECT row, doc_id, term, count(*) AS tf FROM doc_terms
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY term),
+parts AS (
+  SELECT t.row, t.doc_id, t.term,
+         w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (25 + (75 * s.n * big_n) // big_l))) AS part
+  FROM tfs t JOIN sizes s ON t.row = s.row JOIN weights w ON t.term = w.term, totals),
+scored AS (
+  SELECT i.item, i.item_id, p.row, p.doc_id, CAST(sum(i.copies * p.part) AS BIGINT) AS score
+  FROM item_terms i JOIN parts p ON i.term = p.term GROUP BY ALL),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from issuelens.llm import (
-    bpe, embedding_dedup, line_dedup, minhash_dedup, oracles, packing, quality, secret_scan,
+    bpe, embedding_dedup, line_dedup, minhash_dedup, oracles, packing, quality, ranked_search, secret_scan,
     substring_dedup, suffix_dedup, topk,
 )
 
@@ -54,9 +54,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_quality_classifier, op3_line_dedup, op4_byte_bpe, op5_binary_packing,
     op6_suffix_dedup, op7_pivot_topk, op8_substring_dedup, op9_chosen_path_dedup, op10_secret_scan,
+    op12_shared_search,
 )}
 
 LLM_ORACLES = {
@@ -65,4 +70,5 @@ LLM_ORACLES = {
     "op7_pivot_topk": oracles.TOP_K,
     "op8_substring_dedup": oracles.WORD_WINDOWS,
     "op9_chosen_path_dedup": oracles.SHINGLE_GROUPS,
+    "op12_shared_search": oracles.RANKED_ITEMS,
 }
