@@ -158,3 +158,40 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(body + marks) AS BIGINT) AS formatted_chars
 FROM numbered GROUP BY conv_id
 """
+
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+words AS (SELECT row, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+counts AS (
+  SELECT w.lang, w.source, w.term, count(*) AS c
+  FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+sources AS (
+  SELECT DISTINCT d.lang, d.source, coalesce(s.n, 0) AS n
+  FROM docs d LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL) s
+    ON d.lang = s.lang AND d.source = s.source),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (s.n + v.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.total + 1)) // (v.n + v.v)::HUGEINT AS q
+  FROM sources s JOIN v ON s.lang = v.lang JOIN kept k ON k.lang = s.lang
+  LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value
+  FROM shares WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

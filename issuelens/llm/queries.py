@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from issuelens.llm import (
-    bpe, embedding_dedup, line_dedup, minhash_dedup, oracles, packing, quality, ranked_search, reply_chat,
-    secret_scan, substring_dedup, suffix_dedup, topk,
+    bpe, divergence, embedding_dedup, line_dedup, minhash_dedup, oracles, packing, quality, ranked_search,
+    reply_chat, secret_scan, substring_dedup, suffix_dedup, topk,
 )
 
 
@@ -62,10 +62,14 @@ def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_quality_classifier, op3_line_dedup, op4_byte_bpe, op5_binary_packing,
     op6_suffix_dedup, op7_pivot_topk, op8_substring_dedup, op9_chosen_path_dedup, op10_secret_scan,
-    op11_reply_chat, op12_shared_search,
+    op11_reply_chat, op12_shared_search, op13_source_audit,
 )}
 
 LLM_ORACLES = {
@@ -76,4 +80,5 @@ LLM_ORACLES = {
     "op9_chosen_path_dedup": oracles.SHINGLE_GROUPS,
     "op11_reply_chat": oracles.CONVERSATIONS,
     "op12_shared_search": oracles.RANKED_ITEMS,
+    "op13_source_audit": oracles.DIVERGENCE,
 }
