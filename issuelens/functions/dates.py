@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 UNKNOWN_PERIOD = "Unknown"
@@ -55,3 +56,11 @@ def month_key(moment: Column) -> Column:
 
 def day_key(moment: Column) -> Column:
     return F.coalesce(F.date_format(moment, "yyyy-MM-dd"), F.lit(UNKNOWN_PERIOD))
+
+
+def micros(stamp: Column, kind: T.DataType) -> Column:
+    """Microseconds by which stamps can be ordered; those of a wall clock do not depend on the session's zone."""
+    if isinstance(kind, T.TimestampNTZType):
+        seconds = F.unix_date(stamp.cast("date")) * 86400 + F.hour(stamp) * 3600 + F.minute(stamp) * 60
+        return seconds.cast("bigint") * 1_000_000 + (F.date_part(F.lit("SECOND"), stamp) * 1_000_000).cast("bigint")
+    return F.unix_micros(stamp.cast("timestamp"))

@@ -35,7 +35,7 @@ from issuelens.sources import pages, star
 from issuelens.sources.exports import write_csv
 from issuelens.sources.star import CONFIG, defects, table
 from issuelens.sources.store import DefectStore
-from issuelens.streaming import flows
+from issuelens.streaming import flows, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -1020,35 +1020,48 @@ def _streamed(spark, path):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def _filed(spark, name, landings, keys):
-    """Land frames one after another, file each landing by a stream, and read the newest rows."""
-    landed, filed = scratch_path(spark, name), scratch_path(spark, f"{name}-filed")
+def _landed(spark, landings, path, follow):
+    """Land frames one after another, with the stream run to its end after each."""
     for rows in landings:
-        rows.write.mode("append").parquet(landed)
-        flows.file_rows(_streamed(spark, landed), filed, f"{filed}-log").awaitTermination()
-    return flows.filed_rows(spark, filed, landings[0].schema, keys)
+        rows.write.mode("append").parquet(path)
+        follow(_streamed(spark, path)).awaitTermination()
 
 
 @query
 def stream_daily_counts(spark, sf_dir):
-    """Discoveries per release and day: the newest issues land first, then the
-    older ones with every third of all issues once more."""
+    """Discoveries per release and day, followed over five landings.
+
+    First come outdated versions of every fourth issue, on a wrong day or on
+    none; then the newest issues, the older ones, a third of all once more, and
+    last some outdated versions that nothing may follow from.
+    """
+    def dated(rows, day, stamp):
+        return rows.select("key", "release_name", day.alias("created"),
+                           F.lit(stamp).cast("timestamp_ntz").alias("updated"))
+
     issues = staged(defects(spark, sf_dir, ["key", "release_name", "created", "age_days", "text_slot"]), "issues")
-    new = F.col("age_days") < 30
-    rows = _filed(spark, "daily", [
-        issues.where(new), issues.where(~new), issues.where("text_slot % 3 = 0")], flows.ISSUE_KEY)
-    return _day_text(flows.daily_counts(rows))
+    created, number, new = F.col("created"), F.col("text_slot"), F.col("age_days") < 30
+    wrong = F.when(number % 8 == 0, created + F.expr("interval 3 days"))
+    early = created - F.expr("interval 7 days")
+    path, changes = scratch_path(spark, "daily"), scratch_path(spark, "daily-changes")
+    _landed(spark, [
+        dated(issues.where(number % 4 == 0), wrong, "2001-07-01"), dated(issues.where(new), created, "2001-08-01"),
+        dated(issues.where(~new), created, "2001-08-01"), dated(issues.where(number % 3 == 0), created, "2001-08-01"),
+        dated(issues.where(number % 5 == 0), early, "2001-06-01"),
+    ], path, lambda rows: incremental.follow_daily_counts(rows, changes, f"{changes}-log"))
+    return _day_text(incremental.daily_totals(spark, changes))
 
 
 @query
 def stream_reopens(spark, sf_dir):
     """Reopens from a stream of transitions, the later half of each month first,
-    a third of them twice."""
+    a third of them twice; the totals are read from the stream's state."""
     pairs = staged(reopens.transition_pairs(star.state_log(spark, sf_dir)), "transitions")
     late = F.dayofmonth("ts") > 15
-    rows = _filed(spark, "reopens", [
-        pairs.where(late), pairs.where(~late), pairs.where("seq % 3 = 0")], flows.TRANSITION_KEY)
-    return flows.transition_reopens(rows, _LOG_RESOLVED)
+    path, changes = scratch_path(spark, "reopens"), scratch_path(spark, "reopens-changes")
+    _landed(spark, [pairs.where(late), pairs.where(~late), pairs.where("seq % 3 = 0")], path,
+            lambda rows: incremental.follow_reopens(rows, _LOG_RESOLVED, changes, f"{changes}-log"))
+    return incremental.reopen_totals(spark, f"{changes}-log")
 
 
 def _ingested(spark, sf_dir) -> DefectStore:
