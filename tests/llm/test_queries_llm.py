@@ -20,7 +20,7 @@ def test_query_agrees_with_its_sql(spark, con, name):
     assert compare(LLM_QUERIES[name](spark, SF), con, LLM_ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_every_operator_has_one_query(number):
     assert len([n for n in LLM_QUERIES if n.startswith(f"op{number}_")]) == 1
 
