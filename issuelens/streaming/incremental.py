@@ -15,8 +15,7 @@ twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from issuelens.functions.dates import micros
 from issuelens.functions.status import StatusTest
 from issuelens.operators.reopens import count_transitions
 from issuelens.operators.trends import running_total
-from issuelens.session import ROCKSDB, read_or_empty
+from issuelens.session import ROCKSDB, read_or_empty, settings
 
 BATCH = "batch"
 TRANSITION_KEY = ("key", "ts", "seq")
@@ -42,29 +41,14 @@ STATE_STORE = {
 }
 
 
-@contextmanager
-def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """A query takes its settings when it starts; the session keeps its own."""
-    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
-    for name, value in STATE_STORE.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
 def _filed(changes: DataFrame, path: str, checkpoint: str,
            folded: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
     """File what ``folded`` makes of each batch's changes; a batch that is run again is replaced."""
     def write(batch: DataFrame, batch_id: int) -> None:
         folded(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id:012d}")
 
-    with _state_in_rocksdb(changes.sparkSession):
+    # a query takes its settings when it starts
+    with settings(changes.sparkSession, STATE_STORE):
         return (changes.writeStream.outputMode("update").foreachBatch(write)
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
