@@ -33,6 +33,7 @@ decimals.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,8 @@ MIN_DOCS, VOCABULARY = 3, 2**31 - 1
 TERMS = 200
 #: Different terms in a shard, entries in a bucket of terms, sources in a tile, shared pairs held at once.
 SHARD_TERMS, BUCKET_ENTRIES, TILE, HELD_PAIRS = 1 << 20, 200_000, 256, 1 << 20
+#: Words that a task holds at once, and of how many hashes one is counted to size the shards.
+HELD_WORDS, THINNED = 1 << 20, 64
 UNIT = 1_000_000_000
 SEPARATOR = b"\x00"
 
@@ -62,12 +65,8 @@ def _source(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> D
         (lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
 
-def _spread(term: bytes, shards: int) -> int:
-    return zlib.crc32(term) % shards
-
-
 def shard_count(source: DataFrame, terms: int) -> int:
-    """Shards of at most about ``terms`` different (lang, term) each."""
+    """Shards of at most about ``terms`` different (lang, term) each, by a count of one hash in ``THINNED``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, set[bytes]] = {}
@@ -76,51 +75,79 @@ def shard_count(source: DataFrame, terms: int) -> int:
                 for piece in term_pieces(text.as_buffer().to_pybytes(), LETTERS):
                     own.update(piece)
             for lang, own in seen.items():
+                some = [term for term in own if zlib.crc32(term) % THINNED == 0]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang], pa.binary()), pa.array([list(own)], pa.list_(pa.binary()))],
-                    names=["lang", "terms"])
+                    pa.array([lang], pa.binary()), pa.array([some], pa.list_(pa.binary()))], names=["lang", "terms"])
 
     each = source.select(F.col("lang").cast("binary"), F.col("text").cast("binary")).mapInArrow(
         run, "lang binary, terms array<binary>")
     found = each.select("lang", F.explode("terms").alias("term")).agg(
         F.approx_count_distinct(F.struct("lang", "term"), 0.02)).first()[0]
-    return found // terms + 1
+    return THINNED * found // terms + 1
+
+
+def _spread(term: bytes, shards: int) -> int:
+    return zlib.crc32(term) // THINNED % shards
 
 
-def tokens(source: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, source, words): a document's words of one shard, each a term, a null character and the lang."""
+def tokens(source: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """(shard, kind, lang, source, words): a document's words of one shard, each a term, a null character and the lang.
+
+    Rows of kind 1 are for fitting: a batch of documents, whatever its size, says
+    of a term only whether it is in 1, 2, ... ``min_docs`` of them, a row for each.
+    Whether a term is in ``min_docs`` documents of all follows from that alone.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, rows, words, ends = [], [], [], []
+            rows, words, ends, held = [], [], [], Counter()
             for row, (lang, text) in enumerate(zip(batch.column(0), batch.column(2))):
-                lang = SEPARATOR + lang.as_py().encode()
-                dealt: list[list[bytes]] = [[] for _ in range(shards)]
+                suffix = SEPARATOR + lang.as_py().encode()
+                counts = Counter()
                 for piece in term_pieces(text.as_buffer().to_pybytes(), LETTERS):
-                    if shards == 1:
-                        dealt[0] += piece
-                        continue
-                    for term in piece:
-                        dealt[_spread(term, shards)].append(term)
+                    counts.update(piece)
+                counts = {term + suffix: n for term, n in counts.items()}
+                held.update(counts.keys())
+                dealt: list[list[bytes]] = [[] for _ in range(shards)]
+                for term, n in counts.items():
+                    # repeats stand together
+                    dealt[_spread(term, shards) if shards > 1 else 0] += [term] * n
                 for k, own in enumerate(dealt):
                     if own:
-                        words += [term + lang for term in own]
-                        shard.append(k)
-                        rows.append(row)
+                        words += own
+                        rows.append((k, 0, row))
                         ends.append(len(words))
-                if len(words) >= HELD_PAIRS:
-                    yield packed(batch, shard, rows, words, ends)
-                    shard, rows, words, ends = [], [], [], []
-            yield packed(batch, shard, rows, words, ends)
-
-    def packed(batch, shard, rows, words, ends):
+                if len(words) >= HELD_WORDS:
+                    yield packed(batch, rows, words, ends)
+                    rows, words, ends = [], [], []
+            yield packed(batch, rows, words, ends)
+            yield from fitted(batch, held)
+
+    def fitted(batch, held):
+        for least in range(1, min_docs + 1):
+            rows, words, ends = [], [], []
+            dealt: list[list[bytes]] = [[] for _ in range(shards)]
+            for term, n in held.items():
+                if n >= least:
+                    dealt[_spread(term, shards) if shards > 1 else 0].append(term)
+            for k, own in enumerate(dealt):
+                if own:
+                    words += own
+                    rows.append((k, 1, 0))
+                    ends.append(len(words))
+            if rows:
+                yield packed(batch, rows, words, ends)
+
+    def packed(batch, rows, words, ends):
         texts = pa.array(words, pa.binary()).cast(pa.string())
         lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), texts)
-        own = batch.take(pa.array(rows, pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), own.column(0), own.column(1), lists],
-                                          names=["shard", "lang", "source", "words"])
+        shard, kind, at = zip(*rows) if rows else ((), (), ())
+        own = batch.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), own.column(0), own.column(1), lists],
+            names=["shard", "kind", "lang", "source", "words"])
 
     plain = source.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(run, "shard int, lang string, source string, words array<string>")
+    return plain.mapInArrow(run, "shard int, kind int, lang string, source string, words array<string>")
 
 
 #: How a vector column is stored, to be read without its type.
@@ -134,18 +161,19 @@ def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "tex
     source = _source(docs, text_col, lang_col, source_col)
     shards = shard_count(source, shard_terms)
     path = scratch_path(spark, "tokens")
-    tokens(source, shards).write.partitionBy("shard").parquet(path)
-    schema = "lang string, source string, words array<string>, shard int"
+    tokens(source, shards, min_docs).write.partitionBy("shard", "kind").parquet(path)
+    schema = "lang string, source string, words array<string>, shard int, kind int"
     held = spark.read.schema(schema).parquet(path)
     out = None
     for shard in range(shards):
         own = held.where(F.col("shard") == shard).drop("shard")
+        fitting, counting = (own.where(F.col("kind") == kind).drop("kind") for kind in (1, 0))
         model = CountVectorizer(inputCol="words", outputCol="vector", minDF=float(min_docs),
-                                vocabSize=VOCABULARY).fit(own)
+                                vocabSize=VOCABULARY).fit(fitting)
         folder = scratch_path(spark, "vocabulary")
         model.write().save(folder)
         counted = scratch_path(spark, "vectors")
-        model.transform(own).select("lang", "source", "vector").write.parquet(counted)
+        model.transform(counting).select("lang", "source", "vector").write.parquet(counted)
         vectors = spark.read.schema(f"lang string, source string, {ENTRIES}").parquet(counted)
         entries = vectors.select("lang", "source", F.explode(F.arrays_zip(
             F.col("vector.indices").alias("place"), F.col("vector.values").alias("n"))).alias("entry"))
