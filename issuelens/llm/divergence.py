@@ -33,7 +33,6 @@ decimals.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,22 +41,24 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from issuelens.llm import bytetext
 from issuelens.llm.deploy import deployed
-from issuelens.llm.ranked_search import term_pieces
-from issuelens.session import scratch_path, staged
+from issuelens.session import scratch_path, settings, staged
 
 MIN_DOCS, VOCABULARY = 3, 2**31 - 1
 #: Terms listed of a group.
 TERMS = 200
 #: Different terms in a shard, entries in a bucket of terms, sources in a tile, shared pairs held at once.
 SHARD_TERMS, BUCKET_ENTRIES, TILE, HELD_PAIRS = 1 << 20, 200_000, 256, 1 << 20
-#: Words that a task holds at once, and of how many hashes one is counted to size the shards.
-HELD_WORDS, THINNED = 1 << 20, 64
+#: Terms that a task counts before it says so, of how many hashes one is counted to size
+#: the shards, and folders that a task writes to at once.
+HELD_WORDS, THINNED, OPEN_FILES = 1 << 20, 64, 32
 UNIT = 1_000_000_000
 SEPARATOR = b"\x00"
 
 #: Bytes of terms, lower-cased, and a space for every other one.
-LETTERS = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+LETTERS = np.array([b + 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20
+                    for b in range(256)], np.uint8)
 
 
 def _source(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -65,93 +66,97 @@ def _source(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> D
         (lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
 
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(lang, rows, bytes in lower case, offsets) of parts of a batch, each of one lang and of bounded text."""
+    langs = batch.column(0).dictionary_encode()
+    code = langs.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    for at, end in zip(starts, np.append(starts[1:], len(order))):
+        own = batch.take(pa.array(order[at:end]))
+        for rows, data, offsets in bytetext.slices([own]):
+            yield langs.dictionary[code[order[at]]].as_py(), rows, LETTERS[data], offsets
+
+
 def shard_count(source: DataFrame, terms: int) -> int:
     """Shards of at most about ``terms`` different (lang, term) each, by a count of one hash in ``THINNED``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, set[bytes]] = {}
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                own = seen.setdefault(lang.as_buffer().to_pybytes(), set())
-                for piece in term_pieces(text.as_buffer().to_pybytes(), LETTERS):
-                    own.update(piece)
-            for lang, own in seen.items():
-                some = [term for term in own if zlib.crc32(term) % THINNED == 0]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang], pa.binary()), pa.array([some], pa.list_(pa.binary()))], names=["lang", "terms"])
-
-    each = source.select(F.col("lang").cast("binary"), F.col("text").cast("binary")).mapInArrow(
-        run, "lang binary, terms array<binary>")
-    found = each.select("lang", F.explode("terms").alias("term")).agg(
-        F.approx_count_distinct(F.struct("lang", "term"), 0.02)).first()[0]
+            for lang, _, data, offsets in _by_lang(batch):
+                hashes = bytetext.word_hashes(data, *bytetext.words(data, offsets)[:2])
+                some = np.unique(hashes[hashes % np.uint64(THINNED) == 0]) ^ np.uint64(zlib.crc32(lang.encode()))
+                yield pa.RecordBatch.from_arrays([pa.array(bytetext.as_long(some))], names=["hash"])
+
+    found = source.select("lang", "text").mapInArrow(run, "hash long").agg(
+        F.approx_count_distinct("hash", 0.02)).first()[0]
     return THINNED * found // terms + 1
 
 
-def _spread(term: bytes, shards: int) -> int:
-    return zlib.crc32(term) // THINNED % shards
+def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, document, term, count): the different terms of some texts, and every document's counts."""
+    starts, ends, first = bytetext.words(data, offsets)
+    ends = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    letters = data[data != 0x20]
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    pairs = np.sort(np.repeat(np.arange(len(offsets) - 1), np.diff(first)) * size + coded.indices.to_numpy())
+    at = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return coded.dictionary, pairs[at] // size, pairs[at] % size, np.diff(np.append(at, len(pairs)))
 
 
 def tokens(source: DataFrame, shards: int, min_docs: int) -> DataFrame:
     """(shard, kind, lang, source, words): a document's words of one shard, each a term, a null character and the lang.
 
-    Rows of kind 1 are for fitting: a batch of documents, whatever its size, says
-    of a term only whether it is in 1, 2, ... ``min_docs`` of them, a row for each.
-    Whether a term is in ``min_docs`` documents of all follows from that alone.
+    Rows of kind 1 are for fitting: a task says of a term only whether it is in
+    1, 2, ... ``min_docs`` of the documents it has seen, a row for each. Whether a
+    term is in ``min_docs`` documents of all follows from that alone.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, words, ends, held = [], [], [], Counter()
-            for row, (lang, text) in enumerate(zip(batch.column(0), batch.column(2))):
-                suffix = SEPARATOR + lang.as_py().encode()
-                counts = Counter()
-                for piece in term_pieces(text.as_buffer().to_pybytes(), LETTERS):
-                    counts.update(piece)
-                counts = {term + suffix: n for term, n in counts.items()}
-                held.update(counts.keys())
-                dealt: list[list[bytes]] = [[] for _ in range(shards)]
-                for term, n in counts.items():
-                    # repeats stand together
-                    dealt[_spread(term, shards) if shards > 1 else 0] += [term] * n
-                for k, own in enumerate(dealt):
-                    if own:
-                        words += own
-                        rows.append((k, 0, row))
-                        ends.append(len(words))
-                if len(words) >= HELD_WORDS:
-                    yield packed(batch, rows, words, ends)
-                    rows, words, ends = [], [], []
-            yield packed(batch, rows, words, ends)
-            yield from fitted(batch, held)
-
-    def fitted(batch, held):
+    names = ["shard", "kind", "lang", "source", "words"]
+
+    def lists(words: pa.Array, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), words.cast(pa.string()))
+
+    def fitted(held: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         for least in range(1, min_docs + 1):
-            rows, words, ends = [], [], []
             dealt: list[list[bytes]] = [[] for _ in range(shards)]
             for term, n in held.items():
                 if n >= least:
-                    dealt[_spread(term, shards) if shards > 1 else 0].append(term)
+                    dealt[zlib.crc32(term) % shards].append(term)
             for k, own in enumerate(dealt):
                 if own:
-                    words += own
-                    rows.append((k, 1, 0))
-                    ends.append(len(words))
-            if rows:
-                yield packed(batch, rows, words, ends)
-
-    def packed(batch, rows, words, ends):
-        texts = pa.array(words, pa.binary()).cast(pa.string())
-        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), texts)
-        shard, kind, at = zip(*rows) if rows else ((), (), ())
-        own = batch.take(pa.array(at, pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), own.column(0), own.column(1), lists],
-            names=["shard", "kind", "lang", "source", "words"])
-
-    plain = source.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(run, "shard int, kind int, lang string, source string, words array<string>")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int32()), pa.array([1], pa.int32()), pa.array([""]), pa.array([""]),
+                         lists(pa.array(own, pa.binary()), np.array([len(own)]))], names=names)
 
-
-#: How a vector column is stored, to be read without its type.
-ENTRIES = "vector struct<type tinyint, size int, indices array<int>, values array<double>>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        for batch in batches:
+            for lang, rows, data, offsets in _by_lang(batch):
+                terms, doc, term, count = _counted(data, offsets)
+                named = [t + SEPARATOR + lang.encode() for t in terms.to_pylist()]
+                for name, n in zip(named, np.bincount(term, minlength=len(named)).tolist()):
+                    held[name] = held.get(name, 0) + n
+                spread = np.array([zlib.crc32(name) % shards for name in named], np.int64)
+                words = pa.array(named, pa.binary())
+                for k in range(shards):
+                    own = np.flatnonzero(spread[term] == k)
+                    if len(own):
+                        # repeats of a word stand together
+                        repeated = words.take(pa.array(np.repeat(term[own], count[own])))
+                        sizes = np.bincount(doc[own], weights=count[own], minlength=len(rows)).astype(np.int64)
+                        some = np.flatnonzero(sizes)
+                        kept = rows.take(pa.array(some))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(some), k, np.int32)), pa.array(np.zeros(len(some), np.int32)),
+                             kept.column(0), kept.column(1), lists(repeated, np.cumsum(sizes[some]))], names=names)
+                if len(held) >= HELD_WORDS:
+                    yield from fitted(held)
+                    held = {}
+        yield from fitted(held)
+
+    return source.select("lang", "source", "text").mapInArrow(
+        run, "shard int, kind int, lang string, source string, words array<string>")
 
 
 def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", lang_col: str = "lang",
@@ -161,7 +166,9 @@ def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "tex
     source = _source(docs, text_col, lang_col, source_col)
     shards = shard_count(source, shard_terms)
     path = scratch_path(spark, "tokens")
-    tokens(source, shards, min_docs).write.partitionBy("shard", "kind").parquet(path)
+    # a file per folder is open at once, so rows need no sorting first
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+        tokens(source, shards, min_docs).write.partitionBy("shard", "kind").parquet(path)
     schema = "lang string, source string, words array<string>, shard int, kind int"
     held = spark.read.schema(schema).parquet(path)
     out = None
@@ -172,9 +179,7 @@ def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "tex
                                 vocabSize=VOCABULARY).fit(fitting)
         folder = scratch_path(spark, "vocabulary")
         model.write().save(folder)
-        counted = scratch_path(spark, "vectors")
-        model.transform(counting).select("lang", "source", "vector").write.parquet(counted)
-        vectors = spark.read.schema(f"lang string, source string, {ENTRIES}").parquet(counted)
+        vectors = model.transform(counting).select("lang", "source", F.unwrap_udt("vector").alias("vector"))
         entries = vectors.select("lang", "source", F.explode(F.arrays_zip(
             F.col("vector.indices").alias("place"), F.col("vector.values").alias("n"))).alias("entry"))
         sums = entries.groupBy("lang", "source", F.col("entry.place").alias("place")).agg(
@@ -318,18 +323,31 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, listed: int = TERMS, text_c
     # a lang without terms has no shares; 1 stands in and is multiplied by none
     sources = staged(sources.withColumn("least", F.coalesce(_share(
         F.lit(0).cast("long"), F.col("n"), F.col("kept")), F.lit(1).cast("long"))), "sources")
-    shares = staged(counts.join(sources, ["lang", "source"]).select(
-        "lang", "source", "number", "term", "kept", "total",
-        _share(F.col("count"), F.col("n"), F.col("kept")).alias("p")), "shares")
+    q = _share(F.col("all"), F.col("total"), F.col("kept"))
+    shares = staged(counts.join(sources, ["lang", "source"]).join(whole, ["lang", "term"]).select(
+        "lang", "source", "number", "term", _share(F.col("count"), F.col("n"), F.col("kept")).alias("p"), q.alias("q")),
+        "shares")
     compared = pair_sums(shares.select("lang", "term", "number", "p"), sources.select("lang", "number", "least"),
                          terms.select("lang", "kept"))
     names = sources.select("lang", "number", "source")
     pairs = compared.join(names.withColumnRenamed("number", "a"), ["lang", "a"]).join(
         names.select("lang", F.col("number").alias("b"), F.col("source").alias("item")), ["lang", "b"]).select(
         "lang", "source", F.lit("pair").alias("part"), "item", "value")
-    q = _share(F.col("all"), F.col("total"), F.col("kept"))
-    own = shares.join(whole, ["lang", "term"]).withColumn("q", q).where("p > q").select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
-        _distance(F.col("p"), F.col("q")).alias("value"))
+    own = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
+                                       _distance(F.col("p"), F.col("q")).alias("value"))
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank")
-    return pairs.select("*", place).union(own.select("*", place).where(F.col("rank") <= listed))
+    return pairs.select("*", place).union(_greatest(own, listed).select("*", place).where(F.col("rank") <= listed))
+
+
+def _greatest(terms: DataFrame, listed: int) -> DataFrame:
+    """The terms of each group that can be among its ``listed`` greatest, and few others.
+
+    Values are counted by their powers of two; what lies below the power at
+    which ``listed`` are reached is out, before anything is sorted.
+    """
+    power = F.length(F.bin("value"))
+    counted = terms.groupBy("lang", "source", power.alias("power")).agg(F.count("*").alias("n"))
+    above = Window.partitionBy("lang", "source").orderBy(F.desc("power")).rowsBetween(Window.unboundedPreceding, -1)
+    least = counted.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).where(
+        F.col("above") < listed).groupBy("lang", "source").agg(F.min("power").alias("least"))
+    return terms.join(least, ["lang", "source"]).where(power >= F.col("least")).drop("least")
