@@ -164,14 +164,14 @@ def component_stats(df: DataFrame, limit: int = 15, by: Sequence[str] = ()) -> D
     return first_rows(parts, [F.col("open_count").desc(), F.col("component")], limit, by)
 
 
-def _timed(df: DataFrame) -> DataFrame:
+def timed(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_resolved") & F.col("resolution_time_hours").isNotNull())
 
 
 def resolution_percentiles(df: DataFrame, probabilities: dict[str, float] | None = None,
                            by: Sequence[str] = ()) -> DataFrame:
     """Interpolated percentiles of the resolution time; no row when none is known."""
-    return exact_percentiles(_timed(df), "resolution_time_hours", probabilities or PERCENTILES, 1, by)
+    return exact_percentiles(timed(df), "resolution_time_hours", probabilities or PERCENTILES, 1, by)
 
 
 def exact_percentiles(df: DataFrame, column: str, probabilities: dict[str, float],
@@ -238,7 +238,7 @@ def sla_compliance(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         met = F.when(rows, F.when(hours <= limit, 1.0).otherwise(0.0))
         return F.coalesce(half_even(F.avg(met) * 100, 1), F.lit(0.0))
 
-    return _timed(df).groupBy(*by).agg(
+    return timed(df).groupBy(*by).agg(
         within(critical, CRITICAL_SLA_HOURS).alias("critical_under_48h"),
         within(~critical, NORMAL_SLA_HOURS).alias("normal_under_168h"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from issuelens.config import AnalysisConfig
 from issuelens.functions.risk import HIGH_OR_HIGHEST
+from issuelens.operators import evaluation
 from issuelens.operators.risk import with_fallback_risk
 from issuelens.operators.upsert import latest
 from issuelens.session import checkpoint_root, read_or_empty, scratch_path, staged
@@ -43,6 +44,8 @@ DEFAULT_LEVEL = 0.5
 MIN_ROWS, MIN_FEATURES = 10, 3
 # Rows the forests are fitted on (expected number), and the buckets these are dealt into.
 FIT_ROWS, FIT_BUCKETS = 200_000, 32
+# Parts of the hash space that a share is taken of; fine enough for any number of rows.
+HASH_PARTS = 1 << 50
 
 
 def _mapped(value: Column, table: dict, default: Column) -> Column:
@@ -244,11 +247,27 @@ def _fitting_rows(rows: DataFrame, fit_rows: int, seed: int) -> DataFrame:
     """
     checkpoint_root(rows.sparkSession)
     share = min(1.0, fit_rows / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(HASH_PARTS)) < int(share * HASH_PARTS))
     order = F.xxhash64(*[c for c in rows.columns if c != "features"])
     return chosen.repartition(FIT_BUCKETS, "key").sortWithinPartitions("key", order).checkpoint()
 
 
+def held_out(seed: int = 42) -> Column:
+    """The fifth of the issues that forests are never fitted on."""
+    return F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(5)) == 0
+
+
+def model_quality(df: DataFrame, models: RiskModels, seed: int = 42) -> DataFrame:
+    """Per model: accuracy and area under the curve over the issues it was not fitted on."""
+    scored = staged(predict(df.where(held_out(seed)), models).select(*SCORES.values(), *TARGETS.values()), "held-out")
+    long = scored.select(F.explode(F.array(*[F.struct(
+        F.lit(name).alias("model"), F.col(score).cast("double").alias("score"),
+        F.col(TARGETS[name]).cast("int").alias("label")) for name, score in SCORES.items()])).alias("of")).select("of.*")
+    right = evaluation.accuracy(long, "score", "label", ["model"])
+    area = evaluation.area_under_curve(long, "score", "label", ["model"])
+    return right.join(area, "model").select("model", "n", "positives", "accuracy", "auc")
+
+
 def train(df: DataFrame, labels: Labels | None = None, trees: int = 100, max_depth: int = 5,
           seed: int = 42, evaluate: bool = False, fit_rows: int = FIT_ROWS) -> RiskModels:
     """Fit the three forests on four fifths of at most about ``fit_rows`` rows.
@@ -260,11 +279,10 @@ def train(df: DataFrame, labels: Labels | None = None, trees: int = 100, max_dep
     fitted = RiskModels(labels=labels, features=features)
     if len(features) < MIN_FEATURES:
         return fitted
-    fold = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(5))
     wanted = [(target, t) for target, t in TARGETS.items() if t in df.columns]
     rows = _assembled(df, features).select(
         "key", "features", *[F.col(t).cast("double").alias(t) for _, t in wanted],
-        (fold != 0).alias("training"))
+        (~held_out(seed)).alias("training"))
     rows = _fitting_rows(rows, fit_rows, seed)
     size = rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("training").alias("n"),

@@ -292,5 +292,5 @@ def group_comparison(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, limit: int = 5, seed: int = 42) -> DataFrame:
-    """A reproducible sample: the smallest key hashes."""
-    return df.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(limit)
+    """A reproducible sample: the smallest digests of seed and key, which any database can compute."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), "key").limit(limit)

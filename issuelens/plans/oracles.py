@@ -301,6 +301,11 @@ landed AS (
   FROM moves GROUP BY user_id
 )"""
 
+# Issues that the stream sees once more, and those it cannot store.
+LANDED_AGAIN = "count(*) FILTER (WHERE o_orderkey % 3 = 0)"
+LANDED_FAILING = """(count(*) FILTER (WHERE o_orderkey % 5 = 0) + count(*) FILTER (WHERE o_orderkey % 7 = 0)
+    + count(*) FILTER (WHERE o_orderkey % 11 = 0))"""
+
 STORED = """{star}, {registry},
 stored AS (
   SELECT release_name,
@@ -414,6 +419,8 @@ SELECT {PAGE_COLUMNS} FROM texted LEFT JOIN landed ON user_id = o_orderkey""",
   count(*) - count(DISTINCT o_orderkey) AS missing,
   count(*) > count(DISTINCT o_orderkey) AS truncated,
   (SELECT count(*) FROM region) AS corrupt_pages FROM orders""",
+    "scan_observed": """SELECT count(*) AS announced, count(*) AS fetched, 0::BIGINT AS unreadable,
+  count(*) AS extracted, (SELECT count(*) FROM region) AS corrupt FROM orders""",
     # Scans, store and releases
     "scan_filter": f"""{STAR}
 SELECT key, severity, issue_type, strftime(created, '%Y-%m-%d') AS created_day FROM issue
@@ -614,6 +621,8 @@ SELECT project, count(*) AS critical_defects FROM issue WHERE is_critical GROUP
 SELECT p_brand AS component, count(*) AS n
 FROM issue JOIN line_brand ON l_orderkey = o_orderkey WHERE is_critical AND p_brand IS NOT NULL
 GROUP BY 1 ORDER BY n DESC, component LIMIT 10""",
+    "pattern_sample": f"""{STAR}
+SELECT key, substr(summary, 1, 100) AS summary FROM texted ORDER BY md5('42:' || key), key LIMIT 5""",
     "pattern_summary": f"""{STAR},
 types AS (SELECT issue_type AS name, count(*) AS n FROM issue GROUP BY 1),
 brands AS (
@@ -676,6 +685,13 @@ SELECT {r("quantile_cont(resolution_time_hours, 0.5)", 1)} AS p50,
   {r("quantile_cont(resolution_time_hours, 0.9)", 1)} AS p90,
   {r("quantile_cont(resolution_time_hours, 0.95)", 1)} AS p95
 FROM issue WHERE is_resolved AND resolution_time_hours IS NOT NULL""",
+    "percentile_sketches": f"""{STAR}
+SELECT release_name, count(*) AS n, 4::BIGINT AS percentiles, 4::BIGINT AS within_error,
+  {r("quantile_cont(resolution_time_hours, 0.5)", 1)} AS p50,
+  {r("quantile_cont(resolution_time_hours, 0.75)", 1)} AS p75,
+  {r("quantile_cont(resolution_time_hours, 0.9)", 1)} AS p90,
+  {r("quantile_cont(resolution_time_hours, 0.95)", 1)} AS p95
+FROM issue WHERE is_resolved AND resolution_time_hours IS NOT NULL GROUP BY 1""",
     "sla_compliance": f"""{STAR}
 SELECT coalesce({r('''avg(CASE WHEN resolution_time_hours <= 48 THEN 1.0 ELSE 0.0 END)
     FILTER (WHERE is_critical) * 100''', 1)}, 0.0) AS critical_under_48h,
@@ -865,13 +881,51 @@ given AS (
 )
 SELECT key, {r("p * 0.4 + a * 0.3 + w * 0.3", 6)} AS plain,
   {r("p * 0.3 + a * 0.2 + c * 0.2 + s * 0.2 + w * 0.1", 6)} AS assessed FROM given""",
+    "top_risks_given": f"""{STAR},
+given AS (
+  SELECT *, {r("""CASE WHEN priority IN ('High', 'Highest') THEN 1 ELSE 0 END * 0.4
+    + CASE WHEN age_days > 7 AND status <> 'Resolved' THEN 1 ELSE 0 END * 0.3
+    + CASE issue_type WHEN 'PROMO' THEN 3 WHEN 'ECONOMY' THEN 2 ELSE 1 END / 3 * 0.3""", 6)} AS risk_score
+  FROM issue
+)
+SELECT key, issue_type, priority, age_days, risk_score FROM given
+ORDER BY risk_score DESC, created DESC, key LIMIT 25""",
+    "score_evaluation": f"""{STAR},
+counts AS (
+  SELECT release_name, age_days / 128 AS score, count(*) FILTER (WHERE is_critical) AS p,
+    count(*) FILTER (WHERE NOT is_critical) AS q FROM issue GROUP BY 1, 2),
+placed AS (
+  SELECT *, coalesce(sum(q) OVER (PARTITION BY release_name ORDER BY score
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM counts)
+SELECT release_name, CAST(sum(p + q) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS positives,
+  CAST(sum(q) AS BIGINT) AS negatives,
+  {r("sum(p * (2 * below + q))::DOUBLE / nullif(sum(p)::DOUBLE * sum(q)::DOUBLE * 2, 0)", 9)} AS auc,
+  {r("sum(CASE WHEN score >= 0.5 THEN p ELSE q END)::DOUBLE / sum(p + q)", 9)} AS accuracy
+FROM placed GROUP BY 1""",
+    "score_calibration": f"""{STAR}
+SELECT CAST(least(floor(age_days / 128 * 10), 9) AS INTEGER) AS bin, count(*) AS n,
+  {r("avg(age_days / 128)", 6)} AS mean_score,
+  {r("avg(CASE WHEN is_critical THEN 1.0 ELSE 0.0 END)", 6)} AS positive_share
+FROM issue GROUP BY 1""",
     # Streams
     "stream_daily_counts": TRENDLINE.format(where=""),
     "stream_reopens": f"{LOG} SELECT key, reopen_count FROM counted",
-    "stream_ingest": f"""{STAR}
+    "stream_ingest": f"""{STAR}, {LANDED_REOPENS}
 SELECT release_name AS name, count(*) AS total_defects,
-  count(*) FILTER (WHERE status NOT IN ('Resolved', 'Closed', 'Done')) AS open_defects
-FROM issue GROUP BY 1""",
+  count(*) FILTER (WHERE status NOT IN ('Resolved', 'Closed', 'Done')) AS open_defects,
+  CAST(sum(CAST('0x' || substr(md5(summary), 1, 8) AS BIGINT)
+    + CAST('0x' || substr(md5(description), 1, 8) AS BIGINT)) AS BIGINT) AS text_digest,
+  CAST(sum(coalesce(reopen_count, 0)) AS BIGINT) AS reopens
+FROM texted LEFT JOIN landed ON user_id = o_orderkey GROUP BY 1""",
+    "stream_audit": f"""
+SELECT count(*) AS announced, count(*) + {LANDED_AGAIN} + {LANDED_FAILING} AS fetched,
+  count(*) FILTER (WHERE o_orderkey % 11 = 0) AS unreadable,
+  count(*) + {LANDED_AGAIN} + {LANDED_FAILING} - count(*) FILTER (WHERE o_orderkey % 11 = 0) AS extracted,
+  (SELECT count(*) FROM region) AS corrupt, count(*) + {LANDED_AGAIN}
+    - count(*) FILTER (WHERE o_orderkey % 3 = 0 AND late) AS stored,
+  {LANDED_FAILING} + (SELECT count(*) FROM region) AS rejected
+FROM (SELECT o_orderkey, datediff('day', CAST(o_orderdate AS DATE), DATE '2001-08-02') % (8 * (1 + c_nationkey % 16)) > 32
+    AS late FROM orders LEFT JOIN customer ON c_custkey = o_custkey)""",
     "stream_rejects": """
 SELECT reason, n FROM (
   SELECT 'no key' AS reason, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.functions import numbers, risk as scores, text
+from issuelens.functions import changelog, numbers, risk as scores, text
 from issuelens.functions.status import finished
 from issuelens.operators import (
+    evaluation,
     health,
     ml,
     quality,
@@ -22,6 +23,7 @@ from issuelens.operators import (
     reopens,
     report,
     risk,
+    sketches,
     summary,
     trends,
     upsert,
@@ -206,10 +208,19 @@ def page_scan(spark, sf_dir):
 
 @query
 def page_audit(spark, sf_dir):
-    path = scratch_path(spark, "pages")
-    _land(spark, sf_dir, _issues(spark, sf_dir, ["key"]), path)
-    _land_broken(spark, sf_dir, path)
-    return quality.page_audit(pages.read_pages(spark, path, CONFIG))
+    """Whole pages against the total they announce."""
+    return quality.page_audit(pages.read_pages(spark, _landed_pages(spark, sf_dir)[0], CONFIG))
+
+
+@query
+def scan_observed(spark, sf_dir):
+    """What a scan of whole pages saw, counted while its rows were written and with no read of its own."""
+    path = _landed_pages(spark, sf_dir)[0]
+    issues, seen = pages.observed(pages.explode_pages(pages.read_pages(spark, path, CONFIG)))
+    staged(pages.judged(pages.project_issues(issues, CONFIG)), "scanned")
+    counts = seen.get
+    return spark.range(1).select(*[F.lit(counts[c]).cast("bigint").alias(c) for c in (
+        "announced", "fetched", "unreadable", "extracted", "corrupt")])
 
 
 # Scans, store and releases
@@ -627,6 +638,25 @@ def resolution_percentiles(spark, sf_dir):
         defects(spark, sf_dir, ["is_resolved", "resolution_time_hours"]))
 
 
+@query
+def percentile_sketches(spark, sf_dir):
+    """Percentiles per release from sketches per release and week, stored in three deliveries and merged on
+    read, against the exact ones: how many are within the stated error of rank."""
+    rows = staged(defects(spark, sf_dir, ["release_name", "created_week", "age_days", "is_resolved",
+                                          "resolution_time_hours"]), "timed")
+    store = DefectStore(spark, scratch_path(spark, "sketches"))
+    for k in range(3):
+        part = sketches.resolution_sketches(rows.where(F.col("age_days") % 3 == k))
+        store.store_sketches(part, "resolution", f"{k:03d}")
+    parts = store.sketches("resolution", part.schema)
+    found = sketches.percentiles(parts, ["release_name"])
+    far = sketches.rank_distances(health.timed(rows), "resolution_time_hours", found, ["release_name"])
+    exact = health.resolution_percentiles(rows, by=["release_name"])
+    return far.groupBy("release_name").agg(
+        F.max("n").alias("n"), F.count("*").alias("percentiles"),
+        F.count_if(F.col("distance") <= 2 * sketches.rank_error()).alias("within_error")).join(exact, "release_name")
+
+
 @query
 def sla_compliance(spark, sf_dir):
     return health.sla_compliance(
@@ -986,6 +1016,48 @@ def risk_ml(spark, sf_dir):
     return _learned(spark, sf_dir).select("key", *ml.SCORES.values(), "overall_risk_score")
 
 
+@query
+def risk_ml_quality(spark, sf_dir):
+    """Accuracy and area under the curve of the three forests, over the issues none was fitted on."""
+    rows, labels = ml.prepare(defects(spark, sf_dir, FEATURE_INPUT), CONFIG)
+    return ml.model_quality(rows, ml.train(rows, labels))
+
+
+def _given_scores(spark, sf_dir):
+    """Ages as scores of how critical an issue is."""
+    rows = defects(spark, sf_dir, ["release_name", "age_days", "is_critical"])
+    return rows.select("release_name", (F.col("age_days") / 128).alias("score"), "is_critical")
+
+
+@query
+def score_evaluation(spark, sf_dir):
+    """Area under the curve and accuracy of given scores, per release."""
+    rows = _given_scores(spark, sf_dir)
+    area = evaluation.area_under_curve(rows, "score", "is_critical", ["release_name"])
+    right = evaluation.accuracy(rows, "score", "is_critical", ["release_name"])
+    return area.join(right, "release_name").select(
+        "release_name", "n", "positives", "negatives", numbers.half_even(F.col("auc"), 9).alias("auc"),
+        numbers.half_even(F.col("accuracy"), 9).alias("accuracy"))
+
+
+@query
+def score_calibration(spark, sf_dir):
+    return evaluation.calibration(_given_scores(spark, sf_dir), "score", "is_critical")
+
+
+@query
+def top_risks_given(spark, sf_dir):
+    """The ranking of learned scores, over given ones."""
+    rows = defects(spark, sf_dir, ["key", "priority", "status", "issue_type", "age_days", "created", "is_critical",
+                                   "has_components"])
+    given = ml.with_features(rows, CONFIG).withColumns({
+        "priority_risk_score": F.col("is_high_priority").cast("double"),
+        "attention_score": F.col("needs_attention").cast("double"),
+        "critical_score": F.col("is_critical_issue").cast("double")})
+    scored = ml.blend(given, "plain", enriched=False).withColumn("risk_score", numbers.half_even(F.col("plain"), 6))
+    return risk.top_risks(scored).select("key", "issue_type", "priority", "age_days", "risk_score")
+
+
 @query
 def risk_ml_checks(spark, sf_dir):
     """What is exact about the learned scores: every issue has one, all are within
@@ -1029,10 +1101,10 @@ def _landed(spark, landings, path, follow):
 
 @query
 def stream_daily_counts(spark, sf_dir):
-    """Discoveries per release and day, followed over five landings.
+    """Discoveries per release and day, followed over three landings.
 
-    First come outdated versions of every fourth issue, on a wrong day or on
-    none; then the newest issues, the older ones, a third of all once more, and
+    First come the newest issues, and outdated versions of every fourth, on a
+    wrong day or on none; then the older issues and a third of all once more;
     last some outdated versions that nothing may follow from.
     """
     def dated(rows, day, stamp):
@@ -1045,8 +1117,9 @@ def stream_daily_counts(spark, sf_dir):
     early = created - F.expr("interval 7 days")
     path, changes = scratch_path(spark, "daily"), scratch_path(spark, "daily-changes")
     _landed(spark, [
-        dated(issues.where(number % 4 == 0), wrong, "2001-07-01"), dated(issues.where(new), created, "2001-08-01"),
-        dated(issues.where(~new), created, "2001-08-01"), dated(issues.where(number % 3 == 0), created, "2001-08-01"),
+        dated(issues.where(number % 4 == 0), wrong, "2001-07-01").union(
+            dated(issues.where(new), created, "2001-08-01")),
+        dated(issues.where(~new | (number % 3 == 0)), created, "2001-08-01"),
         dated(issues.where(number % 5 == 0), early, "2001-06-01"),
     ], path, lambda rows: incremental.follow_daily_counts(rows, changes, f"{changes}-log"))
     return _day_text(incremental.daily_totals(spark, changes))
@@ -1064,12 +1137,14 @@ def stream_reopens(spark, sf_dir):
     return incremental.reopen_totals(spark, f"{changes}-log")
 
 
-def _ingested(spark, sf_dir) -> DefectStore:
-    """Two landings of pages: new issues first; then the older ones, a third of
-    all with an outdated status, and what cannot be stored."""
+def _ingested(spark, sf_dir) -> tuple[DefectStore, str]:
+    """Two landings of whole pages: new issues first; then the older ones, a third of
+    all with an outdated status, and what cannot be stored. And the folder of further changelog pages."""
     root = scratch_path(spark, "ingest")
-    store, landed = DefectStore(spark, root), f"{root}-pages"
-    rows = staged(_issues(spark, sf_dir, [c for c in PAGE_COLUMNS if c not in ("summary", "description")]), "issues")
+    store, landed, logs = DefectStore(spark, root), f"{root}-pages", f"{root}-changelogs"
+    rows, further = _with_changelog(spark, sf_dir, _issues(spark, sf_dir))
+    rows = staged(rows, "issues")
+    further.write.json(logs)
     number, new = F.col("number"), F.col("created") >= F.lit("2001-07-01").cast("timestamp_ntz")
     outdated = rows.where(number % 3 == 0).withColumns({
         "status": F.lit("Outdated"), "updated": F.lit("1990-01-01").cast("timestamp_ntz")})
@@ -1085,16 +1160,39 @@ def _ingested(spark, sf_dir) -> DefectStore:
         if len(landing) > 1:
             _land_broken(spark, sf_dir, landed)
         flows.ingest_pages(spark, landed, CONFIG, store, f"{root}-log").awaitTermination()
-    return store
+    return store, logs
+
+
+def _digest(text: str) -> Column:
+    """A number that SQL has too, to be summed."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 8), 16, 10).cast("bigint")
 
 
 @query
 def stream_ingest(spark, sf_dir):
-    """Landed pages upserted into a store by a stream."""
-    return _ingested(spark, sf_dir).releases_with_counts().select("name", "total_defects", "open_defects")
+    """Whole landed pages upserted into a store by a stream: issues, their texts and their reopens per release."""
+    store, logs = _ingested(spark, sf_dir)
+    resolved = finished(CONFIG.resolved_statuses)
+    further = reopens.nested_reopens(pages.read_changelogs(spark, logs), resolved)
+    rows = store.defects().select(
+        "key", "release_name", (_digest("summary") + _digest("description")).alias("digest"),
+        changelog.reopen_count(F.col("changelog"), resolved).alias("first"))
+    texts = rows.join(further, "key", "left").groupBy(F.col("release_name").alias("name")).agg(
+        F.sum("digest").alias("text_digest"),
+        F.sum(F.col("first") + F.coalesce("reopen_count", F.lit(0))).alias("reopens"))
+    counts = store.releases_with_counts().select("name", "total_defects", "open_defects")
+    return counts.join(texts, "name")
 
 
 @query
 def stream_rejects(spark, sf_dir):
     """What the stream could not store, by reason."""
-    return _ingested(spark, sf_dir).rejects().groupBy("reason").agg(F.count("*").alias("n"))
+    return _ingested(spark, sf_dir)[0].rejects().groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_audit(spark, sf_dir):
+    """What the stream saw of its batches while it stored them."""
+    counts = ("fetched", "unreadable", "extracted", "corrupt", "stored", "rejected")
+    return _ingested(spark, sf_dir)[0].audits().agg(
+        F.max("announced").alias("announced"), *[F.sum(c).alias(c) for c in counts])
