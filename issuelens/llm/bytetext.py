@@ -22,6 +22,9 @@ BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) +
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Of eight bytes the first 0 to 8, and one odd number per seed.
+KEPT_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SEEDS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -112,11 +115,34 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes in each [start, end), one after another.
+
+    Every eight bytes are mixed with their number before they are added up, so
+    no pattern of the bytes makes unequal texts equal, as it does with a
+    polynomial. Hashes of two seeds are independent.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    prefix = prefix_hash(data)
-    return mixed(ranges_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    blocks = np.maximum(1, (ends - starts + 7) >> 3)
+    upto = np.cumsum(blocks)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    done = 0
+    while done < len(starts):
+        before = upto[done - 1] if done else 0
+        end = max(done + 1, int(np.searchsorted(upto, before + CHUNK, side="right")))
+        own = blocks[done:end]
+        first = upto[done:end] - own - before
+        unit = np.repeat(np.arange(end - done), own)
+        number = np.arange(len(unit)) - first[unit]
+        at = starts[done:end][unit] + 8 * number
+        block = eights[at] & KEPT_BYTES[np.minimum(ends[done:end][unit] - at, 8)]
+        block ^= mixed((number.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE) ^ SEEDS[seed])
+        out[done:end] = np.add.reduceat(mixed(block), first)
+        done = end
+    return mixed(out + (ends - starts).astype(np.uint64) * SEEDS[seed])
 
 
 def window_hashes(units: np.ndarray, length: int, base: int) -> np.ndarray:

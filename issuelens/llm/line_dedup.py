@@ -59,6 +59,7 @@ class Lines:
         visible = np.concatenate([[0], np.cumsum(~bytetext.SEPARATORS[data])])
         blank = visible[self.ends] == visible[self.starts]
         self.hashes = bytetext.word_hashes(data, self.starts, self.ends)
+        self.checks = lambda: bytetext.word_hashes(data, self.starts, self.ends, seed=1)
         ids = rows.column(rows.schema.get_field_index("doc_id"))
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()[self.text]
@@ -97,9 +98,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     return slots.by_slot(slot[own], {"key": entry["key"][own]})
 
 
-def _run_keys(hashes: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    return (bytetext.window_hashes(hashes, run, BASES[0]),
-            (bytetext.window_hashes(hashes, run, BASES[1]) >> np.uint64(32)).astype("<u4"))
+def _run_keys(own: Lines, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and check of every run, from independent hashes of its lines."""
+    return (bytetext.window_hashes(own.hashes, run, BASES[0]),
+            (bytetext.window_hashes(own.checks(), run, BASES[1]) >> np.uint64(32)).astype("<u4"))
 
 
 def _extended(slot: int, documents: pa.Table, answers: pa.Table, run: int, buckets: int, copies: bool) -> pa.Table:
@@ -110,7 +112,7 @@ def _extended(slot: int, documents: pa.Table, answers: pa.Table, run: int, bucke
         alive = np.zeros(len(own.hashes), bool)
         alive[known.find(own.hashes)[0]] = True
         at = own.windows[alive[own.fingerprint[own.windows]]]
-        key, check = _run_keys(own.hashes, run)
+        key, check = _run_keys(own, run)
         parts.append((key[at], check[at], own.ids[at], own.line[at].astype("<i4")))
     key, check, ids, line = (np.concatenate([p[i] for p in parts]) for i in range(4))
     order = np.lexsort((line, ids, check, key))
@@ -149,7 +151,7 @@ def _cut(documents: pa.Table, answers: pa.Table, run: int, names: list[str], car
         n = len(own.starts)
         gone = np.zeros(n + 1, np.int32)
         if len(own.windows) and len(known["key"]):
-            key, check = _run_keys(own.hashes, run)
+            key, check = _run_keys(own, run)
             at, place = slots.lookup(key[own.windows], check[own.windows], known["key"], known["check"])
             at = own.windows[at]
             doc, line = known["doc"][place], known["line"][place]

@@ -52,9 +52,10 @@ def _places(hashes: np.ndarray, length: int, steps: list[int]) -> list[np.ndarra
     return out
 
 
-def _keys(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return (bytetext.window_hashes(hashes, size, BASES[0]),
-            (bytetext.window_hashes(hashes, size, BASES[1]) >> np.uint64(32)).astype("<u4"))
+def _checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """32 bits more of every window, from hashes of its words that are independent of the keys'."""
+    hashes = bytetext.word_hashes(data, starts, ends, seed=1)
+    return (bytetext.window_hashes(hashes, size, BASES[1]) >> np.uint64(32)).astype("<u4")
 
 
 def _windows(documents: pa.Table, length: int):
@@ -78,7 +79,7 @@ def _asked(slot: int, documents: pa.Table, answers: pa.Table | None, length: int
     last = level == len(steps) - 1
     if answers is not None:
         survivors = slots.Members(slots.gathered(answers, ANSWERED_BEFORE)[1]["key"])
-    for *_, hashes, windows, ids in _windows(documents, length):
+    for _, data, starts, ends, _, hashes, windows, ids in _windows(documents, length):
         if not len(windows):
             continue
         places = _places(hashes, length, steps[:level + 1])
@@ -88,8 +89,9 @@ def _asked(slot: int, documents: pa.Table, answers: pa.Table | None, length: int
             alive[survivors.find(before)[0]] = True
             windows = windows[alive[places[level - 1][windows]]]
         at = np.unique(places[level][windows])
-        key, check = _keys(hashes, steps[level])
-        parts.append((key[at], check[at] if last else np.zeros(len(at), "<u4"), ids[at]))
+        key = bytetext.window_hashes(hashes, steps[level], BASES[0])
+        check = _checks(data, starts, ends, steps[level])[at] if last else np.zeros(len(at), "<u4")
+        parts.append((key[at], check, ids[at]))
     key, check, ids = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)
                        for i, kind in enumerate(("<u8", "<u4", "<i8")))
     order, starts = slots.grouped(key, check) if last else slots.grouped(key)
@@ -146,7 +148,8 @@ def _removed(documents: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     for rows, data, starts, ends, first, hashes, windows, ids in _windows(documents, length):
         gone = np.zeros(len(hashes) + 1, np.int32)
         if len(windows) and len(known["key"]):
-            key, check = _keys(hashes, length)
+            key = bytetext.window_hashes(hashes, length, BASES[0])
+            check = _checks(data, starts, ends, length)
             at, place = slots.lookup(key[windows], check[windows], known["key"], known["check"])
             at = windows[at]
             at = at[ids[at] > known["first"][place]]
