@@ -4,11 +4,14 @@ Every document is a set of word shingles and a signature of minwise tokens. A
 tree deals the documents by the token at one signature position; a node with
 few documents is compared exhaustively, a larger one branches into several
 other positions, picked by the node's own path, and so on down to ``DEPTH``
-tokens, unless most of it agrees already, as copies of one text do. Independent trees are repeated until a pair at the threshold is missed
-by all of them with a chance below ``1 - RECALL``. What meets in a node and
-agrees in enough tokens forms clusters; inside a cluster links are confirmed on
-the full sets, and every pair of documents that is not already connected is
-compared. Groups are the connected components of the confirmed links.
+tokens, unless many of it agree already, as copies of one text do. Trees are
+repeated until a pair at the threshold would be missed by all of them with a
+chance below ``1 - RECALL``, were they independent; as they share their
+signature positions, it is some 2 in 100,000 where nodes are large all the way
+down. What meets in a node and agrees in enough tokens forms clusters; inside a
+cluster links are confirmed on the full sets, and every pair of documents that
+is not already connected is compared. Groups are the connected components of
+the confirmed links.
 
 Equal sets are one class, represented by its least id, before anything else. A
 cluster larger than ``CHUNK`` is dealt into chunks that share some leaders;
@@ -32,7 +35,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,8 +49,9 @@ POSITIONS, BRANCHES, DEPTH = 48, 2, 4
 RECALL = 0.999999
 #: Documents of a node that are compared exhaustively, and of a chunk of a cluster.
 SMALL, CHUNK, LEADERS = 48, 256, 16
-#: Share of a large node that has to agree with its least document for it to be one cluster.
-COHERENT = 0.9
+#: Share of a large node that has to agree with one of its documents for it to be one cluster, documents that
+#: stand for the node, and those of them that the others are held against.
+COHERENT, JUDGED, STANDARDS = 0.25, 64, 4
 #: Bytes of shingle sets in a verification task.
 SET_BYTES = 16 << 20
 WORDS_BASE = 0xD6E8FEB86659FD93
@@ -178,21 +182,27 @@ def _compared_nodes(table: pa.Table, enough: int) -> pa.Table:
     return _edges(np.concatenate(a), np.concatenate(b))
 
 
-def _judged(large: DataFrame, enough: int, last: bool) -> DataFrame:
-    """Large nodes with ``whole``: whether all of a node becomes one cluster.
+def _whole_paths(large: DataFrame, enough: int) -> DataFrame:
+    """The large nodes of which all documents become one cluster.
 
-    That holds where most of its documents agree with its least one, as in a
-    group of copies, which no further token would split; and for what is still
-    large at the end of the paths. A cluster may be too large but never too
+    That holds where many of its documents agree with one of them, as in a
+    family of copies, which further tokens would deal out ever wider and then
+    join again; and for what is still large at the end of the paths. Documents
+    that only share a passage agree with hardly any other. Up to ``JUDGED``
+    documents of a node stand for all. A cluster may be too large but never too
     small, since its links are confirmed on the full sets.
     """
-    if last:
-        return large.withColumn("whole", F.lit(True))
-    least = large.where("doc_id = least").select("path", F.col("tokens").alias("first")).dropDuplicates(["path"])
-    alike = F.size(F.filter(F.zip_with("tokens", "first", lambda a, b: a == b), lambda same: same)) >= enough
-    share = large.join(least, "path").groupBy("path").agg(
-        (F.avg(alike.cast("int")) >= COHERENT).alias("whole"))
-    return staged(large.join(share, "path"), "judged")
+    place = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
+    some = large.select("path", "doc_id", "tokens").withColumn("place", place).where(F.col("place") <= JUDGED)
+    some = some.groupBy("path").agg(F.collect_list("tokens").alias("some"))
+
+    def share(first: Column) -> Column:
+        def alike(tokens: Column) -> Column:
+            return F.size(F.filter(F.zip_with(tokens, first, lambda a, b: a == b), lambda same: same)) >= enough
+        return F.size(F.filter("some", alike)) / F.size("some")
+
+    best = F.array_max(F.transform(F.slice("some", 1, STANDARDS), share))
+    return staged(some.where(best >= COHERENT).select("path"), "whole")
 
 
 def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
@@ -217,11 +227,14 @@ def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
         enough = agreement(similarity)
         found = small.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).groupBy(
             "bucket").applyInArrow(lambda t: _compared_nodes(t, enough), "a long, b long")
-        large = _judged(members.where(F.col("size") > SMALL), enough, level == DEPTH - 1)
-        found = found.union(large.where("whole AND doc_id <> least").select("doc_id", "least"))
+        large = members.where(F.col("size") > SMALL)
+        whole = large
+        if level < DEPTH - 1:
+            paths = _whole_paths(large, enough)
+            whole, large = large.join(paths, "path", "left_semi"), large.join(paths, "path", "left_anti")
+        found = found.union(whole.where("doc_id <> least").select("doc_id", "least"))
         found = staged(found.distinct(), "pairs")
         edges = found if edges is None else edges.union(found)
-        large = large.where("NOT whole")
         if level < DEPTH - 1:
             branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
             # neighbouring picks differ, as positions are taken modulo their number
@@ -248,11 +261,12 @@ def _shipped(documents: pa.Table, wanted: pa.Table, shingle: int) -> pa.Table:
             hashes, first = shingle_sets(data, offsets, shingle)
             rows = part.column(1).to_numpy()
             left, right = (np.searchsorted(wanted_row, rows, side) for side in ("left", "right"))
-            for i in range(len(rows)):
-                places = order[left[i]:right[i]]
-                packed = hashes[first[i]:first[i + 1]].tobytes()
-                out.append(wanted.take(pa.array(places)).append_column(
-                    "hashes", pa.array([packed] * len(places), pa.binary())))
+            times = right - left
+            places = order[np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            sets = pa.Array.from_buffers(pa.binary(), len(rows), [
+                None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(hashes)])
+            out.append(wanted.take(pa.array(places)).append_column(
+                "hashes", sets.take(pa.array(np.repeat(np.arange(len(rows)), times)))))
     return pa.concat_tables(out) if out else wanted.slice(0, 0).append_column("hashes", pa.array([], pa.binary()))
 
 
