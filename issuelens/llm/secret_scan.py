@@ -8,7 +8,12 @@ the values that the patterns find, those labelled ordinary are the other long
 words of the same documents. Everything is a column expression: no Python runs
 on the executors.
 
-Spans count code points, end exclusive. A null text counts as empty and has no
+What stays out: a random string of fewer than 20 key characters that no pattern
+finds, and one that ordinary text joined to it by ``/``, ``=``, ``-`` or ``_``
+averages down, since a run is scored as a whole.
+
+Spans count code points, end exclusive. The work is linear in a text and, but
+for a logarithm, in its spans. A null text counts as empty and has no
 spans; rows with equal or null ids are scanned each on their own; an empty
 table gives none, and models without samples are uniform. Working columns are
 named so that they cannot clash with a table's own.
@@ -17,11 +22,13 @@ named so that they cannot clash with a table's own.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from issuelens.llm.reply_chat import under
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -36,29 +43,75 @@ ORDINARY = "[A-Za-z0-9+/_=-]{8,}"
 TOTAL, PER_STEP = 12.0, 0.35
 #: Documents (expected number) whose strings train the models.
 TRAINED_ON = 20_000
+#: Parts of the hash space that a share is taken of; fine enough for any number of texts.
+PARTS = 1 << 50
+#: Values that are combined one by one; more are combined by blocks.
 BLOCK = 128
 MASK = "[SECRET]"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, however often the body's lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of some integers above 0, ``combine`` of all before it; 0 where there are none.
+
+    Blocks are combined first, so that many values cost a multiple of their
+    number and not its square.
+    """
+    def over(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), combine)
+
+    def placed(bound: Column) -> Column:
+        last = F.size(bound) - 1
+        whole = F.transform(F.sequence(F.lit(0), last, F.lit(BLOCK)), lambda b: over(F.slice(bound, b + 1, F.lit(BLOCK))))
+        upto = F.aggregate(whole, F.array(F.lit(0)),
+                           lambda out, x: F.concat(out, F.array(combine(F.element_at(out, -1), x))))
+        return _let(upto, lambda blocks: F.transform(F.sequence(F.lit(0), last), lambda i: combine(
+            F.get(blocks, (i / BLOCK).cast("int")),
+            over(F.slice(bound, (i - i % BLOCK + 1).cast("int"), (i % BLOCK).cast("int"))))))
+
+    return F.when(F.size(values) > 0, _let(values, placed)).otherwise(F.array().cast("array<int>"))
+
+
 def _starts(pieces: Column, matches: Column) -> Column:
-    """Start of each match, from the pieces between and the matches themselves.
+    """Start of each match, from the pieces between and the matches themselves."""
+    gaps = F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length)
+    lengths = F.zip_with(gaps, matches, lambda gap, m: gap + F.length(m))
+    return F.zip_with(_before(lengths, lambda a, b: a + b), gaps, lambda before, gap: before + gap)
+
+
+def _furthest(spans: Column) -> Column:
+    """The furthest end before each span of a list by start."""
+    return _before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
 
-    Lengths are summed in blocks, so that a text with very many matches costs
-    a multiple of their number and not its square.
+def _outside(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that meet none of ``base``, both by start: by binary search in the base.
+
+    A span meets one exactly if the furthest end of those that start before it
+    ends lies behind its start.
     """
-    lengths = F.transform(F.arrays_zip(pieces.alias("p"), matches.alias("m")),
-                          lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
-    last = F.size(matches) - 1
-    sums = F.transform(F.sequence(F.lit(0), last, F.lit(BLOCK)),
-                       lambda b: total(F.slice(lengths, b + 1, F.lit(BLOCK))))
-    before = F.aggregate(sums, F.array(F.lit(0)),
-                         lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x)))
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: (F.get(before, (i / BLOCK).cast("int"))
-                   + total(F.slice(lengths, (i - i % BLOCK + 1).cast("int"), (i % BLOCK).cast("int")))
-                   + F.length(F.get(pieces, i))))
+    def free(bound: Column) -> Column:
+        def meets(x: Column) -> Column:
+            # the number of base spans that start before x ends
+            def halved(at: Column, _: Column) -> Column:
+                middle = ((at["low"] + at["high"]) / 2).cast("int")
+                right = (at["low"] < at["high"]) & (F.get(bound["base"], middle)["start"] < x["end"])
+                return F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"),
+                                F.when(right, at["high"]).otherwise(middle).alias("high"))
+
+            ends = F.struct(F.lit(0).alias("low"), F.size(bound["base"]).alias("high"))
+            found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), ends, halved, lambda at: at["low"])
+            return F.get(bound["ends"], found) > x["start"]
+
+        return F.filter(bound["spans"], lambda x: ~meets(x))
+
+    ends = F.concat(_furthest(base), F.array(F.coalesce(F.array_max(F.transform(base, lambda s: s["end"])), F.lit(0))))
+    searched = _let(F.struct(spans.alias("spans"), base.alias("base"), ends.alias("ends")), free)
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(searched)
 
 
 def _spans(df: DataFrame, pattern: str, kind: int, out: str, keep) -> DataFrame:
@@ -91,13 +144,13 @@ def sample(docs: DataFrame, text_col: str, size: int = TRAINED_ON) -> DataFrame:
     """About ``size`` texts at most, picked by a hash of the text; a repeated text counts once."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     share = min(1.0, size / max(1, docs.count()))
-    return texts.where(F.pmod(F.xxhash64("__text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+    return texts.where(F.pmod(F.xxhash64("__text"), F.lit(PARTS)) < int(share * PARTS)).distinct()
 
 
 def step_counts(docs: DataFrame, text_col: str = "text", size: int = TRAINED_ON) -> DataFrame:
     """(random, steps, n): how often each pair of neighbouring characters occurs in the samples."""
     labelled = base_spans(sample(docs, text_col, size).withColumnRenamed("__text", "__sample"), "__sample")
-    secret = F.transform("__base", lambda s: F.substring(F.col("__text"), s["start"] + 1, s["end"] - s["start"]))
+    secret = under(F.col("__text"), F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     value = F.transform(secret, lambda m: F.coalesce(
         F.nullif(F.regexp_extract(m, ASSIGN, 2), F.lit("")), m))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(
@@ -164,8 +217,7 @@ def scan(docs: DataFrame, text_col: str = "text", ratios: list[float] | None = N
         return score >= F.greatest(F.lit(TOTAL), PER_STEP * (F.length(m) - 1))
 
     found = _spans(base_spans(docs, text_col), CANDIDATE, 3, "__markov", likely)
-    free = F.filter("__markov", lambda x: ~F.exists(
-        "__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = _outside(F.col("__markov"), F.col("__base"))
     return found.withColumn(out_col, F.array_sort(F.concat("__base", free))).drop(
         "__text", "__base", "__markov")
 
@@ -174,16 +226,12 @@ def mask(docs: DataFrame, text_col: str = "text", ratios: list[float] | None = N
     """``docs`` with every span, or run of overlapping spans, replaced by MASK."""
     found = scan(docs, text_col, ratios, "__spans")
     text = F.col(text_col)
-    spans = F.transform("__spans", lambda s, i: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        F.coalesce(F.array_max(F.transform(F.slice("__spans", F.lit(1), i), lambda x: x["end"])),
-                   F.lit(0)).alias("done")))
-    parts = F.transform(spans, lambda s: F.when(
-        s["start"] >= s["done"],
-        F.concat(F.substring(text, s["done"] + 1, s["start"] - s["done"]), F.lit(MASK)))
-        .otherwise(F.lit("")))
-    last = F.array_max(F.transform("__spans", lambda s: s["end"]))
-    masked = F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
+    # text between runs of overlapping spans, and after the last
+    each = F.zip_with("__spans", _furthest(F.col("__spans")), lambda s, done: F.struct(
+        done.alias("start"), s["start"].alias("end")))
+    last = F.struct(F.array_max(F.transform("__spans", lambda s: s["end"])).alias("start"), F.length(text).alias("end"))
+    between = F.concat(F.filter(each, lambda s: s["end"] >= s["start"]), F.array(last))
+    masked = F.array_join(under(text, between), MASK)
     return found.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(text)).drop("__spans")
 
 

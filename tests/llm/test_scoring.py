@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import secrets as tokens
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from cases import SCHEMA, corpus, rows
 
 import corpus_pipeline
@@ -55,13 +59,43 @@ def test_random_strings_are_told_from_identifiers(spark):
     frame = spark.createDataFrame(rows(docs), SCHEMA)
     ratios = secret_scan.train(frame)
     assert len(ratios) == len(secret_scan.ALPHABET) ** 2
-    random = [tokens.token_urlsafe(30) for _ in range(40)]
-    test = spark.createDataFrame(rows([f"see {s} there" for s in random] + ordinary), SCHEMA)
+    strings = [tokens.token_urlsafe(30) for _ in range(40)]
+    test = spark.createDataFrame(rows([f"see {s} there" for s in strings] + ordinary), SCHEMA)
     found = {r.doc_id: [s for s in r.spans if s.kind == 3] for r in secret_scan.scan(test, ratios=ratios).collect()}
     assert sum(bool(found[i]) for i in range(40)) >= 36
     assert not any(found[i] for i in range(40, len(found)))
 
 
+def test_a_page_of_keys_takes_seconds(spark):
+    many = " ".join(f"token=abc{i:06d}" for i in range(50_000))
+    keys = " ".join("k" + tokens.token_hex(15).upper() + "q" for _ in range(2000))
+    docs = spark.createDataFrame(rows([many, keys + " " + many[:4000] + " " + keys]), SCHEMA)
+    ratios = [1.0] * len(secret_scan.ALPHABET) ** 2
+    began = time.time()
+    first, second = secret_scan.scan(docs, ratios=ratios).orderBy("doc_id").collect()
+    assert len(first.spans) == 50_000 and [(s.start, s.end) for s in first.spans[::9999]] == [
+        (16 * i, 16 * i + 15) for i in range(0, 50_000, 9999)]
+    assert sum(s.kind == 3 for s in second.spans) == 4000
+    masked = secret_scan.mask(docs, ratios=ratios).orderBy("doc_id").first().text
+    assert masked == " ".join([secret_scan.MASK] * 50_000)
+    assert time.time() - began < 60
+
+
+def test_free_spans_meet_no_pattern(spark):
+    draw = random.Random(1)
+    cases = []
+    for _ in range(60):
+        spans = sorted((s := draw.randrange(300), k, s + draw.randrange(1, 60)) for k in (0, 1, 2) for _ in range(draw.randrange(4)))
+        cases.append((spans, sorted((s := draw.randrange(300), 3, s + draw.randrange(1, 30)) for _ in range(draw.randrange(9)))))
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    frame = spark.createDataFrame(cases, f"base {kind}, spans {kind}")
+    got = frame.select("base", "spans", secret_scan._outside(F.col("spans"), F.col("base")).alias("free"),
+                       secret_scan._furthest(F.col("base")).alias("before")).collect()
+    for r in got:
+        assert r.free == [x for x in r.spans if not any(b.start < x.end and x.start < b.end for b in r.base)]
+        assert r.before == [max([0, *(b.end for b in r.base[:i])]) for i in range(len(r.base))]
+
+
 def test_masks(spark):
     docs = spark.createDataFrame(rows(TEXTS), SCHEMA)
     ratios = [0.0] * len(secret_scan.ALPHABET) ** 2
@@ -80,6 +114,43 @@ def test_scans_of_nothing(spark):
     assert secret_scan.span_digests(docs).count() == 0
 
 
+def machine(width, factors, seed=3):
+    draw = np.random.default_rng(seed)
+    return quality.Machine(0.3, draw.normal(size=width), draw.normal(size=(width, factors)))
+
+
+def test_the_score_equals_all_pairs():
+    model, x = machine(9, 4), np.random.default_rng(1).normal(size=(6, 9))
+    for row, logit in zip(x, model.logits(x)):
+        pairs = sum(row[i] * row[j] * float(model.factors[i] @ model.factors[j]) for i in range(9) for j in range(i))
+        assert np.isclose(logit, model.bias + row @ model.linear + pairs)
+
+
+def test_gradients_equal_differences():
+    model, draw = machine(7, 3), np.random.default_rng(2)
+    x, labels = draw.normal(size=(5, 7)), np.array([0, 1, 1, 0, 1.0])
+
+    def loss():
+        p = model.scores(x)
+        own = -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean()
+        return own + quality.DECAY / 2 * ((model.linear**2).sum() + (model.factors**2).sum())
+
+    bias, linear, factors = quality.gradients(model, x, labels)
+    for weights, slopes in ((model.linear, linear), (model.factors, factors)):
+        for at in np.ndindex(weights.shape):
+            before, values = weights[at], []
+            for change in (1e-5, -1e-5):
+                weights[at] = before + change
+                values.append(loss())
+            weights[at] = before
+            assert np.isclose(slopes[at], (values[0] - values[1]) / 2e-5, atol=1e-6)
+    before = model.bias
+    model.bias = before + 1e-5
+    up = loss()
+    model.bias = before - 1e-5
+    assert np.isclose(bias, (up - loss()) / 2e-5, atol=1e-6)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
