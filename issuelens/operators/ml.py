@@ -90,56 +90,95 @@ def with_features(df: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
 @dataclass(frozen=True)
 class Labels:
-    """A written label table (``field, value, code``), one folder per field.
+    """A written label table (``field, value, code, version``), one folder per field.
 
-    Reading one field's folder lets the optimizer see that field's true size,
-    so short tables are broadcast and long ones shuffled.
+    It only ever grows: a later version adds values with the next codes, and
+    what an earlier version says of a value stays. ``version`` is the last one
+    that is looked at, all of them by default. Reading one field's folder lets
+    the optimizer see that field's true size, so short tables are broadcast and
+    long ones shuffled.
     """
 
     spark: SparkSession
     path: str
+    version: int | None = None
+
+    def _seen(self, rows: DataFrame) -> DataFrame:
+        return rows if self.version is None else rows.where(F.col("version") <= self.version)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema("value string, code bigint, field string").parquet(self.path)
+        columns = "value string, code bigint, field string, version int"
+        return self._seen(self.spark.read.schema(columns).parquet(self.path))
 
     def codes(self, name: str) -> DataFrame:
-        columns = "value string, code bigint"
-        return read_or_empty(self.spark, f"{self.path}/field={name}", columns)
+        columns = "value string, code bigint, version int"
+        return self._seen(read_or_empty(self.spark, f"{self.path}/field={name}", columns)).select("value", "code")
 
     def save(self, path: str) -> Labels:
-        self.table().write.mode("overwrite").partitionBy("field").parquet(path)
-        return Labels(self.spark, path)
-
+        self.table().write.mode("overwrite").partitionBy("field", "version").parquet(path)
+        return Labels(self.spark, path, self.version)
 
-def fit_labels(df: DataFrame, columns: Sequence[str] = ENCODED) -> Labels:
-    """Label table in which codes rank the sorted distinct values of a column.
 
-    Ranking is distributed: distinct values are range-partitioned and sorted,
-    ranked inside their partition, and shifted by the number of values in the
-    partitions before it. The partitioning is checkpointed first, so a lost
-    executor cannot re-cut the ranges between counting and ranking.
-    """
-    spark = df.sparkSession
-    checkpoint_root(spark)
+def _field_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The different values per field, a missing one among them."""
     pairs = F.array(*[
         F.struct(F.lit(c).alias("field"),
                  F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)).alias("value"))
         for c in columns
     ])
-    distinct = df.select(F.inline(pairs)).distinct()
-    placed = (distinct.repartitionByRange("field", "value")
+    return df.select(F.inline(pairs)).distinct()
+
+
+def _ranked_values(values: DataFrame) -> DataFrame:
+    """(value, code, field): the rank of a value among the sorted ones of its field, from 0.
+
+    Ranking is distributed: values are range-partitioned and sorted, ranked
+    inside their partition, and shifted by the number of values in the
+    partitions before it. The partitioning is checkpointed first, so a lost
+    executor cannot re-cut the ranges between counting and ranking.
+    """
+    checkpoint_root(values.sparkSession)
+    placed = (values.repartitionByRange("field", "value")
               .withColumn("part", F.spark_partition_id()).checkpoint())
     before = Window.partitionBy("field").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1)
     shifts = placed.groupBy("field", "part").agg(F.count(F.lit(1)).alias("n")).select(
         "field", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("field", "part").orderBy("value")
-    ranked = (placed.withColumn("rank", F.row_number().over(within))
-              .join(shifts, ["field", "part"])
-              .select("value", (F.col("shift") + F.col("rank") - 1).alias("code"), "field"))
-    path = scratch_path(spark, "labels")
-    ranked.write.partitionBy("field").parquet(path)
-    return Labels(spark, path)
+    return (placed.withColumn("rank", F.row_number().over(within))
+            .join(shifts, ["field", "part"])
+            .select("value", (F.col("shift") + F.col("rank") - 1).alias("code"), "field"))
+
+
+def fit_labels(df: DataFrame, columns: Sequence[str] = ENCODED) -> Labels:
+    """Label table in which codes rank the sorted distinct values of a column."""
+    path = scratch_path(df.sparkSession, "labels")
+    (_ranked_values(_field_values(df, columns)).withColumn("version", F.lit(0))
+     .write.partitionBy("field", "version").parquet(path))
+    return Labels(df.sparkSession, path)
+
+
+def extend_labels(labels: Labels, df: DataFrame, columns: Sequence[str] = ENCODED) -> Labels:
+    """The label table with the values of ``df`` that it lacks, as its next version.
+
+    New values rank among themselves behind all old ones, whose codes stay, so
+    a model that was fitted on an earlier version scores old and new rows alike.
+    Without new values nothing is written.
+    """
+    known = labels.table()
+    last = known.agg(F.max("version")).first()[0]
+    lacking = _field_values(df, columns).join(known.select("field", "value"), ["field", "value"], "left_anti")
+    sizes = known.groupBy("field").agg((F.max("code") + 1).alias("size"))
+    added = _ranked_values(lacking).join(sizes, "field", "left").select(
+        "value", (F.col("code") + F.coalesce("size", F.lit(0))).alias("code"), "field")
+    added = staged(added, "new-labels")
+    if added.isEmpty():
+        return labels
+    version = 0 if last is None else last + 1
+    # a version that was broken off is written anew, and no other is touched
+    (added.withColumn("version", F.lit(version)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("field", "version").parquet(labels.path))
+    return Labels(labels.spark, labels.path, version)
 
 
 def encode(df: DataFrame, labels: Labels, columns: Sequence[str] = ENCODED) -> DataFrame:

@@ -841,6 +841,15 @@ SELECT key, dense_rank() OVER (ORDER BY reporter) - 1 AS reporter_encoded,
   dense_rank() OVER (ORDER BY assignee) - 1 AS assignee_encoded,
   dense_rank() OVER (ORDER BY project) - 1 AS project_encoded,
   dense_rank() OVER (ORDER BY severity) - 1 AS severity_encoded FROM issue""",
+    "label_extend": f"""{STAR},
+ages AS (SELECT *, release_name IN ('REL-95', 'REL-96') AS older FROM issue),
+{", ".join(f"""{c}_codes AS (
+  SELECT {c}, row_number() OVER (ORDER BY NOT bool_or(older), {c}) - 1 AS code FROM ages GROUP BY 1)"""
+           for c in ("reporter", "assignee", "project", "severity"))}
+SELECT key, r.code AS reporter_encoded, a.code AS assignee_encoded, p.code AS project_encoded,
+  s.code AS severity_encoded
+FROM issue i JOIN reporter_codes r ON r.reporter = i.reporter JOIN assignee_codes a ON a.assignee = i.assignee
+JOIN project_codes p ON p.project = i.project JOIN severity_codes s ON s.severity = i.severity""",
     "enrichment_scores": """
 WITH assessed AS (
   SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 0.5::DOUBLE WHEN toxic = 1 THEN 1.0::DOUBLE

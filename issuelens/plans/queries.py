@@ -947,6 +947,15 @@ def label_encode(spark, sf_dir):
         "key", *[f"{c}_encoded" for c in ml.ENCODED])
 
 
+@query
+def label_extend(spark, sf_dir):
+    """Codes of a table fitted on the older releases and extended by the others."""
+    rows = defects(spark, sf_dir, ["key", "release_name", *ml.ENCODED])
+    older = rows.where(F.col("release_name").isin(["REL-95", "REL-96"]))
+    labels = ml.extend_labels(ml.fit_labels(older), rows)
+    return ml.encode(rows, labels).select("key", *[f"{c}_encoded" for c in ml.ENCODED])
+
+
 def _enrichment(spark, sf_dir):
     """Assessments for the labelled documents, keyed like the write-ups."""
     doc = F.col("doc_id")

@@ -83,6 +83,42 @@ def test_unseen_values_do_not_move_known_codes(spark, issues):
     assert ml.encode(new, labels, ["project"]).first()["project_encoded"] == 0
 
 
+def test_codes_never_move(spark, tmp_path):
+    columns = "reporter string, severity string"
+    first = spark.createDataFrame([("mo", "S2"), ("bo", "S1"), (None, "S1")], columns)
+    second = spark.createDataFrame([("al", "S1"), ("mo", "S3"), ("zo", None), ("al", "S1")], columns)
+    labels = ml.fit_labels(first, ["reporter", "severity"])
+    old = {(r.field, r.value): r.code for r in labels.table().collect()}
+    grown = ml.extend_labels(labels, second, ["reporter", "severity"])
+    new = {(r.field, r.value): r.code for r in grown.table().collect()}
+    assert old.items() <= new.items() and grown.version == 1
+    assert {k: v for k, v in new.items() if k not in old} == {
+        ("reporter", "al"): 3, ("reporter", "zo"): 4, ("severity", "S3"): 2, ("severity", "unknown"): 3}
+    assert ml.extend_labels(grown, second, ["reporter", "severity"]) == grown
+    before = ml.Labels(spark, labels.path, 0)
+    assert {(r.field, r.value): r.code for r in before.table().collect()} == old
+    assert ml.encode(second, before, ["reporter"]).where("reporter = 'al'").first()["reporter_encoded"] == 3
+    saved = grown.save(str(tmp_path / "labels"))
+    assert {(r.field, r.value): r.code for r in saved.table().collect()} == new
+    third = ml.extend_labels(grown, spark.createDataFrame([("aa", "S9")], columns), ["reporter", "severity"])
+    assert {r.value: r.code for r in third.codes("reporter").collect()}["aa"] == 5 and third.version == 2
+    # a version that is written again replaces itself alone
+    again = ml.extend_labels(ml.Labels(spark, labels.path, 1), spark.createDataFrame([("aa", "S9")], columns),
+                             ["reporter", "severity"])
+    assert again.table().count() == third.table().count() == len(new) + 2
+
+
+def test_a_saved_model_scores_new_values_alike(spark, issues, cfg, tmp_path):
+    rows, labels = ml.prepare(issues, cfg)
+    models = ml.train(rows, labels, trees=5)
+    before = {r.key: r.overall_risk_score for r in ml.predict(rows, models).collect()}
+    fresh = issues.limit(3).withColumns({"key": F.concat(F.lit("new-"), "key"), "reporter": F.lit("aaa"), "assignee": F.lit("aab")})
+    grown = ml.extend_labels(labels, fresh)
+    both, _ = ml.prepare(issues.unionByName(fresh), cfg, labels=grown)
+    after = {r.key: r.overall_risk_score for r in ml.predict(both, models).collect()}
+    assert len(after) == len(before) + 3 and all(after[k] == v for k, v in before.items())
+
+
 def test_a_field_without_labels_encodes_as_unseen(spark, issues):
     labels = ml.fit_labels(issues.limit(0), ["reporter"])
     assert ml.encode(issues, labels, ["reporter"]).first()["reporter_encoded"] == 0

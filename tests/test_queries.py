@@ -27,6 +27,19 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_only_a_removed_part_is_left_out():
+    def lacking(name):
+        def load():
+            raise ModuleNotFoundError(name=name)
+        return load
+
+    for removed in entry_point.OPTIONAL:
+        assert entry_point._optional(lacking(removed)) == ({}, {})
+    for broken in ("issuelens.llm.inner", "issuelens.operators", "numpy"):
+        with pytest.raises(ModuleNotFoundError):
+            entry_point._optional(lacking(broken))
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 

@@ -87,3 +87,16 @@ def test_null_state_counts_as_unfinished(spark):
                                  ("A", datetime(2026, 1, 3), 3, "Done"),
                                  ("A", datetime(2026, 1, 9), 4, None)], LOG)
     assert reopens.log_reopens(log, RESOLVED).first()["reopen_count"] == 2
+
+
+def test_ranges_grow_with_the_log(spark, monkeypatch):
+    rows = make_log(300, 6, seed=2)
+    log = spark.createDataFrame(rows, LOG)
+    monkeypatch.setattr(reopens, "RANGE_ROWS", 20)
+    assert reopens._ranges(log) == len(rows) // 20 + 1 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = {r["key"]: r["reopen_count"] for r in reopens.log_reopens(log, RESOLVED).collect()}
+    assert counts == brute_force(rows)[0]
+    pairs = reopens.transition_pairs(log)
+    pages = reopens.nested_changelog(pairs, 4)
+    nested = {r["key"]: r["reopen_count"] for r in reopens.nested_reopens(pages, RESOLVED).collect()}
+    assert nested == counts
