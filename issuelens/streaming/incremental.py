@@ -1,6 +1,6 @@
 """Counts that a stream keeps up to date, at the cost of what has changed.
 
-State is held per identity in RocksDB and kept for good: there is no watermark,
+State is held in RocksDB and kept for good: there is no watermark,
 so rows may land in any order, again, or years late. What a landing changes is
 filed per batch, and a batch that is run again replaces what it had filed, so a
 query that is stopped anywhere goes on from its checkpoint without counting
@@ -10,7 +10,9 @@ twice.
   once, and the totals are read from the state itself.
 * Daily counts need retraction: an issue whose newest version has another day
   leaves the old day and enters the new one. A landing files the differences
-  per release and day, and a total is their sum.
+  per release and day, and a total is their sum. Issues share a row of state
+  by slots, so a landing of n rows reads n slots at most, and writes those with
+  a newer version.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from issuelens.session import ROCKSDB, read_or_empty, settings
 BATCH = "batch"
 TRANSITION_KEY = ("key", "ts", "seq")
 ISSUE_KEY = ("key", "release_name")
+#: Issues are dealt by hash into so many slots, since a call into Python and a row of state cost more than
+#: the issue in it. The number holds for the life of a checkpoint.
+SLOTS = 1 << 15
 #: Stand for an absent day and an absent version; no date or time is as early.
 NO_DAY, NO_VERSION = -(2**31), -(2**63)
 CHANGES = "release_name string, day date, n bigint"
@@ -81,23 +86,34 @@ def reopen_changes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _day_moves():
-    """The day an issue leaves and the one it enters; nothing when an outdated version lands.
+    """The days that the issues of a slot leave and enter; nothing where an outdated version lands.
 
     The inner function goes to the executors by value, so this package need not
     be installed there.
     """
     def moved(key, frames, state):
+        import pickle
+        from collections import Counter
+
         import pandas as pd
 
-        newest = max(max(zip(f["version"].tolist(), f["day"].tolist())) for f in frames)
-        known = tuple(state.get) if state.exists else None
-        rows = []
-        if known is None or newest > known:
-            state.update(newest)
-            old = known[1] if known else NO_DAY
-            if newest[1] != old:
-                rows = [(key[1], day, n) for day, n in ((old, -1), (newest[1], 1)) if day != NO_DAY]
-        yield pd.DataFrame(rows, columns=["release_name", "day", "n"]).astype({"day": "int32", "n": "int64"})
+        known = pickle.loads(state.get[0]) if state.exists else {}
+        moves, changed = Counter(), False
+        for f in frames:
+            for name, release, *version in zip(*(f[c].tolist() for c in (*ISSUE_KEY, "version", "day"))):
+                newest, of_release = tuple(version), known.setdefault(release, {})
+                old = of_release.get(name)
+                if old is None or newest > old:
+                    of_release[name], changed = newest, True
+                    moves[release, newest[1]] += 1
+                    if old is not None:
+                        moves[release, old[1]] -= 1
+        if changed:
+            state.update((pickle.dumps(known, protocol=4),))
+        rows = [(release, day, n) for (release, day), n in moves.items() if n and day != NO_DAY]
+        if rows:
+            release, day, n = zip(*rows)
+            yield pd.DataFrame({"release_name": release, "day": pd.array(day, "int32"), "n": pd.array(n, "int64")})
 
     return moved
 
@@ -111,9 +127,10 @@ def follow_daily_counts(issues: DataFrame, path: str, checkpoint: str, version:
     """
     stamp = F.coalesce(micros(F.col(version), issues.schema[version].dataType), F.lit(NO_VERSION))
     day = F.coalesce(F.unix_date(F.col("created").cast("date")), F.lit(NO_DAY))
-    versions = issues.select(*ISSUE_KEY, stamp.alias("version"), day.alias("day"))
-    moved = versions.groupBy(*ISSUE_KEY).applyInPandasWithState(
-        _day_moves(), "release_name string, day int, n bigint", "version bigint, day int",
+    slot = F.pmod(F.xxhash64(*ISSUE_KEY), F.lit(SLOTS)).cast("int")
+    versions = issues.select(slot.alias("slot"), *ISSUE_KEY, stamp.alias("version"), day.alias("day"))
+    moved = versions.groupBy("slot").applyInPandasWithState(
+        _day_moves(), "release_name string, day int, n bigint", "newest binary",
         "update", GroupStateTimeout.NoTimeout)
 
     def folded(batch: DataFrame) -> DataFrame:

@@ -169,3 +169,18 @@ def test_custom_resolved_test(spark):
     rows = [("A", datetime(2026, 1, 1), 1, "Shipped"), ("A", datetime(2026, 1, 2), 2, "Open")]
     log = spark.createDataFrame(rows, LOG)
     assert reopens.log_reopens(log, finished(["shipped"])).first()["reopen_count"] == 1
+
+
+def test_issues_share_slots_of_state(spark, daily, monkeypatch):
+    monkeypatch.setattr(incremental, "SLOTS", 3)
+    draw, landed = Random(5), []
+    for _ in range(3):
+        rows = [(draw.choice([key, None, ""]) if draw.random() < 0.1 else key,
+                 None if draw.random() < 0.1 else release, *stamps) for key, release, *stamps in versions(draw)]
+        landed += rows
+        for read, written in daily.land(spark.createDataFrame(rows, VERSIONS)):
+            assert written <= 3
+        expected = trends.trendline(spark.createDataFrame(current(landed), VERSIONS)).collect()
+        assert incremental.daily_totals(spark, daily.changes).collect() == expected
+    again = spark.createDataFrame(landed, VERSIONS)
+    assert all(written == 0 for _, written in daily.land(again))
