@@ -352,7 +352,7 @@ def csv_roundtrip(spark, sf_dir):
     """Whole issues exported as CSV, lists joined, line breaks kept, and read back."""
     path = scratch_path(spark, "csv")
     rows = defects(spark, sf_dir, CSV_COLUMNS)
-    write_csv(rows, path)
+    write_csv(rows, path, "gzip")
     kinds = {name: kind if not kind.startswith("array") else "string" for name, kind in rows.dtypes}
     # An empty text and a missing one are written alike; both columns are never missing here.
     return (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)

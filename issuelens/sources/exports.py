@@ -18,7 +18,7 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select([cell(n, k) for n, k in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """One folder of CSV parts with headers; quotes, blanks and line breaks survive."""
-    (flat(df).write.mode("overwrite").option("header", True).option("escape", '"')
+    (flat(df).write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
