@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,57 @@ def test_large_counts_stay_exact(spark):
     frame = spark.createDataFrame(rows, "c bigint, n bigint, v bigint")
     got = [r[0] for r in frame.select(divergence._share(F.col("c"), F.col("n"), F.col("v"))).collect()]
     assert got == [1 + 10**9 * (c + 1) // (n + v) for c, n, v in rows]
+
+
+def test_a_task_adds_up_a_source_before_its_words_are_vectors(spark):
+    docs = [(i, "up up down", "en", "web") for i in range(300)] + [(1, "up", "de", "web"), (2, "down", "en", "é")]
+    frame = spark.createDataFrame(docs, DOCS).coalesce(1)
+    rows = divergence.tokens(divergence._source(frame, "text", "lang", "source"), 1, 3).collect()
+    counted, words = Counter(), 0
+    for row in rows:
+        if row["kind"] == 0:
+            words += len(row["words"])
+            counted.update({(row["source"], word): 2**row["digit"] for word in row["words"]})
+    assert counted == {("web", "up\0en"): 600, ("web", "down\0en"): 300, ("web", "up\0de"): 1, ("é", "down\0en"): 1}
+    assert words == sum(n.bit_count() for n in counted.values())
+    assert [sorted(r["words"]) for r in sorted(rows, key=lambda r: r["digit"]) if r["kind"] == 1] == [
+        ["down\0en", "up\0de", "up\0en"], ["down\0en", "up\0en"], ["down\0en", "up\0en"]]
+
+
+def test_what_a_task_holds_stays_bounded_and_exact(monkeypatch):
+    draw = random.Random(10)
+    docs = [(" ".join(draw.choice(["a", "bé", "ccc"]) for _ in range(draw.randrange(9))), draw.choice(["x", "y"])) for _ in range(200)]
+    expected = Counter((s, t + "\0en") for text, s in docs for t in terms(text, LETTER))
+    for limit, value in (("HELD_ENTRIES", 4), ("HELD_BYTES", 20), ("HELD_WORDS", 2), ("ROW_WORDS", 1), ("HELD_WORDS", 1 << 20)):
+        with monkeypatch.context() as patched:
+            patched.setattr(divergence, limit, value)
+            got, held = Counter(), divergence._Held()
+            for k in range(0, len(docs), 7):
+                some = docs[k:k + 7]
+                batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    ["en"] * len(some), [s for _, s in some], [t for t, _ in some])], names=["lang", "source", "text"])
+                batches = []
+                for part in divergence._by_lang(batch):
+                    held.add(*part)
+                    if held.full():
+                        batches, held = list(held.rows(3, 3)), divergence._Held()
+                for row in (r for b in (*batches, *(held.rows(3, 3) if k + 7 >= len(docs) else ())) for r in b.to_pylist()):
+                    assert len(row["words"]) <= divergence.ROW_WORDS
+                    if row["kind"] == 0:
+                        got.update({(row["source"], word): 2**row["digit"] for word in row["words"]})
+            assert got == expected
+
+
+def test_models_join_small_shards_and_part_large_ones(spark):
+    words = {0: 3, 1: 3, 2: 30, 3: 2, 5: 4}
+    frame = spark.createDataFrame([(k, 1, 0, [f"w{k}-{i}" for i in range(n)]) for k, n in words.items()],
+                                  "shard int, kind int, digit int, words array<string>")
+    got = divergence.models(frame, 10)
+    assert [(own, part) for own, _, part in got] == [([0, 1], 0), ([2], 0), ([2], 1), ([2], 2), ([3, 5], 0)]
+    assert {parts for own, parts, _ in got if own == [2]} == {3}
+
+
+def test_audit_of_a_lang_that_holds_the_separator(spark):
+    docs = [(i, t, lang, s) for i, (t, lang, s) in enumerate([("a b", "x\0y", "p"), ("a c", "x\0y", "q"), ("a b b", "x\0y", "q"),
+                                                              ("b d", "y", "p"), ("b", "y", "q"), ("b", "y", "q")])]
+    assert sorted(audit(spark, docs)) == sorted(audited(docs))
