@@ -57,9 +57,9 @@ TERMS = 200
 SHARD_TERMS, BUCKET_ENTRIES, TILE, HELD_PAIRS = 1 << 20, 200_000, 256, 1 << 20
 #: Terms, and sums of terms and sources, that a task holds before it says so, bytes of text
 #: to a different term and of the smallest shard, and folders that a task writes to at once.
-HELD_WORDS, HELD_ENTRIES, TERM_BYTES, LEAST_SHARD, OPEN_FILES = 1 << 20, 1 << 21, 256, 1 << 24, 32
-#: Bytes of words that a task holds, words in a row for a model, rows read at once, and sums sent at once.
-HELD_BYTES, ROW_WORDS, ROWS_READ, SENT_ROWS = 1 << 28, 1 << 11, 512, 1 << 14
+HELD_WORDS, HELD_ENTRIES, TERM_BYTES, LEAST_SHARD, OPEN_FILES = 1 << 20, 1 << 20, 256, 1 << 24, 32
+#: Bytes of words that a task holds, words in a row for a model, rows read and sent at once, and sums sent at once.
+HELD_BYTES, ROW_WORDS, ROWS_READ, ROWS_SENT, SENT_ROWS = 1 << 28, 1 << 11, 512, 64, 1 << 13
 LOW = 0xFFFFFFFF
 COUNTS = "lang string, source string, term string, count long, all long, first boolean"
 UNIT = 1_000_000_000
@@ -146,7 +146,7 @@ class _Held:
         self.sources: dict[str, int] = {}
         #: Terms with their langs, the documents that hold each, (source, place among these terms), and counts.
         self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.entries = self.bytes = 0
+        self.entries, self.bytes, self.most = 0, 0, HELD_ENTRIES
 
     def add(self, lang: str, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> None:
         terms, doc, term, count = _counted(data, offsets)
@@ -155,8 +155,9 @@ class _Held:
         coded = rows.column(1).dictionary_encode()
         source = np.array([self.sources.setdefault(s, len(self.sources)) for s in coded.dictionary.to_pylist()], np.int64)
         named = pc.binary_join_element_wise(terms, pa.scalar(lang.encode(), pa.binary()), pa.scalar(SEPARATOR, pa.binary()))
-        self._put(named, np.bincount(term, minlength=len(terms)), source[coded.indices.to_numpy()][doc] << 32 | term, count)
-        if self.entries >= HELD_ENTRIES or self.bytes >= HELD_BYTES:
+        self._put(named, np.bincount(term, minlength=len(terms)), *_summed_keys(
+            [source[coded.indices.to_numpy()][doc] << 32 | term], [count]))
+        if self.entries >= self.most or self.bytes >= HELD_BYTES:
             self.merge()
 
     def _put(self, named: pa.Array, docs: np.ndarray, key: np.ndarray, count: np.ndarray) -> None:
@@ -173,10 +174,11 @@ class _Held:
         self.parts, self.entries, self.bytes = [], 0, 0
         self._put(coded.dictionary, np.bincount(code, weights=np.concatenate(docs)).astype(np.int64),
                   *_summed_keys(keys, list(counts)))
+        self.most = max(HELD_ENTRIES, 2 * self.entries)
 
     def full(self) -> bool:
         """Whether little is left to be gained by holding more."""
-        return len(self.parts) == 1 and (len(self.parts[0][0]) >= HELD_WORDS or 2 * self.entries >= HELD_ENTRIES
+        return len(self.parts) == 1 and (len(self.parts[0][0]) >= HELD_WORDS or self.entries >= HELD_ENTRIES
                                          or 2 * self.bytes >= HELD_BYTES)
 
     def rows(self, shards: int, min_docs: int) -> Iterator[pa.RecordBatch]:
@@ -195,12 +197,16 @@ class _Held:
                 group = shard[own & LOW] * len(names) + (own >> 32)
                 order = np.argsort(group, kind="stable")
                 group, own = group[order], own[order]
-                at = _row_starts(group)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[at] // len(names), pa.int32()), pa.array(np.full(len(at), kind), pa.int32()),
-                     names.take(pa.array(group[at] % len(names))), pa.array(np.full(len(at), level), pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(np.append(at, len(own)), pa.int32()), words.take(pa.array(own & LOW)))],
-                    names=["shard", "kind", "source", "digit", "words"])
+                starts = _row_starts(group)
+                ends = np.append(starts, len(own))
+                for k in range(0, len(starts), ROWS_SENT):
+                    at, end = starts[k:k + ROWS_SENT], ends[k:k + ROWS_SENT + 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(group[at] // len(names), pa.int32()), pa.array(np.full(len(at), kind), pa.int32()),
+                         names.take(pa.array(group[at] % len(names))), pa.array(np.full(len(at), level), pa.int32()),
+                         pa.ListArray.from_arrays(pa.array(end - end[0], pa.int32()),
+                                                  words.take(pa.array(own[end[0]:end[-1]] & LOW)))],
+                        names=["shard", "kind", "source", "digit", "words"])
 
 
 def tokens(source: DataFrame, shards: int, min_docs: int) -> DataFrame:
@@ -277,7 +283,7 @@ def vector_sums(vectors: DataFrame) -> DataFrame:
             times = pc.list_value_length(places).to_numpy()
             held.add(source, places.flatten().to_numpy(), values.flatten().to_numpy().astype(np.int64) << np.repeat(
                 digit.to_numpy().astype(np.int64), times), times)
-            if held.most > HELD_ENTRIES or 2 * held.entries >= HELD_ENTRIES and len(held.keys) == 1:
+            if len(held.keys) == 1 and held.entries >= HELD_ENTRIES:
                 yield from held.rows()
                 held = _Sums()
         yield from held.rows()
@@ -306,14 +312,15 @@ def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "tex
     shards = shard_count(source, shard_terms)
     path = scratch_path(spark, "tokens")
     # a file per folder is open at once, so rows need no sorting first
-    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES),
+                          "spark.sql.execution.arrow.maxRecordsPerBatch": str(2 * ROWS_READ)}):
         tokens(source, shards, min_docs).write.partitionBy("shard", "kind").parquet(path)
     schema = "source string, digit int, words array<string>, shard int, kind int"
     held = spark.read.schema(schema).parquet(path)
     out = None
     # rows are long, so few are in memory at once
     with settings(spark, {"spark.sql.parquet.columnarReaderBatchSize": str(ROWS_READ),
-                          "spark.sql.execution.arrow.maxRecordsPerBatch": str(2 * ROWS_READ)}):
+                          "spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_READ)}):
         for written, parts, part in models(held, shard_terms):
             own = held.where(F.col("shard").isin(written)).drop("shard")
             if parts > 1:
