@@ -2,8 +2,8 @@
 
 Each round first hangs every node's larger neighbours on its least one, then
 its smaller ones, so paths halve and end in stars around the least id. Rounds
-are written to the shared folder, which cuts the lineage; nothing but whether
-to go on reaches the driver. Hubs are pre-aggregated by the grouping
+are written to the shared folder, which cuts the lineage, and the one before is
+removed; nothing but whether to go on reaches the driver. Hubs are pre-aggregated by the grouping
 and split by the adaptive join.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issuelens.session import staged
+from issuelens.session import discard, scratch_path, staged_at
 
 #: Edges that one task handles with ease.
 EDGES = 50_000
@@ -35,8 +35,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every id of ``edges`` (a, b) but the least ones."""
     left, right = F.col("a").cast("long"), F.col("b").cast("long")
-    current = staged(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-                     .where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    path = scratch_path(spark, "edges")
+    current = staged_at(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
+                        .where("u <> v").distinct(), path)
     tasks = max(1, current.count() // EDGES)
 
     def sized(df: DataFrame) -> DataFrame:
@@ -48,5 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         lesser = current.groupBy("u").agg(F.count("*").alias("n"))
         if not sized(lesser.join(ends, "u", "left").where("n > 1 OR end")).count():
             break
-        current = staged(sized(_small_star(sized(_large_star(current)))), "edges")
+        before, path = path, scratch_path(spark, "edges")
+        current = staged_at(sized(_small_star(sized(_large_star(current)))), path)
+        discard(spark, before)
     return current.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 COALESCE = "spark.sql.adaptive.coalescePartitions"
 MOUNTED = "spark.issuelens.checkpointMounted"
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -104,12 +105,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     run once, every report prunes columns, and no report depends on executor
     memory. The caller owns the folder.
     """
+    return staged_at(df, scratch_path(df.sparkSession, name))
+
+
+def staged_at(df: DataFrame, path: str) -> DataFrame:
+    """``staged`` in a folder of the caller's, to be removed with ``discard``.
+
+    What the write has shuffled goes once it has ended, not when the driver
+    next collects its garbage.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, SHUFFLES_GO):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder that nothing reads any more."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def check_shared(root: str, one_machine: bool, mounted: bool = False) -> None:
     """Refuse a machine's own folder on a cluster, unless it is said to be mounted everywhere."""
     own = root.startswith("file:") or "://" not in root and root.startswith("/tmp")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from cases import SCHEMA, WORD, components, corpus, rows
 
 from issuelens.llm import embedding_dedup, minhash_dedup, topk
 from issuelens.llm.components import components as connected
+from issuelens.session import checkpoint_root
 
 
 def shingles(text, k):
@@ -105,6 +107,35 @@ def test_tiles_do_not_change_links(spark, monkeypatch):
     assert sorted(embedding_dedup.linked(data).collect()) == whole
 
 
+def test_chunks_meet_without_a_shuffle_and_go(spark, monkeypatch):
+    plans, staged = {}, embedding_dedup.staged
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name)
+
+    data = frame(spark, vectors(4))
+    whole = sorted(embedding_dedup.linked(data).collect())
+    for name, value in (("staged", noted), ("TILE", 20), ("FEW", 20), ("ROUND_BYTES", 1)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    assert sorted(embedding_dedup.linked(data).collect()) == whole
+    assert "Exchange" not in plans["found"] and "CartesianProduct" in plans["found"]
+    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    assert list(root.glob("issuelens-*/found-*")) and not list(root.glob("issuelens-*/chunks-*"))
+
+
+def test_vectors_at_one_place_of_an_axis_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 8)
+    draw = np.random.default_rng(1)
+    data = [np.float32([1 + k % 2, *draw.normal(scale=0.02, size=3)]).tolist() for k in range(40)] + [[0.0, 0.0, 0.0, 1.0]]
+    slabs = embedding_dedup.Slabs(np.array([0.5] * 30 + [1.0]), 5)
+    assert max(slabs.parts) == 5
+    unit = [np.array(v) / np.linalg.norm(v) for v in data]
+    counts = [sum(a @ b >= 0.9 for b in unit) - 1 for a in unit]
+    got = embedding_dedup.linked(frame(spark, data)).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == list(enumerate(counts))
+
+
 def test_a_tile_of_near_alike_vectors_keeps_no_pairs():
     draw = np.random.default_rng(3)
     n = 4000
