@@ -8,8 +8,10 @@ tokens, unless many of it agree already, as copies of one text do. Trees are
 repeated until a pair at the threshold would be missed by all of them with a
 chance below ``1 - RECALL``, were they independent; as they share their
 signature positions, it is some 2 in 100,000 where nodes are large all the way
-down. What meets in a node and agrees in enough tokens forms clusters; inside a
-cluster links are confirmed on the full sets, and every pair of documents that
+down. What meets in a node and agrees in enough tokens forms clusters; a
+document that merely meets a family of copies does not, or documents that share
+a common phrase would tie all families into one cluster. Inside a cluster links
+are confirmed on the full sets, and every pair of documents that
 is not already connected is compared. Groups are the connected components of
 the confirmed links.
 
@@ -49,11 +51,13 @@ POSITIONS, BRANCHES, DEPTH = 48, 2, 4
 RECALL = 0.999999
 #: Documents of a node that are compared exhaustively, and of a chunk of a cluster.
 SMALL, CHUNK, LEADERS = 48, 256, 16
+#: Documents of a node at the end of the paths that are compared exhaustively, and signature tokens compared at once.
+LAST, COMPARED = 4096, 1 << 21
 #: Share of a large node that has to agree with one of its documents for it to be one cluster, documents that
 #: stand for the node, and those of them that the others are held against.
 COHERENT, JUDGED, STANDARDS = 0.25, 64, 4
-#: Bytes of shingle sets in a verification task.
-SET_BYTES = 16 << 20
+#: Bytes of shingle sets in a verification task, and of those put into one array.
+SET_BYTES, ARRAY_BYTES = 16 << 20, 64 << 20
 WORDS_BASE = 0xD6E8FEB86659FD93
 _DRAW = np.random.default_rng(909)
 MASKS = _DRAW.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -182,27 +186,49 @@ def _compared_nodes(table: pa.Table, enough: int) -> pa.Table:
     return _edges(np.concatenate(a), np.concatenate(b))
 
 
-def _whole_paths(large: DataFrame, enough: int) -> DataFrame:
-    """The large nodes of which all documents become one cluster.
-
-    That holds where many of its documents agree with one of them, as in a
-    family of copies, which further tokens would deal out ever wider and then
-    join again; and for what is still large at the end of the paths. Documents
-    that only share a passage agree with hardly any other. Up to ``JUDGED``
-    documents of a node stand for all. A cluster may be too large but never too
-    small, since its links are confirmed on the full sets.
+def _compared_node(table: pa.Table, enough: int) -> pa.Table:
+    """One node of up to ``LAST`` documents, as ``_compared_nodes`` compares them."""
+    ids = table.column("doc_id").to_numpy()
+    tokens = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(len(ids), POSITIONS)
+    order = np.argsort(ids, kind="stable")
+    ids, tokens = ids[order], tokens[order]
+    labels = np.arange(len(ids))
+    strip = max(1, COMPARED // tokens.size)
+    for at in range(0, len(ids), strip):
+        alike = (tokens[at:at + strip, None, :] == tokens[None, :, :]).sum(2) >= enough
+        for i, own in enumerate(alike, at):
+            joined = np.unique(labels[own])
+            if len(joined) > 1:
+                labels[np.isin(labels, joined)] = joined[0]
+    return _edges(ids, ids[labels])
+
+
+def _agreement(tokens: Column | str, others: Column) -> Column:
+    """Signature positions in which two documents agree."""
+    return F.size(F.filter(F.zip_with(tokens, others, lambda a, b: a == b), lambda same: same))
+
+
+def _families(large: DataFrame, enough: int) -> DataFrame:
+    """The rows of large nodes, with ``agreed``: how far each agrees with its node's family, or NULL.
+
+    A node has a family where many of its documents agree with one of them, as
+    copies of one text do; further tokens would deal these out ever wider and
+    then join them again. Documents that only share a passage agree with hardly
+    any other. Up to ``JUDGED`` documents of a node stand for all.
     """
     place = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
     some = large.select("path", "doc_id", "tokens").withColumn("place", place).where(F.col("place") <= JUDGED)
     some = some.groupBy("path").agg(F.collect_list("tokens").alias("some"))
 
-    def share(first: Column) -> Column:
-        def alike(tokens: Column) -> Column:
-            return F.size(F.filter(F.zip_with(tokens, first, lambda a, b: a == b), lambda same: same)) >= enough
-        return F.size(F.filter("some", alike)) / F.size("some")
+    def judged(first: Column) -> Column:
+        alike = F.filter("some", lambda tokens: _agreement(tokens, first) >= enough)
+        return F.struct((F.size(alike) / F.size("some")).alias("share"), first.alias("standard"))
 
-    best = F.array_max(F.transform(F.slice("some", 1, STANDARDS), share))
-    return staged(some.where(best >= COHERENT).select("path"), "whole")
+    best = F.array_max(F.transform(F.slice("some", 1, STANDARDS), judged))
+    families = staged(some.select("path", best.alias("best")).where(F.col("best.share") >= COHERENT).select(
+        "path", "best.standard"), "families")
+    return staged(large.join(families, "path", "left").withColumn("agreed", F.when(
+        F.col("standard").isNotNull(), _agreement("tokens", F.col("standard")))).drop("standard"), "judged")
 
 
 def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
@@ -228,11 +254,20 @@ def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
         found = small.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).groupBy(
             "bucket").applyInArrow(lambda t: _compared_nodes(t, enough), "a long, b long")
         large = members.where(F.col("size") > SMALL)
-        whole = large
         if level < DEPTH - 1:
-            paths = _whole_paths(large, enough)
-            whole, large = large.join(paths, "path", "left_semi"), large.join(paths, "path", "left_anti")
-        found = found.union(whole.where("doc_id <> least").select("doc_id", "least"))
+            large = _families(large, enough)
+            # what agrees with the family's standard in fewer places cannot agree enough with one of the family
+            family = large.where(F.col("agreed") >= 2 * enough - POSITIONS)
+            hubs = family.groupBy("path").agg(F.min("doc_id").alias("hub"))
+            stars = family.join(hubs, "path")
+            # the family has met all that it can agree with; the others may yet agree with each other
+            large = large.where(F.coalesce(F.col("agreed") < enough, F.lit(True)))
+        else:
+            last = large.where(F.col("size") <= LAST)
+            found = found.union(last.groupBy("path").applyInArrow(
+                lambda t: _compared_node(t, enough), "a long, b long"))
+            stars = large.where(F.col("size") > LAST).withColumnRenamed("least", "hub")
+        found = found.union(stars.where("doc_id <> hub").select("doc_id", "hub"))
         found = staged(found.distinct(), "pairs")
         edges = found if edges is None else edges.union(found)
         if level < DEPTH - 1:
@@ -265,8 +300,12 @@ def _shipped(documents: pa.Table, wanted: pa.Table, shingle: int) -> pa.Table:
             places = order[np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())]
             sets = pa.Array.from_buffers(pa.binary(), len(rows), [
                 None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(hashes)])
-            out.append(wanted.take(pa.array(places)).append_column(
-                "hashes", sets.take(pa.array(np.repeat(np.arange(len(rows)), times)))))
+            taken = np.repeat(np.arange(len(rows)), times)
+            # a set that many places want is many times its size, and an array holds 2 GB at most
+            held = np.cumsum(8 * np.diff(first)[taken])
+            cuts = np.flatnonzero(np.diff(held // ARRAY_BYTES)) + 1
+            for at, own in zip(np.split(places, cuts), np.split(taken, cuts)):
+                out.append(wanted.take(pa.array(at)).append_column("hashes", sets.take(pa.array(own))))
     return pa.concat_tables(out) if out else wanted.slice(0, 0).append_column("hashes", pa.array([], pa.binary()))
 
 

@@ -66,6 +66,51 @@ def test_one_of_each_group_stays_with_all_its_columns(spark):
     assert minhash_dedup.representatives(docs.limit(0)).columns == docs.columns
 
 
+def test_what_meets_a_family_by_chance_is_not_tied_to_it(spark):
+    draw = np.random.default_rng(4)
+    families = [draw.integers(0, 2**31, 48) for _ in range(2)]
+    signatures = []
+    for family in families:
+        for _ in range(80):
+            own = family.copy()
+            own[draw.integers(0, 48, 4)] = draw.integers(0, 2**31, 4)
+            signatures.append(own)
+    for _ in range(60):  # these share a token with each of the two
+        own = draw.integers(0, 2**31, 48)
+        own[0], own[1] = families[0][0], families[1][1]
+        signatures.append(own)
+    classes = spark.createDataFrame(
+        [(i, i, [int(t) for t in own]) for i, own in enumerate(signatures)], "row bigint, doc_id bigint, tokens array<int>")
+    got = dict(minhash_dedup._clusters(classes, 0.85).collect())
+    assert got == {**{i: 0 for i in range(1, 80)}, **{i: 80 for i in range(81, 160)}}
+
+
+def test_a_last_node_is_compared_like_a_small_one(monkeypatch):
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 2**31, (4, 48)).astype(np.int32)
+    tokens = base[draw.integers(0, 4, 90)]
+    for own in tokens:
+        own[draw.integers(0, 48, 12)] = draw.integers(0, 2**31, 12)
+    ids = draw.permutation(90)
+    table = pa.table({"path": pa.array([7] * 90), "doc_id": pa.array(ids),
+                      "tokens": pa.array(tokens.tolist(), pa.list_(pa.int32()))})
+    monkeypatch.setattr(minhash_dedup, "COMPARED", 48 * 90 * 7)
+    one, other = (f(table, 27).to_pydict() for f in (minhash_dedup._compared_node, minhash_dedup._compared_nodes))
+    assert sorted(zip(one["a"], one["b"])) == sorted(zip(other["a"], other["b"])) != []
+
+
+def test_sets_that_many_places_want_are_put_into_several_arrays(monkeypatch):
+    texts = ["one two three four", "five six seven", "", "eight nine ten eleven twelve"]
+    documents = pa.table({"slot": pa.array([0] * 4), "row": pa.array(range(4)), "doc_id": pa.array(range(4)),
+                          "text": pa.array(texts)})
+    wanted = pa.table({"row": pa.array([3, 0, 1, 0, 2, 3, 3]), "group": pa.array(range(7))})
+    whole = minhash_dedup._shipped(documents, wanted, 3)
+    monkeypatch.setattr(minhash_dedup, "ARRAY_BYTES", 24)
+    parts = minhash_dedup._shipped(documents, wanted, 3)
+    assert parts.column("hashes").num_chunks > whole.column("hashes").num_chunks == 1
+    assert parts.combine_chunks().equals(whole.combine_chunks()) and sorted(whole.column("group").to_pylist()) == [*range(7)]
+
+
 def test_trees_reach_the_recall():
     assert minhash_dedup.trees(0.85) <= minhash_dedup.trees(0.8) <= minhash_dedup.POSITIONS
     assert (1 - 0.8) ** minhash_dedup.trees(0.8) < 1e-6
